@@ -20,14 +20,17 @@ def with_row_id(df: DataFrame, columns: tuple[str, ...] = LABELLED_COLUMNS) -> D
     return df.withColumn("row_id", F.sha2(F.concat_ws("\x1f", *parts), 256))
 
 
-def hash_order(seed: int, purpose: str, row_id: Column | str = "row_id") -> Column:
+def hash_order(
+    seed: int, purpose: str | Column, row_id: Column | str = "row_id"
+) -> Column:
     """Hex key that orders rows as a seeded permutation would.
 
     `purpose` keeps picks independent of one another under the same seed.
     """
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
+    purpose = F.lit(purpose) if isinstance(purpose, str) else purpose
     return F.sha2(
-        F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), row_id.cast("string")), 256
+        F.concat_ws("|", F.lit(str(seed)), purpose, row_id.cast("string")), 256
     )
 
 

@@ -21,13 +21,9 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.minhash import gram_set, minhash_signature
 from labelloom.functions.text import jaccard
+from labelloom.operators.joins import join_splitting_hot_keys
 from labelloom.session import materialize
 
-# A bucket with more than 1/HOT_SHARE of all memberships is hot. There can be at most
-# HOT_SHARE such buckets, which bounds what is broadcast whatever the table size.
-HOT_SHARE = 1000
-
-
 def lsh_bands(threshold: float = 0.8, num_perm: int = 128) -> tuple[int, int]:
     """(bands, rows per band) minimising the two error areas of the S-curve."""
     similarity = (np.arange(2000) + 0.5) / 2000
@@ -265,19 +261,3 @@ def _similar(met: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
         )
         .select("rank", "leader")
     )
-
-
-def join_splitting_hot_keys(
-    left: DataFrame, right: DataFrame, key: str, total: int
-) -> DataFrame:
-    """Inner join where `right` has one row per key and `n`, the key's rows in `left`.
-
-    A key with more than 1/HOT_SHARE of the `total` left rows is hot. Hot keys are
-    matched by broadcast, of at most HOT_SHARE rows, and leave the shuffle join, in
-    which every key is then small against the whole.
-    """
-    is_hot = F.col("n") > F.lit(total / HOT_SHARE)
-    hot = F.broadcast(right.where(is_hot))
-    return left.join(hot, key).unionByName(
-        left.join(hot.select(key), key, "left_anti").join(right.where(~is_hot), key)
-    )
