@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,17 +106,18 @@ def fit_text_features(
 def _tfidf_udf(idf: np.ndarray, sublinear: bool):
     # Spark's idf has no "+ 1", without which a term of every row would vanish.
     weights = idf + 1.0
-    size = len(weights)
-
-    def weigh_row(vector):
-        tf = 1.0 + np.log(vector.values) if sublinear else vector.values
-        values = tf * weights[vector.indices]
-        norm = np.sqrt((values * values).sum())
-        return Vectors.sparse(size, vector.indices, values / norm if norm else values)
 
     @F.pandas_udf(VectorUDT())
-    def weigh(vectors: pd.Series) -> pd.Series:
-        return vectors.map(weigh_row)
+    def weigh(counts: pd.DataFrame) -> pd.DataFrame:
+        """Sparse vectors as struct columns; all values of a batch at once."""
+        lengths = counts["values"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(counts)), lengths)
+        tf = np.concatenate([*counts["values"], np.zeros(0)])
+        terms = np.concatenate([*counts["indices"], np.zeros(0, dtype=np.int32)])
+        values = (1.0 + np.log(tf) if sublinear else tf) * weights[terms]
+        squares = np.bincount(row, values * values, minlength=len(counts))
+        values = values / np.sqrt(squares)[row]
+        return counts.assign(values=np.split(values, np.cumsum(lengths)[:-1]))
 
     return weigh
 
