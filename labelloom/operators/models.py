@@ -12,18 +12,18 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import metrics
 from labelloom.operators.splits import fold_frames
 from labelloom.session import materialize
 
-# Fixed value: words of two or more word characters, in any script.
-WORD_PATTERN = r"(?U)\b\w\w+\b"
+# Fixed value: runs of two or more word characters, in any script.
+WORD_PATTERN = r"(?U)\w\w+"
 
 
 @dataclass(frozen=True)
@@ -37,15 +37,13 @@ class TfidfSettings:
 
 def word_terms(df: DataFrame, *, text: str = "prompt") -> DataFrame:
     """Add `terms`: lower-case words followed by word pairs."""
-    words = RegexTokenizer(
-        inputCol="_text", outputCol="_words", pattern=WORD_PATTERN, gaps=False
-    )
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
-    safe = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    worded = df.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
     return (
-        pairs.transform(words.transform(safe))
+        pairs.transform(worded)
         .withColumn("terms", F.concat("_words", "_pairs"))
-        .drop("_text", "_words", "_pairs")
+        .drop("_words", "_pairs")
     )
 
 
@@ -53,10 +51,21 @@ def term_statistics(
     df: DataFrame, *, text: str = "prompt", min_df: int = 3, max_features: int = 200_000
 ) -> DataFrame:
     """(term, tf, df, idf) of the vocabulary: the most frequent terms, ties by name."""
-    terms = word_terms(df, text=text).select("row_id", F.explode("terms").alias("term"))
-    per_row = terms.groupBy("term", "row_id").agg(F.count("*").alias("tf"))
-    totals = per_row.groupBy("term").agg(
-        F.sum("tf").alias("tf"), F.count("*").alias("df")
+    terms = F.col("terms")
+
+    def counting(terms: Column, tf: int, df: int) -> Column:
+        return F.struct(terms.alias("terms"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+
+    # Once with repeats for tf, once without for df: both are summed map-side, so only
+    # distinct terms are shuffled, not (term, row) pairs.
+    passes = F.array(counting(terms, 1, 0), counting(F.array_distinct(terms), 0, 1))
+    exploded = (
+        word_terms(df, text=text)
+        .select(F.explode(passes).alias("counted"))
+        .select(F.explode("counted.terms").alias("term"), "counted.tf", "counted.df")
+    )
+    totals = exploded.groupBy("term").agg(
+        F.sum("tf").alias("tf"), F.sum("df").alias("df")
     )
     rows = df.agg(F.count("*")).scalar()
     return (

@@ -54,13 +54,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
-def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled_documents(
+    spark: SparkSession, sf_dir: str, *, spread: bool = False
+) -> DataFrame:
     """Documents as a label-mapped source: toxic is y=1, unlabelled counts as benign."""
     labels = _table(spark, sf_dir, "labels")
     kind = F.when(F.col("toxic") == 1, "jailbreak").otherwise("Benign")
-    documents = _table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    documents = read_table(spark, f"{sf_dir}/documents.parquet", spread=spread)
     return label_mapped_source(
-        documents.withColumn("type", kind),
+        documents.join(labels, "doc_id", "left").withColumn("type", kind),
         source=F.col("source"),
         text="text",
         row_id="doc_id",
@@ -212,12 +214,12 @@ def subtype_priorities(spark, sf_dir):
 
 @_query
 def unify_counts(spark, sf_dir):
-    return stats.count_by(deduplicated(_labelled_documents(spark, sf_dir)), "source", "y")
+    return stats.count_by(deduplicated(_labelled_documents(spark, sf_dir, spread=True)), "source", "y")
 
 
 @_query
 def exact_dedup_rows(spark, sf_dir):
-    kept = deduplicated(_labelled_documents(spark, sf_dir))
+    kept = deduplicated(_labelled_documents(spark, sf_dir, spread=True))
     return kept.select("row_id", "y", "subtype", "copies")
 
 
@@ -248,14 +250,14 @@ def leak_free_counts(spark, sf_dir):
 
 @_query
 def minhash_signatures(spark, sf_dir):
-    rows = normalized(_labelled_documents(spark, sf_dir))
+    rows = normalized(_labelled_documents(spark, sf_dir, spread=True))
     signed = rows.select("row_id", minhash_signature("prompt_norm").alias("signature"))
     return signed.select("row_id", F.array_join("signature", ",").alias("signature"))
 
 
 @_query
 def lsh_first_neighbours(spark, sf_dir):
-    exact = deduplicated(_labelled_documents(spark, sf_dir))
+    exact = deduplicated(_labelled_documents(spark, sf_dir, spread=True))
     met = near_dup.first_neighbours(near_dup.row_buckets(exact))
     return met.select(
         F.col("rank.row_id").alias("row_id"),
@@ -266,21 +268,21 @@ def lsh_first_neighbours(spark, sf_dir):
 
 @_query
 def near_dup_keep(spark, sf_dir):
-    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir)), "exact")
+    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir, spread=True)), "exact")
     found = near_dup.find_near_duplicates(exact)
     return near_dup.drop_near_duplicates(exact, found).select("row_id", "source", "y")
 
 
 @_query
 def near_dup_keep_verified(spark, sf_dir):
-    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir)), "exact")
+    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir, spread=True)), "exact")
     found = near_dup.find_near_duplicates(exact, verify=True)
     return near_dup.drop_near_duplicates(exact, found).select("row_id", "source", "y")
 
 
 @_query
 def near_dup_listing(spark, sf_dir):
-    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir)), "exact")
+    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir, spread=True)), "exact")
     found = near_dup.find_near_duplicates(exact)
     listed = near_dup.with_jaccard(materialize(found.listing(), "listing"), exact)
     return listed.withColumn("jaccard", F.round("jaccard", 6))
@@ -288,12 +290,12 @@ def near_dup_listing(spark, sf_dir):
 
 @_query
 def stage_funnel(spark, sf_dir):
-    return build_dataset(_labelled_documents(spark, sf_dir)).funnel
+    return build_dataset(_labelled_documents(spark, sf_dir, spread=True)).funnel
 
 
 @_query
 def build_statistics(spark, sf_dir):
-    built = build_dataset(_labelled_documents(spark, sf_dir))
+    built = build_dataset(_labelled_documents(spark, sf_dir, spread=True))
     return built.statistics().withColumn("value", F.round("value", 6))
 
 
@@ -312,7 +314,7 @@ def source_pivot(spark, sf_dir):
 
 @_query
 def length_quantiles(spark, sf_dir):
-    quantiles = stats.length_quantiles(deduplicated(_labelled_documents(spark, sf_dir)))
+    quantiles = stats.length_quantiles(deduplicated(_labelled_documents(spark, sf_dir, spread=True)))
     return quantiles.select(*[F.round(c, 6).alias(c) for c in quantiles.columns])
 
 
@@ -574,7 +576,7 @@ def _rounded(*columns: str) -> list[Column]:
 
 @_query
 def tfidf_terms(spark, sf_dir):
-    terms = models.term_statistics(_labelled_documents(spark, sf_dir))
+    terms = models.term_statistics(_labelled_documents(spark, sf_dir, spread=True))
     return terms.withColumn("idf", F.round("idf", 6))
 
 
@@ -608,7 +610,7 @@ def class_weights(spark, sf_dir):
 
 @_query
 def tfidf_lr(spark, sf_dir):
-    rows = _labelled_documents(spark, sf_dir)
+    rows = _labelled_documents(spark, sf_dir, spread=True)
     made = splits.make_splits(rows, stratum=F.col("y").cast("string"))
     made = materialize(made, "splits")
     model = models.fit_tfidf_classifier(made.where("split = 'train'"))

@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, *, spread: bool = False) -> DataFrame:
+    """Parquet; `spread` is for work per row that is heavy against reading the row.
+
+    It shuffles a table stored in fewer pieces than there are cores. A large table
+    has more pieces than that and is left as it is.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def write_table(
