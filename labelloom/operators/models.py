@@ -25,6 +25,8 @@ from labelloom.session import materialize
 # Fixed value: runs of two or more word characters, in any script.
 WORD_PATTERN = r"(?U)\w\w+"
 
+ROWS_PER_TASK = 10_000
+
 
 @dataclass(frozen=True)
 class TfidfSettings:
@@ -131,6 +133,16 @@ def _tfidf_udf(idf: np.ndarray, sublinear: bool):
     return weigh
 
 
+def _training_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows written once, as every iteration reads them, and their number.
+
+    Each iteration waits for all tasks, so a small table gets few of them.
+    """
+    written = materialize(df, "training")
+    rows = written.count()
+    return written.coalesce(max(1, rows // ROWS_PER_TASK)), rows
+
+
 def with_balanced_weights(df: DataFrame) -> DataFrame:
     """Add `weight` = rows / (2 * rows of the class)."""
     totals = df.agg(
@@ -148,8 +160,8 @@ def fit_logistic(
     df: DataFrame, *, c: float = 1.0, max_iter: int = 1000, features: str = "features"
 ):
     """L2 logistic regression with balanced classes; the penalty is 1 / (C * rows)."""
-    weighted = with_balanced_weights(df)
-    rows = df.count()
+    train, rows = _training_rows(df.select("y", features))
+    weighted = with_balanced_weights(train)
     return LogisticRegression(
         featuresCol=features,
         labelCol="y",
@@ -171,8 +183,8 @@ def fit_embedding_head(
     embedding: str = "embedding",
 ):
     """One hidden layer on `embedding`; Spark's layer is sigmoid, without dropout."""
-    vectors = with_vector(df, embedding)
-    size = vectors.select(F.size(embedding)).first()[0]
+    train, _ = _training_rows(with_vector(df, embedding).select("y", "features"))
+    size = train.first().features.size
     return MultilayerPerceptronClassifier(
         featuresCol="features",
         labelCol="y",
@@ -180,7 +192,7 @@ def fit_embedding_head(
         maxIter=max_iter,
         blockSize=block_size,
         seed=seed,
-    ).fit(vectors)
+    ).fit(train)
 
 
 def with_vector(df: DataFrame, embedding: str = "embedding") -> DataFrame:
