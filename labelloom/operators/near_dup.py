@@ -13,16 +13,23 @@ table costs what its rows cost. Joins on the bucket split such hot buckets off.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.functions.minhash import gram_set, minhash_signature
 from labelloom.functions.text import jaccard
 from labelloom.operators.joins import join_splitting_hot_keys
 from labelloom.session import materialize
+# Memberships that one task may visit at the end: some tens of megabytes.
+TAIL_ROWS = 100_000
+
 
 def lsh_bands(threshold: float = 0.8, num_perm: int = 128) -> tuple[int, int]:
     """(bands, rows per band) minimising the two error areas of the S-curve."""
@@ -158,9 +165,18 @@ def find_near_duplicates(
 
 
 def greedy_keep(
-    members: DataFrame, *, grams: DataFrame | None = None, threshold: float = 0.0
+    members: DataFrame,
+    *,
+    grams: DataFrame | None = None,
+    threshold: float = 0.0,
+    tail: int = TAIL_ROWS,
 ) -> NearDuplicates:
-    """The keep rule over (rank, bucket), in rounds until no row is undecided."""
+    """The keep rule over (rank, bucket), in rounds until no row is undecided.
+
+    A round settles the next rows of every chain of neighbours, so a few long chains
+    would need many rounds for little data. Once at most `tail` memberships are left,
+    one task visits those rows in order instead.
+    """
     members = materialize(members, "buckets")
     total = members.count()
     shared = _shared_buckets(members, total)
@@ -168,10 +184,13 @@ def greedy_keep(
         ranks = shared.select("rank").distinct()
         grams = materialize(grams.join(ranks, "rank"), "grams")
     undecided, rounds, outcomes = shared, 0, []
-    while not undecided.isEmpty():
+    while (left := undecided.count()) > 0:
+        if grams is None and left <= tail:
+            outcomes.append(materialize(_visit(undecided), "outcome"))
+            break
         outcome = materialize(_decide(undecided, total, grams, threshold), "outcome")
-        left = undecided.join(outcome.select("rank"), "rank", "left_anti")
-        undecided = materialize(left, "undecided")
+        rest = undecided.join(outcome.select("rank"), "rank", "left_anti")
+        undecided = materialize(rest, "undecided")
         outcomes.append(outcome)
         rounds += 1
     decided = (
@@ -246,6 +265,36 @@ def _decide(
     )
 
 
+def _visit(undecided: DataFrame) -> DataFrame:
+    """(rank, kept, leader) of a bounded rest, by visiting its rows in order."""
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        keeper, leaders = {}, []
+        for i, buckets in enumerate(rows["keys"].to_pylist()):
+            leader = min((keeper[b] for b in buckets if b in keeper), default=i)
+            if leader == i:
+                keeper.update(dict.fromkeys(buckets, i))
+            leaders.append(leader)
+        leaders = pa.array(leaders, pa.int64())
+        kept = pc.equal(leaders, pa.array(range(len(leaders)), pa.int64()))
+        columns = [rows["rank"], kept, rows["rank"].take(leaders)]
+        yield from pa.table(columns, ["rank", "kept", "leader"]).to_batches()
+
+    key = F.to_json("bucket")
+    ordered = (
+        undecided.groupBy("rank")
+        .agg(F.collect_list(key).alias("keys"))
+        .coalesce(1)
+        .sortWithinPartitions("rank")
+    )
+    rank = undecided.schema["rank"].dataType
+    schema = (
+        T.StructType().add("rank", rank).add("kept", "boolean").add("leader", rank)
+    )
+    return ordered.mapInArrow(visit, schema)
+
+
 def _similar(met: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """Meetings of a row with itself, or with a leader at least `threshold` alike."""
     met = materialize(met, "met")

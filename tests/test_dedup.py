@@ -107,20 +107,29 @@ def members_of(spark, buckets):
     )
 
 
-def test_chain_keeps_both_ends(spark):
-    found = near_dup.greedy_keep(members_of(spark, {1: {1}, 2: {1, 2}, 3: {2}}))
+@pytest.mark.parametrize("tail", [0, 100])
+def test_chain_keeps_both_ends(spark, tail):
+    members = members_of(spark, {1: {1}, 2: {1, 2}, 3: {2}})
+    found = near_dup.greedy_keep(members, tail=tail)
     assert [r.row_id for r in found.dropped.collect()] == [2]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_equals_the_sequential_rule(spark, seed):
+def test_a_long_chain_ends_in_one_visit(spark):
+    buckets = {i: {i, i + 1} for i in range(400)}
+    found = near_dup.greedy_keep(members_of(spark, buckets), tail=795)
+    assert found.rounds == 1
+    assert {r.row_id for r in found.dropped.collect()} == set(range(1, 400, 2))
+
+
+@pytest.mark.parametrize("seed, tail", [(0, 0), (1, 0), (2, 30), (3, 1000), (4, 1000)])
+def test_greedy_equals_the_sequential_rule(spark, seed, tail):
     rng = random.Random(seed)
     size = rng.randrange(5, 50)
     buckets = {
         i: {rng.randrange(rng.choice([3, 40])) for _ in range(rng.randrange(1, 4))}
         for i in range(size)
     }
-    found = near_dup.greedy_keep(members_of(spark, buckets).repartition(5))
+    found = near_dup.greedy_keep(members_of(spark, buckets).repartition(5), tail=tail)
     assert {r.row_id for r in found.dropped.collect()} == sequential(buckets)
     listed = {r.dropped_id: r.kept_id for r in found.listing().collect()}
     kept = set(buckets) - sequential(buckets)
@@ -133,7 +142,7 @@ def test_greedy_equals_the_sequential_rule(spark, seed):
 def test_one_bucket_with_most_rows_is_split_off(spark):
     buckets = {i: {0, i + 1} for i in range(3000)}
     buckets.update({i: {10_000 + i // 2} for i in range(3000, 6000)})
-    found = near_dup.greedy_keep(members_of(spark, buckets))
+    found = near_dup.greedy_keep(members_of(spark, buckets), tail=0)
     assert {r.row_id for r in found.dropped.collect()} == sequential(buckets)
 
 
