@@ -87,11 +87,12 @@ def _hash_score(model: str) -> Column:
     return F.floor((noise + pull * F.col("y")) / (1.0 + pull) * 1000) / 1000.0
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> LoadResult:
+def _sources(spark: SparkSession, sf_dir: str, *, spread: bool = False) -> LoadResult:
     """Every source shape, plus one that is missing."""
 
     def table(name: str) -> DataFrame:
-        return _table(spark, sf_dir, name)
+        heavy = spread and name == "documents"
+        return read_table(spark, f"{sf_dir}/{name}.parquet", spread=heavy)
 
     def ids(prefix: str, *columns: str) -> Column:
         return F.concat_ws("-", F.lit(prefix), *[F.col(c).cast("string") for c in columns])
@@ -225,26 +226,26 @@ def exact_dedup_rows(spark, sf_dir):
 
 @_query
 def exact_dedup_all_sources(spark, sf_dir):
-    kept = deduplicated(_sources(spark, sf_dir).table)
+    kept = deduplicated(_sources(spark, sf_dir, spread=True).table)
     return kept.select("row_id", "source", "y", "subtype", "copies")
 
 
 @_query
 def exact_dedup_prefer_label(spark, sf_dir):
-    rows = normalized(_sources(spark, sf_dir).table)
+    rows = normalized(_sources(spark, sf_dir, spread=True).table)
     kept = dedup.exact_dedup(dedup.with_priority(rows, prefer_label=1))
     return kept.select("row_id", "source", "y", "subtype")
 
 
 @_query
 def leak_rows(spark, sf_dir):
-    rows = normalized(_sources(spark, sf_dir).table)
+    rows = normalized(_sources(spark, sf_dir, spread=True).table)
     return dedup.leaked_rows(rows).select("row_id", "source", "subtype")
 
 
 @_query
 def leak_free_counts(spark, sf_dir):
-    rows = normalized(_sources(spark, sf_dir).table)
+    rows = normalized(_sources(spark, sf_dir, spread=True).table)
     return stats.count_by(dedup.drop_leaked(rows), "source", "y")
 
 
@@ -367,22 +368,21 @@ def split_assign(spark, sf_dir):
 
 @_query
 def split_by_source(spark, sf_dir):
-    rows = _sources(spark, sf_dir).table
-    assigned = splits.stratified_split(rows).select(
+    rows = materialize(_sources(spark, sf_dir).table, "unified")
+    return splits.stratified_split(rows).select(
         "row_id", stratum_key().alias("stratum"), "split"
     )
-    return assigned
 
 
 @_query
 def split_counts(spark, sf_dir):
-    made = splits.make_splits(_sources(spark, sf_dir).table)
-    return splits.split_counts(made)
+    rows = materialize(_sources(spark, sf_dir).table, "unified")
+    return splits.split_counts(splits.make_splits(rows))
 
 
 @_query
 def split_manifest(spark, sf_dir):
-    rows = _sources(spark, sf_dir).table
+    rows = materialize(_sources(spark, sf_dir).table, "unified")
     return splits.split_manifest(rows, splits.make_splits(rows))
 
 

@@ -41,8 +41,8 @@ def test_safe_copy_of_a_blocked_text_goes(labelled):
 def test_harmful_outranks_jailbreak(labelled):
     raw = labelled(
         [
-            ("exact same text", 1, "verazuo", "jailbreak"),
-            ("exact same text", 1, "harmbench", "harmful"),
+            ("exact same text", 1, "first", "jailbreak"),
+            ("exact same text", 1, "second", "harmful"),
         ]
     )
     assert [r.subtype for r in build_dataset(raw, SMALL).unified.collect()] == ["harmful"]
