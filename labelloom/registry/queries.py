@@ -69,13 +69,18 @@ def _labelled_documents(
     )
 
 
+def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(_labelled_documents(spark, sf_dir, spread=True))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with the scores of four reproducible models."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"))
     rows = (
         _table(spark, sf_dir, "documents")
         .join(labels, "doc_id")
-        .select(F.col("doc_id").alias("row_id"), "y", "source", F.col("text").alias("prompt"))
+        .withColumnsRenamed({"doc_id": "row_id", "text": "prompt"})
+        .select("row_id", "y", "source", "prompt")
     )
     return scoring.model_scores(rows, list(MODELS), _hash_score)
 
@@ -215,12 +220,12 @@ def subtype_priorities(spark, sf_dir):
 
 @_query
 def unify_counts(spark, sf_dir):
-    return stats.count_by(deduplicated(_labelled_documents(spark, sf_dir, spread=True)), "source", "y")
+    return stats.count_by(_exact(spark, sf_dir), "source", "y")
 
 
 @_query
 def exact_dedup_rows(spark, sf_dir):
-    kept = deduplicated(_labelled_documents(spark, sf_dir, spread=True))
+    kept = _exact(spark, sf_dir)
     return kept.select("row_id", "y", "subtype", "copies")
 
 
@@ -258,7 +263,7 @@ def minhash_signatures(spark, sf_dir):
 
 @_query
 def lsh_first_neighbours(spark, sf_dir):
-    exact = deduplicated(_labelled_documents(spark, sf_dir, spread=True))
+    exact = _exact(spark, sf_dir)
     met = near_dup.first_neighbours(near_dup.row_buckets(exact))
     return met.select(
         F.col("rank.row_id").alias("row_id"),
@@ -269,21 +274,21 @@ def lsh_first_neighbours(spark, sf_dir):
 
 @_query
 def near_dup_keep(spark, sf_dir):
-    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir, spread=True)), "exact")
+    exact = materialize(_exact(spark, sf_dir), "exact")
     found = near_dup.find_near_duplicates(exact)
     return near_dup.drop_near_duplicates(exact, found).select("row_id", "source", "y")
 
 
 @_query
 def near_dup_keep_verified(spark, sf_dir):
-    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir, spread=True)), "exact")
+    exact = materialize(_exact(spark, sf_dir), "exact")
     found = near_dup.find_near_duplicates(exact, verify=True)
     return near_dup.drop_near_duplicates(exact, found).select("row_id", "source", "y")
 
 
 @_query
 def near_dup_listing(spark, sf_dir):
-    exact = materialize(deduplicated(_labelled_documents(spark, sf_dir, spread=True)), "exact")
+    exact = materialize(_exact(spark, sf_dir), "exact")
     found = near_dup.find_near_duplicates(exact)
     listed = near_dup.with_jaccard(materialize(found.listing(), "listing"), exact)
     return listed.withColumn("jaccard", F.round("jaccard", 6))
@@ -315,7 +320,7 @@ def source_pivot(spark, sf_dir):
 
 @_query
 def length_quantiles(spark, sf_dir):
-    quantiles = stats.length_quantiles(deduplicated(_labelled_documents(spark, sf_dir, spread=True)))
+    quantiles = stats.length_quantiles(_exact(spark, sf_dir))
     return quantiles.select(*[F.round(c, 6).alias(c) for c in quantiles.columns])
 
 
@@ -463,7 +468,8 @@ def confusion_counts(spark, sf_dir):
 @_query
 def rate_metrics(spark, sf_dir):
     rates = metrics.with_rates(metrics.confusion(_scored(spark, sf_dir), ["model"]))
-    return rates.select("model", *_rounded("f1", "precision", "recall", "accuracy", "fpr", "fnr"))
+    names = ("f1", "precision", "recall", "accuracy", "fpr", "fnr")
+    return rates.select("model", *_rounded(*names))
 
 
 @_query
@@ -524,7 +530,8 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = metrics.binary_report(_scored(spark, sf_dir), ["model"])
     runs = F.explode(F.array(F.lit("2024-01-01"), F.lit("2024-01-02")))
     write_table(made.withColumn("run_at", runs), path, mode="append")
-    return metrics.comparison(read_table(spark, path), models=["m4", "m3", "m2", "m1", "m0"])
+    reports = read_table(spark, path)
+    return metrics.comparison(reports, models=["m4", "m3", "m2", "m1", "m0"])
 
 
 @_query
