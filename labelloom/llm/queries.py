@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import exact_dedup, mixing, quality_rules, url_rules
+from labelloom.llm import (
+    chat,
+    exact_dedup,
+    language,
+    minhash_dedup,
+    mixing,
+    quality_knn,
+    quality_rules,
+    sentencepiece_codec,
+    toxicity,
+    url_rules,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -33,23 +47,112 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 @_query
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+@_query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_documents(spark, sf_dir), words=2, percent=80)
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(_documents(spark, sf_dir))
+
+
+@_query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", text), (-7, 1, "assistant", text)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    formatted = chat.format_conversations(
+        turns.select("conv_id", "turn", "role", "text").unionByName(own),
+        _file(public_tokenizers.path("byte_bpe_50k.json")).decode(),
+    )
+    return formatted.select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(
+        _read_back,
+        "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
+        "loss_sha256 string, formatted_chars bigint",
+    )
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the turns and of the learned text, from the output alone."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            turns = chat.parse(row["formatted"])
+            loss = chat.learned_text(row["formatted"], row["loss_from"], row["loss_to"])
+            rows.append(
+                {
+                    "conv_id": row["conv_id"],
+                    "n_turns": len(turns),
+                    "turns_sha256": _sha("".join(f"{r}\n{t}\n" for r, t in turns)),
+                    "loss_chars": len(loss),
+                    "loss_sha256": _sha(loss),
+                    "formatted_chars": len(row["formatted"]),
+                }
+            )
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows)
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _file(path: str) -> bytes:
+    """A tokenizer's definition, read where the query is planned."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
 @_query
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(PRODUCTION_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+@_query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _file(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentencepiece_codec.encode_documents(_documents(spark, sf_dir), model)
+    decoded = sentencepiece_codec.decode_documents(encoded, model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias(
+            "ids_sha256"
+        ),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 @_query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score_quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_ids(_documents(spark, sf_dir))
