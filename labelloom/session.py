@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,5 +52,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Scratch tables of the calls to `settle` that are running.
+_OPEN: list[list[str]] = []
+
+
+def settle(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Write the frame that `make` builds, then remove the scratch tables it was built on.
+
+    For a narrow result of wide intermediate tables. Nothing else that `make` builds may
+    be used afterwards.
+    """
+    _OPEN.append([])
+    try:
+        frame = make()
+        path = scratch_path(spark, name)
+        frame.write.parquet(path)
+    finally:
+        for old in _OPEN.pop():
+            remove_table(spark, old)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder, on any Hadoop file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(folder, True)
