@@ -24,6 +24,49 @@ _SQL = {
                sha256(norm) AS text_sha256
         FROM ranked
     """,
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), placed AS (
+            SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n
+            FROM t
+        ), pairs_of_words AS (
+            SELECT doc_id, n, word,
+                   lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS next
+            FROM placed
+        ), sets AS (
+            SELECT DISTINCT doc_id, word || ' ' || coalesce(next, '') AS shingle
+            FROM pairs_of_words WHERE next IS NOT NULL OR n = 1
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+        ), sized AS (
+            SELECT doc_id, n, shingle FROM sets JOIN sizes USING (doc_id)
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total,
+                   count(*) AS shared
+            FROM sized a JOIN sized b
+              ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+             AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+            GROUP BY a.doc_id, b.doc_id
+        ), links AS (
+            SELECT a, b FROM common WHERE 100 * shared >= 80 * (total - shared)
+            UNION ALL
+            SELECT b, a FROM common WHERE 100 * shared >= 80 * (total - shared)
+        ), reach AS (
+            SELECT doc_id AS id, doc_id AS seen FROM documents
+            UNION
+            SELECT reach.id, links.b FROM reach JOIN links ON reach.seen = links.a
+        ), least AS (
+            SELECT id AS doc_id, min(seen) AS component_id FROM reach GROUP BY id
+        )
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
+               doc_id = component_id AS kept
+        FROM least LEFT JOIN sizes USING (doc_id)
+    """,
     "op6_url_filters": r"""
         WITH parts AS (
             SELECT page_id,

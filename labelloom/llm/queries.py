@@ -123,7 +123,8 @@ def _file(path: str) -> bytes:
 
 @_query
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(PRODUCTION_RULES, "host string, path string, verdict string")
+    rows = ", ".join(str(rule) for rule in PRODUCTION_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)")
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
