@@ -15,6 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 SUBTYPE_PRIORITY = {"harmful": 0, "jailbreak": 1, "safe": 2}
 OTHER_PRIORITY = 3
 
+# Fixed value: the characters that Unicode calls white space, and the separators 1c to 1f.
+WHITE_SPACE = (
+    r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+)
 
 # The Arrow UDFs below are marked non-deterministic so that a filter on their result is
 # not pushed below the projection, which would run them once per use.
@@ -44,16 +48,18 @@ def normalize_text(text: Column | str) -> Column:
     return _per_text(T.StringType(), normalize)(_col(text))
 
 
+def _words(text: Column | str) -> Column:
+    return F.filter(F.split(_col(text), WHITE_SPACE), lambda word: word != "")
+
+
 def word_count(text: Column | str) -> Column:
     """Number of whitespace-separated words; 0 for blank text."""
-    return _per_text(T.IntegerType(), lambda value: len(value.split()))(_col(text))
+    return F.when(_col(text).isNotNull(), F.size(_words(text)))
 
 
 def head_tokens(text: Column | str, n: int = 512) -> Column:
     """The first n whitespace-separated words, joined by single spaces."""
-    return _per_text(
-        T.StringType(), lambda value: " ".join(value.split(maxsplit=n)[:n])
-    )(_col(text))
+    return F.array_join(F.slice(_words(text), 1, n), " ")
 
 
 def char_ngrams(text: Column | str, n: int) -> Column:

@@ -59,21 +59,25 @@ def leaked_rows(df: DataFrame, *, key: str = "prompt_norm", salts: int = 64) ->
 
 
 def drop_leaked(df: DataFrame, *, key: str = "prompt_norm", salts: int = 64) -> DataFrame:
-    """All rows but the leaked safe ones."""
-    return _join_conflicts(df, key, salts, "left_anti")
+    """All rows but the leaked safe ones. Only the safe rows take part in the join."""
+    others = df.where(~F.col("y").eqNullSafe(0))
+    return others.unionByName(_join_conflicts(df, key, salts, "left_anti"))
 
 
 def _join_conflicts(df: DataFrame, key: str, salts: int, how: str) -> DataFrame:
-    """Join on the text hash; blocked rows get a null key and so never match.
+    """The safe rows, joined on the text hash.
 
     Conflicts are few and narrow, so each is repeated per salt, which spreads the
-    copies of one text over `salts` tasks when the join has to shuffle.
+    copies of one text over `salts` tasks when the join has to shuffle. `df` is read for
+    both sides: pass a written table if its text is costly to make.
     """
     conflicts = label_conflicts(df, key=key).select(
         F.col("text_hash").alias("_hash"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
-    keyed = df.withColumn(
-        "_hash", F.when(F.col("y") == 0, F.sha2(F.col(key), 256))
-    ).withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
+    keyed = (
+        df.where("y = 0")
+        .withColumn("_hash", F.sha2(F.col(key), 256))
+        .withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
+    )
     return keyed.join(conflicts, ["_hash", "_salt"], how).drop("_hash", "_salt")

@@ -7,6 +7,7 @@ are scored in one pass. Without it the result is one row.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -18,9 +19,8 @@ from labelloom.session import materialize
 FPR_TARGET = 0.05
 FNR_TARGET = 0.10
 THRESHOLDS = 200  # steps of 0.005 from 0 to 1
-# Distinct scores are ranked in ranges of about this many, up to a number of ranges.
-RANGE_ROWS = 100_000
-MAX_RANGES = 4096
+# Distinct scores are ranked in ranges of about this many.
+RANGE_ROWS = 20_000
 
 
 def confusion(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -75,7 +75,7 @@ def ranking_metrics(
     runs its own window from its starting total. The driver holds the range edges.
     """
     scores = materialize(score_counts(df, by), "scores")
-    ranges = min(MAX_RANGES, scores.count() // range_rows)
+    ranges = math.ceil(scores.count() / range_rows)
     ranged = _with_range(scores, ranges)
     totals = ranged.groupBy(*by, "range").agg(
         F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg")

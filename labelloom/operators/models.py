@@ -25,8 +25,6 @@ from labelloom.session import materialize
 # Fixed value: runs of two or more word characters, in any script.
 WORD_PATTERN = r"(?U)\w\w+"
 
-ROWS_PER_TASK = 10_000
-
 
 @dataclass(frozen=True)
 class TfidfSettings:
@@ -134,13 +132,9 @@ def _tfidf_udf(idf: np.ndarray, sublinear: bool):
 
 
 def _training_rows(df: DataFrame) -> tuple[DataFrame, int]:
-    """The rows written once, as every iteration reads them, and their number.
-
-    Each iteration waits for all tasks, so a small table gets few of them.
-    """
+    """The rows written once, as every iteration reads them, and their number."""
     written = materialize(df, "training")
-    rows = written.count()
-    return written.coalesce(max(1, rows // ROWS_PER_TASK)), rows
+    return written, written.count()
 
 
 def with_balanced_weights(df: DataFrame) -> DataFrame:

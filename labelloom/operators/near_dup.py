@@ -1,10 +1,12 @@
 """Near duplicates: MinHash bands and the greedy keep rule.
 
-The rule visits rows in (priority, row_id) order and drops a row when it shares a
-band bucket with a row already kept. A dropped row does not drop others, so this is
-a maximal independent set in visiting order, not a clustering. It is computed in
-rounds (Blelloch, Fineman, Shun 2012): the first undecided row of *all* its buckets
-is kept, and undecided rows in a bucket of a kept row are dropped.
+The rule visits rows by priority, and inside a priority in the order of a seeded hash of
+row_id, and drops a row when it shares a band bucket with a row already kept. A dropped
+row does not drop others, so this is a maximal independent set in visiting order, not a
+clustering. It is computed in rounds (Blelloch, Fineman, Shun 2012): the first undecided
+row of *all* its buckets is kept, and undecided rows in a bucket of a kept row are dropped.
+In a random order chains of rows that wait for one another are short, so the rounds grow
+with the logarithm of the rows, whatever the buckets look like.
 
 Work is on (row, bucket) membership, never on pairs, so a bucket with a third of the
 table costs what its rows cost. Joins on the bucket split such hot buckets off.
@@ -13,22 +15,17 @@ table costs what its rows cost. Joins on the bucket split such hot buckets off.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from labelloom.functions.ids import hash_order
 from labelloom.functions.minhash import gram_set, minhash_signature
 from labelloom.functions.text import jaccard
 from labelloom.operators.joins import join_splitting_hot_keys
 from labelloom.session import materialize
-# Memberships that one task may visit at the end: some tens of megabytes.
-TAIL_ROWS = 100_000
 
 
 def lsh_bands(threshold: float = 0.8, num_perm: int = 128) -> tuple[int, int]:
@@ -61,19 +58,25 @@ def band_buckets(signature: Column | str, bands: int, rows: int) -> Column:
     )
 
 
+def visiting_rank(seed: int = 42) -> Column:
+    """Priority first, then a seeded random order."""
+    turn = F.substring(hash_order(seed, "near_dup"), 1, 16)
+    return F.struct("priority", turn.alias("turn"), "row_id")
+
+
 def row_buckets(
     df: DataFrame,
     *,
     text: str = "prompt_norm",
-    order: tuple[str, ...] = ("priority", "row_id"),
+    rank: Column | None = None,
     threshold: float = 0.8,
     num_perm: int = 128,
     n_gram: int = 5,
 ) -> DataFrame:
-    """(rank, bucket), one row per band; `rank` is the visiting order."""
+    """(rank, bucket), one row per band; `rank` orders by (priority, row_id) by default."""
     bands, rows = lsh_bands(threshold, num_perm)
     signed = df.select(
-        F.struct(*order).alias("rank"),
+        (F.struct("priority", "row_id") if rank is None else rank).alias("rank"),
         minhash_signature(text, num_perm, n_gram).alias("signature"),
     )
     return signed.select(
@@ -146,19 +149,21 @@ def find_near_duplicates(
     num_perm: int = 128,
     n_gram: int = 5,
     verify: bool = False,
+    seed: int = 42,
 ) -> NearDuplicates:
     """Decide every row of `df(row_id, priority, <text>)`; row_id must be unique.
 
     With `verify`, two rows of a bucket are neighbours only when the exact Jaccard
     similarity of their n-gram sets reaches the threshold.
     """
+    rank = visiting_rank(seed)
     buckets = row_buckets(
-        df, text=text, threshold=threshold, num_perm=num_perm, n_gram=n_gram
+        df, text=text, rank=rank, threshold=threshold, num_perm=num_perm, n_gram=n_gram
     )
     grams = None
     if verify:
         grams = df.select(
-            F.struct("priority", "row_id").alias("rank"),
+            rank.alias("rank"),
             gram_set(text, n_gram).alias("grams"),
         )
     return greedy_keep(buckets, grams=grams, threshold=threshold)
@@ -169,14 +174,8 @@ def greedy_keep(
     *,
     grams: DataFrame | None = None,
     threshold: float = 0.0,
-    tail: int = TAIL_ROWS,
 ) -> NearDuplicates:
-    """The keep rule over (rank, bucket), in rounds until no row is undecided.
-
-    A round settles the next rows of every chain of neighbours, so a few long chains
-    would need many rounds for little data. Once at most `tail` memberships are left,
-    one task visits those rows in order instead.
-    """
+    """The keep rule over (rank, bucket), in rounds until no row is undecided."""
     members = materialize(members, "buckets")
     total = members.count()
     shared = _shared_buckets(members, total)
@@ -184,10 +183,7 @@ def greedy_keep(
         ranks = shared.select("rank").distinct()
         grams = materialize(grams.join(ranks, "rank"), "grams")
     undecided, rounds, outcomes = shared, 0, []
-    while (left := undecided.count()) > 0:
-        if grams is None and left <= tail:
-            outcomes.append(materialize(_visit(undecided), "outcome"))
-            break
+    while not undecided.isEmpty():
         outcome = materialize(_decide(undecided, total, grams, threshold), "outcome")
         rest = undecided.join(outcome.select("rank"), "rank", "left_anti")
         undecided = materialize(rest, "undecided")
@@ -209,15 +205,10 @@ def with_jaccard(
     listing: DataFrame, df: DataFrame, *, text: str = "prompt_norm", n_gram: int = 5
 ) -> DataFrame:
     """Add the exact similarity of each listed pair; one pair per dropped row."""
-    sizes = listing.groupBy("kept_id").agg(F.count("*").alias("n"))
     dropped = df.select(F.col("row_id").alias("dropped_id"), F.col(text).alias("a"))
     kept = df.select(F.col("row_id").alias("kept_id"), F.col(text).alias("b"))
-    return join_splitting_hot_keys(
-        listing.join(dropped, "dropped_id"),
-        kept.join(sizes, "kept_id"),
-        "kept_id",
-        listing.count(),
-    ).select(
+    # Texts are too wide to broadcast: adaptive execution splits a hot keeper.
+    return listing.join(dropped, "dropped_id").join(kept, "kept_id").select(
         "kept_id",
         "dropped_id",
         jaccard(gram_set("a", n_gram), gram_set("b", n_gram)).alias("jaccard"),
@@ -265,46 +256,14 @@ def _decide(
     )
 
 
-def _visit(undecided: DataFrame) -> DataFrame:
-    """(rank, kept, leader) of a bounded rest, by visiting its rows in order."""
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).combine_chunks()
-        keeper, leaders = {}, []
-        for i, buckets in enumerate(rows["keys"].to_pylist()):
-            leader = min((keeper[b] for b in buckets if b in keeper), default=i)
-            if leader == i:
-                keeper.update(dict.fromkeys(buckets, i))
-            leaders.append(leader)
-        leaders = pa.array(leaders, pa.int64())
-        kept = pc.equal(leaders, pa.array(range(len(leaders)), pa.int64()))
-        columns = [rows["rank"], kept, rows["rank"].take(leaders)]
-        yield from pa.table(columns, ["rank", "kept", "leader"]).to_batches()
-
-    key = F.to_json("bucket")
-    ordered = (
-        undecided.groupBy("rank")
-        .agg(F.collect_list(key).alias("keys"))
-        .coalesce(1)
-        .sortWithinPartitions("rank")
-    )
-    rank = undecided.schema["rank"].dataType
-    schema = (
-        T.StructType().add("rank", rank).add("kept", "boolean").add("leader", rank)
-    )
-    return ordered.mapInArrow(visit, schema)
-
-
 def _similar(met: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """Meetings of a row with itself, or with a leader at least `threshold` alike."""
-    met = materialize(met, "met")
-    sizes = met.groupBy("leader").agg(F.count("*").alias("n"))
     own = grams.select("rank", F.col("grams").alias("a"))
     leaders = grams.select(F.col("rank").alias("leader"), F.col("grams").alias("b"))
+    # Gram arrays are too wide to broadcast: adaptive execution splits a hot leader.
     return (
-        join_splitting_hot_keys(
-            met.join(own, "rank"), leaders.join(sizes, "leader"), "leader", met.count()
-        )
+        met.join(own, "rank")
+        .join(leaders, "leader")
         .where(
             (F.col("rank") == F.col("leader")) | (jaccard("a", "b") >= F.lit(threshold))
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.operators import metrics
-from labelloom.operators.joins import join_splitting_hot_keys
+from labelloom.session import materialize
 from labelloom.sources.sinks import is_built
 
 PredictFn = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -49,16 +50,32 @@ def evaluate(
     *,
     model: str,
     reports: str | None = None,
+    source_reports: str | None = None,
+    keep: Sequence[str] = (),
     fpr_target: float = metrics.FPR_TARGET,
     fnr_target: float = metrics.FNR_TARGET,
 ) -> DataFrame:
-    """Score the test rows and report; with `reports`, append to that table too."""
+    """Score the test rows once and report; with `reports`, append to that table too.
+
+    With `source_reports`, the rates per source are appended to that table under the same
+    model and time, so that they can be read back without scoring again. What is scored
+    is written once, without the text: labels, scores, source and the columns to `keep`.
+    """
     scored = score(test)
+    columns = ["y", "y_pred", "y_prob", *keep]
+    if "source" in scored.columns:
+        columns.append("source")
+    scored = materialize(scored.select(*dict.fromkeys(columns)), "scored")
+    run = [
+        F.lit(model).alias("model"),
+        F.lit(datetime.now(timezone.utc)).alias("run_at"),
+    ]
+    if source_reports is not None:
+        per_source = metrics.source_metrics(scored).select(*run, "*")
+        per_source.write.mode("append").parquet(source_reports)
     report = metrics.binary_report(
         scored, fpr_target=fpr_target, fnr_target=fnr_target
-    ).select(
-        F.lit(model).alias("model"), F.current_timestamp().alias("run_at"), "*"
-    )
+    ).select(*run, "*")
     if reports is None:
         return report
     report.write.mode("append").parquet(reports)
@@ -66,6 +83,35 @@ def evaluate(
     return saved.orderBy(F.desc("run_at")).limit(1)
 
 
+def latest_source_metrics(source_reports: DataFrame) -> DataFrame:
+    """(model, run_at, source, n, f1, fpr, fnr) of each model's latest run."""
+    latest = source_reports.groupBy("model").agg(F.max("run_at").alias("run_at"))
+    return source_reports.join(latest, ["model", "run_at"])
+
+
+def join_scores(test: DataFrame, scores: DataFrame) -> DataFrame:
+    """Add y_pred and y_prob computed elsewhere, matched by `row_id`.
+
+    Every test row needs exactly one score: a missing or doubled one fails the job.
+    """
+    counted = scores.groupBy(F.col("row_id").alias("_of")).agg(
+        F.count("*").alias("_n"),
+        F.struct(F.max("y_pred").alias("y_pred"), F.max("y_prob").alias("y_prob")).alias("_s"),
+    )
+    fault = F.concat(
+        F.lit("row_id "),
+        F.coalesce(F.col("row_id").cast("string"), F.lit("null")),
+        F.when(F.col("_n").isNull(), " has no score").otherwise(" has several scores"),
+    )
+    # Both columns come out of the check, so that pruning one cannot skip it.
+    checked = F.when(F.col("_n") == 1, F.col("_s")).otherwise(F.raise_error(fault))
+    return (
+        test.join(counted, F.col("row_id") == F.col("_of"), "left")
+        .withColumn("_s", checked)
+        .select(*test.columns, "_s.y_pred", "_s.y_prob")
+    )
+
+
 def content_hash(text: str | Column = "prompt") -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
@@ -81,15 +127,15 @@ def embed_with_cache(
     """Add `embedding`; texts already in the cache table are not encoded again.
 
     The cache is Parquet (content_hash, model, embedding), partitioned by model. Each
-    missing text is encoded once however many rows carry it.
+    missing text is encoded once however many rows carry it; null texts have no embedding.
     """
     spark = df.sparkSession
-    keyed = df.withColumn("content_hash", content_hash(text))
-    wanted = keyed.groupBy("content_hash").agg(
-        F.first(text).alias("text"), F.count("*").alias("n")
-    )
+    # Written once: the input is read for the missing texts and for the join.
+    keyed = materialize(df.withColumn("content_hash", content_hash(text)), "embed-rows")
     target = f"{cache.rstrip('/')}/model={model}"
-    missing = wanted.select("content_hash", "text")
+    missing = keyed.where("content_hash IS NOT NULL").groupBy("content_hash").agg(
+        F.first(text).alias("text")
+    )
     if is_built(spark, target):
         known = spark.read.parquet(target).select("content_hash")
         missing = missing.join(known, "content_hash", "left_anti")
@@ -105,11 +151,11 @@ def embed_with_cache(
         encode, "content_hash string, embedding array<float>"
     )
     encoded.write.mode("append").parquet(target)
-    vectors = spark.read.parquet(target).select("content_hash", "embedding")
-    sizes = wanted.select("content_hash", "n")
-    return join_splitting_hot_keys(
-        keyed, vectors.join(sizes, "content_hash"), "content_hash", df.count()
-    ).drop("content_hash", "n")
+    # Two runs at a time may both have encoded a text: one vector each counts.
+    vectors = spark.read.parquet(target).groupBy("content_hash").agg(
+        F.first("embedding").alias("embedding")
+    )
+    return keyed.join(vectors, "content_hash", "left").drop("content_hash")
 
 
 def model_scores(

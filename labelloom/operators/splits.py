@@ -11,6 +11,7 @@ is not shuffled. `row_id` must be unique.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,7 +22,8 @@ from labelloom.functions.ids import hash_order, stratum_key
 from labelloom.operators.stats import fingerprint
 from labelloom.session import materialize
 
-PREFIX_DIGITS = 3
+# A hash prefix is made long enough to hold about this many rows.
+PREFIX_ROWS = 10_000
 _AFTER_ALL = "~"  # sorts after every hex digit
 
 
@@ -37,8 +39,10 @@ def cut_hashes(
     Position 0 cuts before every row; a position past the last row cuts after all.
     The result is written out, so later actions do not rank again.
     """
-    keys = df.select(stratum.alias("stratum"), order.alias("h"))
-    prefix = F.substring("h", 1, PREFIX_DIGITS).alias("prefix")
+    keys = materialize(df.select(stratum.alias("stratum"), order.alias("h")), "order")
+    largest = keys.groupBy("stratum").count().agg(F.max("count")).first()[0] or 0
+    digits = max(0, math.ceil(math.log(max(1, largest) / PREFIX_ROWS, 16)))
+    prefix = F.substring("h", 1, digits).alias("prefix")
     counts = keys.groupBy("stratum", prefix).agg(F.count("*").alias("n"))
     sizes = counts.groupBy("stratum").agg(F.sum("n").alias("n"))
     in_order = Window.partitionBy("stratum").orderBy("prefix")
@@ -190,7 +194,8 @@ def _class_quota(target: Callable[[Column, Column], dict[int, Column]]) -> Posit
         block = F.coalesce(F.sum(F.when(y == "1", F.col("n"))).over(group), F.lit(0))
         safe = F.coalesce(F.sum(F.when(y == "0", F.col("n"))).over(group), F.lit(0))
         targets = target(block, safe)
-        wanted = F.when(y == "1", targets[1]).otherwise(targets[0])
+        # Rows with a label other than 0 and 1 belong to neither class.
+        wanted = F.when(y == "1", targets[1]).when(y == "0", targets[0]).otherwise(0)
         return sizes.select("stratum", F.least(F.col("n"), wanted).alias("quota"))
 
     return quotas
@@ -214,7 +219,7 @@ def _prevalent(block_frac: float):
 
 
 def _class_stratum(group: Column) -> Column:
-    return F.concat_ws("_", group, F.col("y").cast("string"))
+    return F.concat_ws("_", group, F.coalesce(F.col("y").cast("string"), F.lit("null")))
 
 
 def balance_classes(df: DataFrame, *, ratio: float = 1.0, seed: int = 42) -> DataFrame:
@@ -391,5 +396,6 @@ def split_manifest(
         F.lit(settings.test_frac).alias("test_frac"),
         F.lit(settings.val_frac).alias("val_frac"),
         F.lit(settings.block_frac).alias("block_frac"),
+        F.lit(settings.ratio).alias("ratio"),
         "*",
     )

@@ -59,7 +59,8 @@ def length_histogram(
 ) -> DataFrame:
     """(y, bin, low, high, n): lengths clipped at a quantile, equal-width bins.
 
-    The last bin is closed. Works on the per-length counts, not on the rows.
+    Every bin has a row, empty ones with n = 0; the last one is closed. Works on the
+    per-length counts, not on the rows.
     """
     counts = length_counts(df, "y", text=text)
     limits = counts.groupBy("y").agg(
@@ -97,19 +98,26 @@ def length_histogram(
         )
         .otherwise(F.col("bin"))
     )
-    return (
+    filled = (
         spread.withColumn("bin", guess)
         .withColumn("bin", exact)
-        .select(
-            "y",
-            "bin",
-            edge(F.col("bin")).alias("low"),
-            edge(F.col("bin") + 1).alias("high"),
-            "n",
-        )
-        .groupBy("y", "bin", "low", "high")
+        .groupBy("y", "bin")
         .agg(F.sum("n").alias("n"))
     )
+    every = (
+        spread.groupBy("y")
+        .agg(F.min("low").alias("low"), F.max("top").alias("top"))
+        .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        .withColumn("bin", F.col("bin").cast("long"))
+    )
+    same = every["y"].eqNullSafe(filled["y"]) & (every["bin"] == filled["bin"])
+    return every.join(filled, same, "left").select(
+        every["y"],
+        every["bin"],
+        edge(every["bin"]).alias("low"),
+        edge(every["bin"] + 1).alias("high"),
+        F.coalesce(filled["n"], F.lit(0)).alias("n"),
+    )
 
 
 def describe_words(df: DataFrame, *, text: str = "prompt") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.functions.ids import with_row_id
 from labelloom.functions.text import length_between, normalize_text
 from labelloom.operators import stats
-from labelloom.operators.dedup import drop_leaked, exact_dedup, leaked_rows, with_priority
+from labelloom.operators.dedup import drop_leaked, exact_dedup, with_priority
 from labelloom.operators.near_dup import (
     NearDuplicates,
     drop_near_duplicates,
@@ -90,16 +90,15 @@ def build_dataset(raw: DataFrame, settings: BuildSettings = BuildSettings()) ->
         n_gram=settings.n_gram,
         verify=settings.verify,
     )
-    distinct = drop_near_duplicates(exact, near)
-    unified = drop_leaked(distinct)
-    funnel = stage_funnel(raw, exact, near, distinct)
-    return BuildResult(
-        unified.drop("prompt_norm", "priority", "copies"), funnel, near
-    )
+    distinct = materialize(drop_near_duplicates(exact, near), "distinct")
+    unified = drop_leaked(distinct).drop("prompt_norm", "priority", "copies")
+    # Written once: the statistics and the saved table both read it.
+    unified = materialize(unified, "unified")
+    return BuildResult(unified, stage_funnel(raw, exact, distinct, unified), near)
 
 
 def stage_funnel(
-    raw: DataFrame, exact: DataFrame, near: NearDuplicates, distinct: DataFrame
+    raw: DataFrame, exact: DataFrame, distinct: DataFrame, unified: DataFrame
 ) -> DataFrame:
     """(position, stage, n): rows in, rows each stage drops, rows out.
 
@@ -117,8 +116,8 @@ def stage_funnel(
             )
             .scalar()
             .alias("exact"),
-            near.dropped.agg(F.count("*")).scalar().alias("near"),
-            leaked_rows(distinct).agg(F.count("*")).scalar().alias("leaked"),
+            distinct.agg(F.count("*")).scalar().alias("distinct"),
+            unified.agg(F.count("*")).scalar().alias("unified"),
         )
     )
     texts = F.col("exact.texts")
@@ -126,9 +125,9 @@ def stage_funnel(
         ("raw_total", F.col("raw")),
         ("dropped_length", F.col("raw") - F.col("exact.rows")),
         ("dropped_exact_dedup", F.col("exact.rows") - texts),
-        ("dropped_minhash_dedup", F.col("near")),
-        ("dropped_leak_check", F.col("leaked")),
-        ("total_after_dedup", texts - F.col("near") - F.col("leaked")),
+        ("dropped_minhash_dedup", texts - F.col("distinct")),
+        ("dropped_leak_check", F.col("distinct") - F.col("unified")),
+        ("total_after_dedup", F.col("unified")),
     ]
     rows = F.array(
         *[

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from labelloom.operators.splits import SplitSettings, make_splits, split_manifest
-from labelloom.sources.sinks import build_once, write_document
+from labelloom.operators.stats import fingerprint
+from labelloom.sources.sinks import build_once, is_built, write_document
 
 
 def save_splits(
@@ -14,12 +15,32 @@ def save_splits(
     manifest_path: str,
     settings: SplitSettings = SplitSettings(),
 ) -> DataFrame:
-    """One table partitioned by `split`, built only if it is not there yet."""
+    """One table partitioned by `split`, built only if it is not there yet.
+
+    The manifest names the input and the settings of the splits that lie there. Asking
+    for others than those is an error: remove the splits first. Splits without a manifest
+    are from a run that broke off, and are built again.
+    """
+    spark = unified.sparkSession
+    if is_built(spark, splits_path) and is_built(spark, manifest_path):
+        _check_manifest(unified, manifest_path, settings)
+        return spark.read.parquet(splits_path)
     splits = build_once(
-        unified.sparkSession,
+        spark,
         splits_path,
         lambda: make_splits(unified, settings),
         partition_by=["split"],
+        again=True,
     )
     write_document(split_manifest(unified, splits, settings), manifest_path)
     return splits
+
+
+def _check_manifest(unified: DataFrame, path: str, settings: SplitSettings) -> None:
+    names = ["seed", "test_frac", "val_frac", "block_frac", "ratio"]
+    wanted = {name: getattr(settings, name) for name in names}
+    wanted["content_hash"] = unified.transform(fingerprint).first()[0]
+    row = unified.sparkSession.read.json(path).first().asDict()
+    other = sorted(name for name, value in wanted.items() if row.get(name) != value)
+    if other:
+        raise ValueError(f"the splits were built with another {', '.join(other)}")

@@ -19,7 +19,7 @@ PRIORITY = (
 )
 
 RAW = """raw AS (
-  SELECT d.doc_id AS row_id, d.text AS prompt, d.source,
+  SELECT d.doc_id::VARCHAR AS row_id, d.text AS prompt, d.source,
          CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS y,
          CASE WHEN l.toxic = 1 THEN 'jailbreak' ELSE 'safe' END AS subtype
   FROM documents d LEFT JOIN labels l USING (doc_id) WHERE length(d.text) > 0)"""
@@ -50,7 +50,8 @@ NORMED = f"""normed AS (
 EXACT = """exact AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY prompt_norm ORDER BY priority, row_id) AS rn,
-           count(*) OVER (PARTITION BY prompt_norm) AS copies FROM normed)
+           count(*) OVER (PARTITION BY prompt_norm) AS copies,
+           substr(sha256('42|near_dup|' || row_id), 1, 16) AS turn FROM normed)
   WHERE rn = 1)"""
 
 SCORED = """scored AS (
@@ -141,14 +142,14 @@ BUCKETS = (
     SIGNATURES.format(table="exact")
     + """,
 buckets AS (
-  SELECT priority, row_id, band, sig[13 * band + 1 : 13 * band + 13] AS part
+  SELECT priority, turn, row_id, band, sig[13 * band + 1 : 13 * band + 13] AS part
   FROM signatures JOIN exact USING (row_id) CROSS JOIN range(9) AS t(band))"""
 )
 
 PAIRS = """pairs AS (
   SELECT DISTINCT a.row_id AS earlier, b.row_id AS later
   FROM buckets a JOIN buckets b USING (band, part)
-  WHERE (a.priority, a.row_id) < (b.priority, b.row_id))"""
+  WHERE (a.priority, a.turn, a.row_id) < (b.priority, b.turn, b.row_id))"""
 
 SIMILAR = """
 gram_lists AS (
@@ -161,11 +162,11 @@ jaccards AS (
   FROM pairs JOIN gram_lists a ON a.row_id = earlier JOIN gram_lists b ON b.row_id = later)"""
 
 WALK = """nodes AS (
-  SELECT row_number() OVER (ORDER BY priority, row_id) AS i, row_id, before
+  SELECT row_number() OVER (ORDER BY priority, turn, row_id) AS i, row_id, before
   FROM (SELECT later AS row_id, list(earlier) AS before FROM {pairs} GROUP BY later)
   JOIN exact USING (row_id)),
 walk(i, dropped) AS (
-  SELECT 0::BIGINT, []::BIGINT[]
+  SELECT 0::BIGINT, []::VARCHAR[]
   UNION ALL
   SELECT nodes.i, CASE WHEN list_has_all(walk.dropped, before) THEN walk.dropped
                        ELSE list_append(walk.dropped, row_id) END
@@ -270,14 +271,18 @@ MAKE_SPLITS = ",\n".join(
 
 BUILT = ",\n".join([RAW, NORMED, EXACT, BUCKETS, PAIRS, WALK.format(pairs="pairs")])
 
-FUNNEL = """funnel AS (
+FUNNEL = """left_over AS (
+  SELECT * FROM exact WHERE row_id NOT IN (SELECT row_id FROM gone)),
+funnel AS (
   SELECT * FROM (VALUES
     (0, 'raw_total', (SELECT count(*) FROM raw)),
     (1, 'dropped_length', (SELECT count(*) FROM raw) - (SELECT count(*) FROM normed)),
     (2, 'dropped_exact_dedup', (SELECT count(*) FROM normed) - (SELECT count(*) FROM exact)),
     (3, 'dropped_minhash_dedup', (SELECT count(*) FROM gone)),
-    (4, 'dropped_leak_check', 0::BIGINT),
-    (5, 'total_after_dedup', (SELECT count(*) FROM exact) - (SELECT count(*) FROM gone)))
+    (4, 'dropped_leak_check', (SELECT count(*) FROM left_over l WHERE y = 0 AND EXISTS (
+      SELECT 1 FROM left_over r WHERE r.y = 1 AND r.prompt_norm = l.prompt_norm))),
+    (5, 'total_after_dedup', (SELECT count(*) FROM left_over l WHERE y = 1 OR NOT EXISTS (
+      SELECT 1 FROM left_over r WHERE r.y = 1 AND r.prompt_norm = l.prompt_norm))))
   AS t(position, stage, n))"""
 
 QUANTILES = ", ".join(
@@ -330,7 +335,9 @@ FROM documents""",
   [w FOR w IN regexp_split_to_array(text, '{SPACE}') IF w <> ''] AS w FROM documents)
 SELECT doc_id, len(w)::INTEGER AS words, substr(text, 1, 120) AS preview,
   sha256(coalesce(array_to_string(w[1:512], ' '), '')) AS head_hash FROM words""",
-        "ngram_counts": "SELECT doc_id, greatest(length(text) - 4, 0)::INTEGER AS n_grams FROM documents",
+        "ngram_counts": """SELECT doc_id, greatest(length(text) - 4, 0)::INTEGER AS n_grams,
+  md5(coalesce(array_to_string([substr(text, i, 5) FOR i IN range(1, length(text) - 3)], '|'), ''))
+  AS grams_md5 FROM documents""",
         "subtype_priorities": f"{_with(SOURCES)} SELECT subtype, {PRIORITY} AS priority, count(*) AS n FROM raw GROUP BY ALL",
         "unify_counts": f"{exact} SELECT source, y, count(*) AS n FROM exact GROUP BY ALL",
         "exact_dedup_rows": f"{exact} SELECT row_id, y, subtype, copies FROM exact",
@@ -357,8 +364,8 @@ SELECT row_id, source, y FROM exact WHERE row_id NOT IN (SELECT row_id FROM gone
   WALK.format(pairs="alike"), recursive=True)}
 SELECT row_id, source, y FROM exact WHERE row_id NOT IN (SELECT row_id FROM gone)""",
         "near_dup_listing": f"""{_with(BUILT, SIMILAR, recursive=True)}
-SELECT (min((e.priority, e.row_id)))[2] AS kept_id, later AS dropped_id,
-  round(arg_min(jaccard, (e.priority, e.row_id)), 6) AS jaccard
+SELECT (min((e.priority, e.turn, e.row_id)))[3] AS kept_id, later AS dropped_id,
+  round(arg_min(jaccard, (e.priority, e.turn, e.row_id)), 6) AS jaccard
 FROM jaccards JOIN exact e ON e.row_id = earlier
 WHERE later IN (SELECT row_id FROM gone) AND earlier NOT IN (SELECT row_id FROM gone)
 GROUP BY later""",
@@ -375,9 +382,9 @@ UNION ALL SELECT 'length_quantiles', name, v FROM (UNPIVOT q ON p25, p50, p75, p
   count(*) FILTER (y = 1) AS block FROM raw GROUP BY source""",
         "length_quantiles": f"{exact} SELECT {QUANTILES} FROM exact",
         "length_histogram": f"""{_with(RAW, HISTOGRAM)}
-SELECT y, i AS bin, round(low_edge, 6) AS low, round(high_edge, 6) AS high, count(*) AS n
-FROM clipped JOIN edges USING (y)
-WHERE (x >= low_edge OR i = 0) AND (x < high_edge OR i = 49) GROUP BY ALL""",
+SELECT edges.y, i AS bin, round(low_edge, 6) AS low, round(high_edge, 6) AS high, count(x) AS n
+FROM edges LEFT JOIN clipped ON clipped.y = edges.y
+ AND (x >= low_edge OR i = 0) AND (x < high_edge OR i = 49) GROUP BY ALL""",
         "word_describe": f"""{raw}, words AS (SELECT y, len(
   [w FOR w IN regexp_split_to_array(prompt, '{SPACE}') IF w <> ''])::INTEGER AS w FROM raw)
 SELECT y, count(*) AS count, round(avg(w), 6) AS mean, round(stddev_samp(w), 6) AS std,
@@ -408,10 +415,11 @@ SELECT row_id, stratum, split FROM split_rows""",
   count(*) FILTER (y = 1) AS block, round(count(*) FILTER (y = 1)::DOUBLE / count(*), 6) AS block_frac
 FROM kept""",
         "fold_assign": f"{_with(RAW, _folds('raw', 'folded'))} SELECT row_id, stratum, fold FROM folded",
-        "fold_train_balanced": f"""{_with(RAW, _folds('raw', 'folded'),
-  "others AS (SELECT * FROM folded WHERE fold <> 0)", _balance('others', 'train'))}
-SELECT 'train' AS part, y, count(*) AS n FROM train GROUP BY y
-UNION ALL SELECT 'validation', y, count(*) FROM folded WHERE fold = 0 GROUP BY y""",
+        "fold_train_balanced": f"""{_with(RAW, _folds('raw', 'folded'))},
+outside AS (
+  SELECT f AS of_fold, y, count(*) AS n FROM folded JOIN range(5) AS t(f) ON fold <> f GROUP BY ALL)
+SELECT of_fold::INTEGER AS of_fold, 'train' AS part, y, least(n, min(n) OVER (PARTITION BY of_fold)) AS n FROM outside
+UNION ALL SELECT fold, 'validation', y, count(*) FROM folded GROUP BY fold, y""",
         "sample_n": f"{raw} SELECT row_id, source FROM raw ORDER BY {_order(7, 'sample')} LIMIT 50",
         "sample_fraction": f"""{raw} SELECT row_id, source FROM raw
 QUALIFY row_number() OVER (ORDER BY {_order(42, 'sample')})
@@ -458,6 +466,24 @@ UNION ALL SELECT 'fpr', model, fpr, 0.05 FROM c UNION ALL SELECT 'fnr', model, f
 {CONFUSION},
 {RANKING} SELECT model, tp, fp, tn, fn, round({F1}, 6) AS f1, round(auroc, 6) AS auroc
 FROM confusion JOIN roc USING (model)""",
+        "stored_source_metrics": f"""{raw}, counts AS (
+  SELECT source, count(*) AS n,
+         count(*) FILTER (y = 0 AND NOT p) AS tn, count(*) FILTER (y = 0 AND p) AS fp,
+         count(*) FILTER (y = 1 AND NOT p) AS fn, count(*) FILTER (y = 1 AND p) AS tp
+  FROM (SELECT *, length(prompt) % 97 >= 48 AS p FROM raw) GROUP BY source)
+SELECT 'length' AS model, source, n, round({F1}, 6) AS f1, round({FPR}, 6) AS fpr,
+  round({FNR}, 6) AS fnr FROM counts""",
+        "external_scores": f"""{raw}, counts AS (
+  SELECT count(*) FILTER (y = 0 AND NOT p) AS tn, count(*) FILTER (y = 0 AND p) AS fp,
+         count(*) FILTER (y = 1 AND NOT p) AS fn, count(*) FILTER (y = 1 AND p) AS tp
+  FROM (SELECT *, length(prompt) % 97 >= 48 AS p FROM raw))
+SELECT tn, fp, fn, tp, round({F1}, 6) AS f1, round({ACCURACY}, 6) AS accuracy FROM counts""",
+        "saved_splits_manifest": f"""{_with(SOURCES, MAKE_SPLITS)}, counts AS (
+  SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val,
+         count(*) FILTER (split = 'test') AS test FROM made)
+SELECT {_fingerprint('raw')} AS content_hash, train, val, test,
+  train AS n_train, val AS n_val, test AS n_test FROM counts""",
+        "report_files": f"{confusion} SELECT model, tn, fp, fn, tp FROM confusion",
         "report_documents": f"""{confusion} SELECT '{{"model":"' || model || '","tn":' || tn || ',"fp":' || fp
   || ',"fn":' || fn || ',"tp":' || tp || '}}' AS document FROM confusion""",
         "tfidf_terms": f"""{_with(RAW, TERMS)},

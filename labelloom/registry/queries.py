@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -21,6 +22,7 @@ from labelloom.functions.text import (
 )
 from labelloom.operators import dedup, metrics, models, near_dup, scoring, splits, stats
 from labelloom.plans.build import build_dataset, deduplicated, normalized
+from labelloom.plans.split import save_splits
 from labelloom.session import materialize, scratch_path
 from labelloom.sources.loaders import (
     LoadResult,
@@ -30,7 +32,7 @@ from labelloom.sources.loaders import (
     load_all,
     taxonomy_source,
 )
-from labelloom.sources.sinks import as_json, read_table, write_table
+from labelloom.sources.sinks import as_json, read_table, write_document, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -204,7 +206,11 @@ def ngram_counts(spark, sf_dir):
     grams = _table(spark, sf_dir, "documents").select(
         "doc_id", char_ngrams("text", 5).alias("grams")
     )
-    return grams.select("doc_id", F.size("grams").alias("n_grams"))
+    return grams.select(
+        "doc_id",
+        F.size("grams").alias("n_grams"),
+        F.md5(F.array_join("grams", "|")).alias("grams_md5"),
+    )
 
 
 @_query
@@ -244,13 +250,13 @@ def exact_dedup_prefer_label(spark, sf_dir):
 
 @_query
 def leak_rows(spark, sf_dir):
-    rows = normalized(_sources(spark, sf_dir, spread=True).table)
+    rows = materialize(normalized(_sources(spark, sf_dir, spread=True).table), "normalized")
     return dedup.leaked_rows(rows).select("row_id", "source", "subtype")
 
 
 @_query
 def leak_free_counts(spark, sf_dir):
-    rows = normalized(_sources(spark, sf_dir, spread=True).table)
+    rows = materialize(normalized(_sources(spark, sf_dir, spread=True).table), "normalized")
     return stats.count_by(dedup.drop_leaked(rows), "source", "y")
 
 
@@ -420,15 +426,18 @@ def fold_assign(spark, sf_dir):
 
 @_query
 def fold_train_balanced(spark, sf_dir):
-    folded = splits.assign_folds(_labelled_documents(spark, sf_dir), k=5)
-    train, held_out = splits.fold_frames(folded, 0)
-    return stats.count_by(
-        train.withColumn("part", F.lit("train")).unionByName(
-            held_out.withColumn("part", F.lit("validation"))
-        ),
-        "part",
-        "y",
+    """Sizes of the balanced training rows and the validation rows of every fold."""
+    folded = materialize(
+        splits.assign_folds(_labelled_documents(spark, sf_dir).drop("prompt"), k=5), "folded"
     )
+    parts = []
+    for fold in range(5):
+        train, held_out = splits.fold_frames(folded, fold)
+        parts += [
+            part.select(F.lit(fold).alias("of_fold"), F.lit(name).alias("part"), "y")
+            for name, part in (("train", train), ("validation", held_out))
+        ]
+    return stats.count_by(functools.reduce(DataFrame.unionAll, parts), "of_fold", "part", "y")
 
 
 @_query
@@ -525,11 +534,14 @@ def comparison_series(spark, sf_dir):
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The comparison over an append-only reports table with two runs per model."""
+    """The comparison over an append-only reports table: the first of two runs per model
+    predicts the opposite, and only the second may count."""
     path = scratch_path(spark, "reports")
-    made = metrics.binary_report(_scored(spark, sf_dir), ["model"])
-    runs = F.explode(F.array(F.lit("2024-01-01"), F.lit("2024-01-02")))
-    write_table(made.withColumn("run_at", runs), path, mode="append")
+    scored = _scored(spark, sf_dir)
+    opposite = scored.withColumn("y_pred", 1 - F.col("y_pred"))
+    for run_at, rows in (("2024-01-02", scored), ("2024-01-01", opposite)):
+        made = metrics.binary_report(rows, ["model"])
+        write_table(made.withColumn("run_at", F.lit(run_at)), path, mode="append")
     reports = read_table(spark, path)
     return metrics.comparison(reports, models=["m4", "m3", "m2", "m1", "m0"])
 
@@ -587,6 +599,65 @@ def tfidf_terms(spark, sf_dir):
     return terms.withColumn("idf", F.round("idf", 6))
 
 
+def _length_score(rows: DataFrame) -> DataFrame:
+    probability = (F.length("prompt") % 97) / 96
+    return rows.withColumn("y_prob", probability).withColumn(
+        "y_pred", (probability >= 0.5).cast("int")
+    )
+
+
+@_query
+def stored_source_metrics(spark, sf_dir):
+    """The rates per source that an evaluation stored, read back without scoring."""
+    path = scratch_path(spark, "source-reports")
+    rows = _labelled_documents(spark, sf_dir)
+    for part in (rows.where("y = 1"), rows):  # the second run is the latest
+        scoring.evaluate(
+            part,
+            _length_score,
+            model="length",
+            reports=scratch_path(spark, "reports"),
+            source_reports=path,
+        )
+    latest = scoring.latest_source_metrics(spark.read.parquet(path))
+    return latest.select("model", "source", "n", *_rounded("f1", "fpr", "fnr"))
+
+
+@_query
+def external_scores(spark, sf_dir):
+    """Scores made elsewhere, matched to the test rows by id, and their report."""
+    rows = _labelled_documents(spark, sf_dir)
+    scores = _length_score(rows).select("row_id", "y_pred", "y_prob")
+    joined = scoring.join_scores(rows.drop("prompt"), scores)
+    return metrics.with_rates(metrics.confusion(joined)).select(
+        "tn", "fp", "fn", "tp", *_rounded("f1", "accuracy")
+    )
+
+
+@_query
+def saved_splits_manifest(spark, sf_dir):
+    """The manifest and the counts of splits that were saved, both read back."""
+    rows = materialize(_sources(spark, sf_dir).table, "unified")
+    splits_path, manifest = scratch_path(spark, "splits"), scratch_path(spark, "manifest")
+    for _ in range(2):  # the second call finds them built
+        saved = save_splits(rows, splits_path, manifest)
+    written = spark.read.json(manifest).select("content_hash", "train", "val", "test")
+    counts = saved.agg(
+        F.count_if(F.col("split") == "train").alias("n_train"),
+        F.count_if(F.col("split") == "val").alias("n_val"),
+        F.count_if(F.col("split") == "test").alias("n_test"),
+    )
+    return written.join(counts)
+
+
+@_query
+def report_files(spark, sf_dir):
+    """One JSON document per model in a file, read back."""
+    path = scratch_path(spark, "documents")
+    write_document(metrics.confusion(_scored(spark, sf_dir), ["model"]), path)
+    return spark.read.json(path).select("model", "tn", "fp", "fn", "tp")
+
+
 @_query
 def embed_cache(spark, sf_dir):
     """Encode half of the rows first, then all: the second run reuses the cache."""

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelloom.functions.ids import with_row_id
+
 LABELLED_SCHEMA = T.StructType(
     [
         T.StructField("prompt", T.StringType()),
@@ -129,19 +131,23 @@ def load_all(
 ) -> LoadResult:
     """Union of the sources that can be resolved; the others are reported.
 
-    A source fails here when its table or a needed column is missing. An error
-    while reading rows fails the job instead: dropping half-read data is unsafe.
+    A source fails here when its table or a needed column is missing, or when it does
+    not have the columns and types of the union: those of a labelled table and, if any
+    source names row ids, a string `row_id`, which the others then get from content. An
+    error while reading rows fails the job instead: dropping half-read data is unsafe.
     """
     frames, status = [], []
     for name, load in sources.items():
         try:
             frame = load()
-            frame.schema  # resolves the plan
+            _check_columns(frame)
         except (PySparkException, ValueError, OSError, RuntimeError) as error:
             status.append((name, "failed", str(error).split("\n")[0]))
         else:
             frames.append(frame)
             status.append((name, "loaded", None))
+    if any("row_id" in frame.columns for frame in frames):
+        frames = [with_row_id(frame) for frame in frames]
     table = (
         functools.reduce(DataFrame.unionByName, frames)
         if frames
@@ -153,6 +159,17 @@ def load_all(
     )
 
 
+def _check_columns(frame: DataFrame) -> None:
+    """Raises unless the frame can join the union; resolves the frame's plan."""
+    wanted = {field.name: field.dataType for field in LABELLED_SCHEMA}
+    wanted["row_id"] = T.StringType()
+    found = {field.name: field.dataType for field in frame.schema}
+    missing = set(LABELLED_SCHEMA.names) - set(found)
+    other = {name for name, kind in found.items() if wanted.get(name) != kind}
+    if missing or other:
+        raise ValueError(f"columns missing {sorted(missing)}, not as expected {sorted(other)}")
+
+
 def empty_labelled(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LABELLED_SCHEMA)
 
@@ -183,5 +200,5 @@ def _labelled(
     ]
     if row_id is not None:
         row_id = F.col(row_id) if isinstance(row_id, str) else row_id
-        columns.append(row_id.alias("row_id"))
+        columns.append(row_id.cast("string").alias("row_id"))
     return df.select(*columns).where(F.length("prompt") > 0)

@@ -51,9 +51,10 @@ def build_once(
     build: Callable[[], DataFrame],
     *,
     partition_by: Sequence[str] = (),
+    again: bool = False,
 ) -> DataFrame:
-    """Build and write the table unless a finished one is already there."""
-    if not is_built(spark, path):
+    """Build and write the table unless a finished one is already there, or `again`."""
+    if again or not is_built(spark, path):
         write_table(build(), path, partition_by=partition_by)
     return read_table(spark, path)
 

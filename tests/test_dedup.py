@@ -11,50 +11,41 @@ from labelloom.plans.build import deduplicated, normalized
 SMALL = BuildSettings(num_perm=64, n_gram=3)
 
 
-def test_exact_duplicates_after_normalising(labelled):
-    raw = labelled(
-        [
-            ("Same prompt", 1, "a", "jailbreak"),
-            ("same prompt", 1, "b", "jailbreak"),
-            ("Different prompt", 0, "c", "safe"),
-        ]
-    )
-    assert build_dataset(raw, SMALL).unified.count() == 2
-
-
-def test_length_filter(labelled):
-    raw = labelled([("ok", 1, "a", "jailbreak"), ("long enough prompt", 1, "a", "jailbreak")])
-    rows = build_dataset(raw, SMALL).unified.collect()
-    assert [r.prompt for r in rows] == ["long enough prompt"]
-
-
-def test_safe_copy_of_a_blocked_text_goes(labelled):
-    raw = labelled(
-        [
-            ("harmful content here", 1, "a", "harmful"),
-            ("Harmful content here", 0, "benign", "safe"),
-        ]
-    )
-    assert [r.y for r in build_dataset(raw, SMALL).unified.collect()] == [1]
-
-
-def test_harmful_outranks_jailbreak(labelled):
-    raw = labelled(
-        [
-            ("exact same text", 1, "first", "jailbreak"),
-            ("exact same text", 1, "second", "harmful"),
-        ]
-    )
-    assert [r.subtype for r in build_dataset(raw, SMALL).unified.collect()] == ["harmful"]
-
-
-def test_output_schema(labelled):
-    unified = build_dataset(labelled([("a valid prompt text", 1, "a", "jailbreak")]), SMALL).unified
-    assert set(unified.columns) == {"row_id", "prompt", "y", "source", "subtype"}
+def plain_unify(rows, least, most):
+    """(prompt, y, subtype) that are left, one text at a time, without near duplicates."""
+    rank = {"harmful": 0, "jailbreak": 1, "safe": 2}
+    best = {}
+    for row_id, (prompt, y, _, subtype) in enumerate(rows):
+        norm = " ".join(prompt.lower().split())
+        if least <= len(norm) <= most:
+            best.setdefault(norm, []).append((rank.get(subtype, 3), row_id, prompt, y, subtype))
+    return sorted(min(group)[2:] for group in best.values())
+
+
+def test_build_equals_plain_python(labelled):
+    """Texts are numbers in words, so different ones share few characters in a row."""
+    rng = random.Random(21)
+    digits = "zero one two three four five six seven eight nine".split()
+    rows = []
+    for _ in range(80):
+        words = [digits[int(d)] for d in f"{rng.randrange(40) * 7919 % 100_000:05d}"]
+        prompt = rng.choice([" ", "  ", "\n"]).join(words)
+        if rng.random() < 0.5:
+            prompt = prompt.upper()
+        subtype, y = rng.choice([("harmful", 1), ("jailbreak", 1), ("safe", 0), ("O7", 1)])
+        rows.append((prompt, y, rng.choice("pq"), subtype))
+    rows += [("six", 1, "p", "harmful"), ("7 " * 400, 0, "q", "safe")]
+    settings = BuildSettings(num_perm=64, n_gram=3, min_prompt_len=6, max_prompt_len=500)
+    exact = deduplicated(labelled(rows), settings)
+    got = sorted(tuple(r) for r in exact.select("prompt", "y", "subtype").collect())
+    assert got == plain_unify(rows, 6, 500)
+    unified = build_dataset(labelled(rows), settings).unified
+    assert sorted(unified.columns) == ["prompt", "row_id", "source", "subtype", "y"]
+    assert {tuple(r) for r in unified.select("prompt", "y", "subtype").collect()} <= set(got)
 
 
 def test_unlisted_subtype_loses_unless_the_label_is_preferred(labelled):
-    raw = labelled([("one same text", 1, "tax", "O1"), ("one same text", 0, "b", "safe")])
+    raw = labelled([("Tea at four", 1, "tax", "O1"), ("tea at  four", 0, "b", "safe")])
     assert deduplicated(raw).first().subtype == "safe"
     assert deduplicated(raw, BuildSettings(prefer_label=1)).first().subtype == "O1"
 
@@ -107,29 +98,30 @@ def members_of(spark, buckets):
     )
 
 
-@pytest.mark.parametrize("tail", [0, 100])
-def test_chain_keeps_both_ends(spark, tail):
+def test_chain_keeps_both_ends(spark):
     members = members_of(spark, {1: {1}, 2: {1, 2}, 3: {2}})
-    found = near_dup.greedy_keep(members, tail=tail)
+    found = near_dup.greedy_keep(members)
     assert [r.row_id for r in found.dropped.collect()] == [2]
 
 
-def test_a_long_chain_ends_in_one_visit(spark):
-    buckets = {i: {i, i + 1} for i in range(400)}
-    found = near_dup.greedy_keep(members_of(spark, buckets), tail=795)
-    assert found.rounds == 1
-    assert {r.row_id for r in found.dropped.collect()} == set(range(1, 400, 2))
+def test_a_long_chain_in_random_order_takes_few_rounds(spark):
+    order = list(range(5000))
+    random.Random(5).shuffle(order)
+    buckets = {place: {i, i + 1} for i, place in enumerate(order)}
+    found = near_dup.greedy_keep(members_of(spark, buckets))
+    assert {r.row_id for r in found.dropped.collect()} == sequential(buckets)
+    assert 1 < found.rounds < 20
 
 
-@pytest.mark.parametrize("seed, tail", [(0, 0), (1, 0), (2, 30), (3, 1000), (4, 1000)])
-def test_greedy_equals_the_sequential_rule(spark, seed, tail):
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_greedy_equals_the_sequential_rule(spark, seed):
     rng = random.Random(seed)
     size = rng.randrange(5, 50)
     buckets = {
         i: {rng.randrange(rng.choice([3, 40])) for _ in range(rng.randrange(1, 4))}
         for i in range(size)
     }
-    found = near_dup.greedy_keep(members_of(spark, buckets).repartition(5), tail=tail)
+    found = near_dup.greedy_keep(members_of(spark, buckets).repartition(5))
     assert {r.row_id for r in found.dropped.collect()} == sequential(buckets)
     listed = {r.dropped_id: r.kept_id for r in found.listing().collect()}
     kept = set(buckets) - sequential(buckets)
@@ -142,7 +134,7 @@ def test_greedy_equals_the_sequential_rule(spark, seed, tail):
 def test_one_bucket_with_most_rows_is_split_off(spark):
     buckets = {i: {0, i + 1} for i in range(3000)}
     buckets.update({i: {10_000 + i // 2} for i in range(3000, 6000)})
-    found = near_dup.greedy_keep(members_of(spark, buckets), tail=0)
+    found = near_dup.greedy_keep(members_of(spark, buckets))
     assert {r.row_id for r in found.dropped.collect()} == sequential(buckets)
 
 
@@ -165,6 +157,8 @@ def test_verified_greedy_equals_brute_force(labelled):
     bands = near_dup.row_buckets(exact, num_perm=64, n_gram=3)
     for r in bands.select("rank.row_id", "bucket").collect():
         buckets.setdefault(r.row_id, set()).add(r.bucket)
+    ranks = exact.select("row_id", near_dup.visiting_rank().alias("rank")).collect()
+    rank = {r.row_id: tuple(r["rank"]) for r in ranks}
     norm = {r.row_id: r.prompt_norm for r in exact.collect()}
     grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in norm.items()}
 
@@ -172,7 +166,7 @@ def test_verified_greedy_equals_brute_force(labelled):
         return len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8
 
     kept = []
-    for i in sorted(buckets):
+    for i in sorted(buckets, key=rank.get):
         if not any(buckets[i] & buckets[k] and alike(i, k) for k in kept):
             kept.append(i)
     dropped = {r.row_id for r in found.dropped.collect()}

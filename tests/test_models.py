@@ -127,6 +127,67 @@ def test_texts_are_encoded_once(spark, labelled, tmp_path):
     assert log.value == 5
 
 
+def test_embeddings_of_null_texts_and_of_doubled_cache_entries(labelled, tmp_path, spark):
+    reads = spark.sparkContext.accumulator(0)
+    rows = labelled([("aa", 0, "s", "x"), (None, 0, "s", "x"), ("b", 0, "s", "x")])
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    cache = str(tmp_path / "cache")
+    df = rows.mapInPandas(counted, rows.schema)
+
+    def encoder(texts):
+        return np.array([[len(t)] for t in texts])
+
+    got = scoring.embed_with_cache(df, encoder, cache=cache, model="toy")
+    assert sorted((r.row_id, r.embedding) for r in got.collect()) == [
+        (0, [2.0]), (1, None), (2, [1.0])
+    ]
+    assert reads.value == 3
+    doubled = spark.read.parquet(f"{cache}/model=toy").collect()
+    spark.createDataFrame(doubled, "content_hash string, embedding array<float>").write.mode(
+        "append"
+    ).parquet(f"{cache}/model=toy")
+    assert scoring.embed_with_cache(rows, encoder, cache=cache, model="toy").count() == 3
+
+
+def test_each_row_is_scored_once(labelled, tmp_path, spark):
+    scored = spark.sparkContext.accumulator(0)
+
+    def predict(texts):
+        scored.add(len(texts))
+        p = np.array([len(t) / 10 for t in texts])
+        return p > 0.5, p
+
+    df = labelled([("a" * (1 + i % 9), i % 2, f"s{i % 3}", "x") for i in range(40)])
+    sources = str(tmp_path / "sources")
+    scoring.evaluate(
+        df,
+        lambda rows: scoring.score_text(rows, predict),
+        model="m",
+        reports=str(tmp_path / "reports"),
+        source_reports=sources,
+    ).collect()
+    assert scored.value == 40
+    latest = scoring.latest_source_metrics(spark.read.parquet(sources))
+    assert sorted((r.source, r.n) for r in latest.collect()) == [("s0", 14), ("s1", 13), ("s2", 13)]
+
+
+def test_outside_scores_must_match_row_by_row(labelled, spark):
+    df = labelled([("a", 0, "s", "x"), ("b", 1, "s", "x")])
+    schema = "row_id bigint, y_pred int, y_prob double"
+    good = spark.createDataFrame([(1, 1, 0.9), (0, 0, 0.1), (5, 1, 0.5)], schema)
+    rows = scoring.join_scores(df, good).collect()
+    assert sorted((r.row_id, r.y_pred, r.y_prob) for r in rows) == [(0, 0, 0.1), (1, 1, 0.9)]
+    for scores, fault in (([(0, 0, 0.1)], "row_id 1 has no"), ([(0, 0, 0.1), (1, 1, 0.9)] * 2, "several")):
+        with pytest.raises(Exception, match=fault):
+            joined = scoring.join_scores(df, spark.createDataFrame(scores, schema))
+            metrics.confusion(joined).collect()
+
+
 def test_reports_are_appended(labelled, tmp_path, spark):
     df = labelled([("a", 0, "s", "x"), ("b", 1, "s", "x")])
     path = str(tmp_path / "reports")

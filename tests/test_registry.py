@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from labelloom import registry
 from tests.check_oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,7 +15,8 @@ def database():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(registry.queries()) - set(registry.oracle_sql()) == WITHOUT_SQL
+    assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -23,6 +25,6 @@ def test_entry(spark):
     assert df.columns == ["source", "y", "n"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_its_sql(spark, database, name):
     assert compare(spark, database, name, SF_DIR) is None

@@ -18,20 +18,22 @@ from labelloom.sources import (
 
 
 def test_constant_label(spark):
-    df = spark.createDataFrame([("jailbreak prompt",), ("",), (None,)], "prompt string")
-    got = constant_source(df, y=1, source="s", subtype="jailbreak")
+    rows = [("Wie spät ist es?", 5), ("", 6), (None, 7), (" ", 8)]
+    df = spark.createDataFrame(rows, "ask string, extra int")
+    got = constant_source(df, y=1, source="clock", subtype="harmful", candidates=("say", "ask"))
     assert got.schema.names == LABELLED_SCHEMA.names
-    assert [tuple(r) for r in got.collect()] == [("jailbreak prompt", 1, "s", "jailbreak")]
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (text, 1, "clock", "harmful") for text in (" ", "Wie spät ist es?")
+    ]
 
 
 def test_label_mapped(spark):
-    rows = [("bad", "jailbreak"), ("good", "Benign"), ("odd", None), (None, "benign")]
+    labels = ["benign", "BENIGN", "Benign ", "", None, "other", "17"]
+    rows = [(f"text {i}", label) for i, label in enumerate(labels)] + [(None, "benign")]
     df = spark.createDataFrame(rows, "prompt string, type string")
-    got = label_mapped_source(df, source="s").collect()
-    assert {r.prompt: (r.y, r.subtype) for r in got} == {
-        "bad": (1, "jailbreak"),
-        "good": (0, "safe"),
-        "odd": (1, "jailbreak"),
+    got = {r.prompt: (r.y, r.subtype) for r in label_mapped_source(df, source="s").collect()}
+    assert got == {
+        f"text {i}": (0, "safe") if i < 2 else (1, "jailbreak") for i in range(len(labels))
     }
     kept = label_mapped_source(df, source="s", null_policy="stringify")
     assert kept.where("prompt = 'None'").count() == 1
@@ -40,18 +42,20 @@ def test_label_mapped(spark):
 
 
 def test_filtered_source_takes_the_first_text(spark):
-    df = spark.createDataFrame(
-        [
-            ("text", "text jailbreak", "x", "y"),
-            ("image", "image jailbreak", "x", "y"),
-            ("TEXT", "", None, "third"),
-            ("text", None, "", ""),
-            (None, "no format", "x", "y"),
-        ],
-        "format string, redteam_query string, jailbreak_query string, prompt string",
-    )
+    """All mixes of present, empty and null in the three candidates, in every format."""
+    names = ("redteam_query", "jailbreak_query", "prompt")
+    rows, want = [], []
+    for kind in ("text", "Text", "audio", None):
+        for a in ("alpha", "", None):
+            for b in ("beta", "", None):
+                for c in ("gamma", "", None):
+                    rows.append((kind, a, b, c))
+                    first = next((x for x in (a, b, c) if x), None)
+                    if kind in ("text", "Text") and first:
+                        want.append(first)
+    df = spark.createDataFrame(rows, "format string, " + ", ".join(f"{n} string" for n in names))
     got = filtered_source(df, source="s")
-    assert sorted(r.prompt for r in got.collect()) == ["text jailbreak", "third"]
+    assert sorted(r.prompt for r in got.collect()) == sorted(want)
     assert filtered_source(df.drop("format"), source="s").count() == 0
 
 
@@ -63,17 +67,41 @@ def test_taxonomy(spark):
     assert {r.subtype for r in plain.collect()} == {"harmful"}
 
 
-def test_benign_candidates(spark):
-    df = spark.createDataFrame([("help me with this",)], "instruction string")
+def test_candidates_in_order(spark):
     names = ("prompt", "instruction", "input", "text")
-    row = constant_source(df, y=0, source="b", subtype="safe", candidates=names).first()
-    assert (row.prompt, row.y, row.subtype) == ("help me with this", 0, "safe")
-    with pytest.raises(ValueError, match="instruction"):
+    for first in range(len(names)):
+        columns = list(reversed(names[first:]))
+        df = spark.createDataFrame([tuple(columns)], ", ".join(f"{c} string" for c in columns))
+        row = constant_source(df, y=0, source="b", subtype="safe", candidates=names).first()
+        assert (row.prompt, row.y, row.subtype) == (names[first], 0, "safe")
+    with pytest.raises(ValueError, match="text"):
         resolve_column(df, ("prompt", "goal"))
 
 
+def test_one_source_with_another_shape_does_not_harm_the_rest(spark):
+    """Sources with string, number and no row ids still make one table."""
+    df = spark.createDataFrame([("ein Satz", 3)], "prompt string, n bigint")
+
+    def source(name, row_id):
+        return lambda: constant_source(df, y=1, source=name, subtype="x", row_id=row_id)
+
+    loaded = load_all(
+        spark,
+        {
+            "numbers": source("numbers", "n"),
+            "names": source("names", F.lit("name-1")),
+            "none": source("none", None),
+            "odd": lambda: df.select("prompt"),
+        },
+    )
+    rows = {r.source: r.row_id for r in loaded.table.collect()}
+    assert rows["numbers"] == "3" and rows["names"] == "name-1" and rows["none"]
+    status = {r.source: r.status for r in loaded.status.collect()}
+    assert status == {"numbers": "loaded", "names": "loaded", "none": "loaded", "odd": "failed"}
+
+
 def test_load_all_reports_failures(spark):
-    good = spark.createDataFrame([("a",), ("b",)], "prompt string")
+    good = spark.createDataFrame([("rain",), ("snow",)], "prompt string")
 
     def fail():
         raise RuntimeError("unavailable")
@@ -99,7 +127,7 @@ def test_all_sources_failing_gives_a_typed_empty_table(spark):
         raise RuntimeError("unavailable")
 
     loaded = load_all(spark, {"down": fail})
-    assert loaded.table.schema == LABELLED_SCHEMA
+    assert loaded.table.schema.names[:4] == LABELLED_SCHEMA.names
     assert loaded.table.count() == 0
 
 

@@ -133,5 +133,19 @@ def test_manifest_and_saved_splits(spark, strata, tmp_path):
     assert counts["test"] == (row.test, row.test_block, row.test_safe)
     assert counts["val"][0] == row.val and row.train_block == row.train_safe
     assert len(row.content_hash) == 16
-    again = save_splits(strata.limit(0), path, manifest)
+    kept = row.asDict()
+    again = save_splits(strata, path, manifest)
     assert again.count() == saved.count()
+    for other in (strata.limit(0), strata.limit(149)):
+        with pytest.raises(ValueError, match="content_hash"):
+            save_splits(other, path, manifest)
+    with pytest.raises(ValueError, match="seed, test_frac"):
+        save_splits(strata, path, manifest, splits.SplitSettings(seed=7, test_frac=0.4))
+    assert spark.read.json(manifest).first().asDict() == kept
+
+
+def test_other_labels_belong_to_no_class(spark):
+    rows = [(10 * i + k, y, "s") for i in range(10) for k, y in enumerate((0, 1, 2, None))]
+    df = spark.createDataFrame(rows, "row_id bigint, y int, source string")
+    for cut in (splits.balance_classes(df), splits.fix_prevalence(df)):
+        assert sorted(r.y for r in cut.collect()) == [0] * 10 + [1] * 10
