@@ -17,7 +17,7 @@ from labelloom.llm import (
     quality_rules,
     sentencepiece_codec,
 )
-from labelloom.session import materialize
+from labelloom.session import materialize, settle
 
 # Near copies: five words a shingle and a similarity of 0.8.
 SHINGLE_WORDS = 5
@@ -43,7 +43,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it, in training order."""
-    return mixing.arrange(docs, mixing.plan_mix(docs))
+    plan = settle(spark, "mix-plan", lambda: mixing.plan_mix(docs))
+    return mixing.arrange(docs, plan)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import SPACES, broadcast_if_small, in_small_batches
-from labelloom.session import materialize
+from labelloom.session import materialize, settle
 
 FLUSH_BYTES = 24 << 20
 FLUSH_ROWS = 100_000
@@ -124,13 +124,19 @@ def exact_groups(
     )
 
 
-def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_copies(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows that stay, with the columns of the input.
 
     Copies are taken out by an anti join on (id, digest) with the dropped rows, which is
-    the smaller side; rows that repeat both are cut to one by their number.
+    the smaller side; of rows that repeat both the longest stays.
     """
-    groups = materialize(exact_groups(docs, id_col=id_col, text_col=text_col), "exact-groups")
+    groups = settle(
+        docs.sparkSession,
+        "exact-groups",
+        lambda: exact_groups(docs, id_col=id_col, text_col=text_col),
+    )
     repeated_ids = groups.groupBy("doc_id").count().where("count > 1")
     if repeated_ids.isEmpty():
         gone = groups.where("NOT kept").select(F.col("doc_id").alias("__id"))
@@ -147,7 +153,13 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     several = copies.where("__kept AND __n > 1")
     once = left.join(several, same, "left_anti")
-    again = left.join(several, same, "left_semi").dropDuplicates([id_col, "__row_sha"])
+    longest = Window.partitionBy(id_col, "__row_sha").orderBy(F.length(text_col).desc())
+    again = (
+        left.join(several, same, "left_semi")
+        .withColumn("__at", F.row_number().over(longest))
+        .where("__at = 1")
+        .drop("__at")
+    )
     return once.unionByName(again).drop("__row_sha")
 
 
