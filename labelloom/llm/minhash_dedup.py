@@ -11,12 +11,17 @@
 3. *Stars.* Each bucket links its members to two centres, its least and its greatest id:
    at most two edges per member and bucket, however large the bucket is.
 4. *Confirm* every edge on the full sets, find connected components.
-5. *Rest.* Where the members of a bucket are still in several components, each member
-   outside the bucket's largest one is compared with all members of other components: by
-   sketches, in blocks inside tasks, without listing pairs. Only pairs whose sketches agree
-   in at least `SCREEN` of the bins leave the task (a pair at the threshold falls below with
-   probability under 1e-6); they are confirmed on the full sets as well. So no pair that
-   shares a bucket is left undecided, and buckets have no cap.
+5. *Rest.* A bucket whose members are still in several components is open. In it, each
+   member outside the largest component is compared with all members of other components
+   by sketches, in blocks inside tasks, without listing pairs. Pairs whose sketches agree
+   in fewer than `screen()` bins are settled by that (a pair at the threshold is among
+   them with probability under 1e-6). Of the others a task hands out a spanning forest
+   only, and the connected ids are a cluster. Then each cluster's full sets meet, again
+   in blocks: every pair of different components that passes the screen is compared on
+   the full sets there, unless links found before already join the two, and a forest of
+   the links comes out. So no pair that shares a bucket is left undecided, and buckets
+   have no cap. What no link spares is quadratic in the members of a cluster that the
+   screen cannot tell apart, in compute alone.
 
 Defined cases: a null text and one without words have the empty set, which is linked with
 nothing; fewer words than a shingle has make one shingle; null ids are never linked and
@@ -36,14 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import broadcast_if_small, in_small_batches
-from labelloom.session import materialize
+from labelloom.session import materialize, settle
 
 WORDS = 5
 PERCENT = 80
 BANDS = 40
 BAND_BINS = 5
 BINS = BANDS * BAND_BINS
+# Rows and shingles of a block of members in one task.
 BLOCK = 1024
+BLOCK_SHINGLES = 2_000_000
 # Standard deviations that the screen lies below the threshold.
 SCREEN_SIGMAS = 5.0
 _WORDS_KNOWN = 500_000
@@ -210,10 +217,11 @@ def near_duplicates(
         .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
         .distinct()
     )
-    links = confirm(stars, texts, words, percent)
+    stars = materialize(stars, "near-stars")
+    sets = _Sets(texts, words)
+    links = confirm(stars, sets, percent)
     found = components(links)
-    rest = _rest(met, found, sketched, block, percent)
-    more = confirm(rest, texts, words, percent)
+    more = _rest(met, found, sketched, sets, block, percent)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     # Classes that stand alone are not in `found`.
@@ -243,46 +251,63 @@ def drop_near_copies(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
     """The rows that stay, one of each group, with the columns of the input."""
-    decided = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = materialize(
-        decided.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(),
-        "near-dropped",
-    )
+
+    def dropped() -> DataFrame:
+        decided = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+        return decided.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+
+    gone = settle(docs.sparkSession, "near-dropped", dropped)
     return docs.join(
         broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti"
     )
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, written once.
-
-    Sets are made again from the texts of the ids that occur, and intersected in place.
-    """
-    pairs = materialize(pairs, "near-pairs")
-    ids = materialize(
-        pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids"
-    )
-    needed = texts.join(broadcast_if_small(ids), "doc_id", "left_semi")
+class _Sets:
+    """Full sets of the ids asked for so far, each made once and written."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
-        for batch in batches:
-            for part in in_small_batches(batch, batch.nbytes / max(1, batch.num_rows)):
-                sets = [
-                    shingles(t, words, known).view(np.int64)
-                    for t in part.column(1).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["id", "set"],
-                )
+    def __init__(self, texts: DataFrame, words: int):
+        self._texts, self._words = texts, words
+        self._made: DataFrame | None = None
 
-    sets = materialize(needed.mapInArrow(rows, "id bigint, set array<bigint>"), "near-sets")
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, set) of at least these ids."""
+        if self._made is not None:
+            ids = ids.join(self._made.select("id"), "id", "left_anti")
+        ids = materialize(ids.select(F.col("id").alias("doc_id")), "near-ids")
+        needed = self._texts.join(broadcast_if_small(ids), "doc_id", "left_semi")
+        made = materialize(
+            needed.mapInArrow(self._maker(), "id bigint, set array<bigint>"), "near-sets"
+        )
+        self._made = made if self._made is None else self._made.unionByName(made)
+        return self._made
+
+    def _maker(self):
+        words = self._words
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _WordHashes()
+            for batch in batches:
+                for part in in_small_batches(batch, batch.nbytes / max(1, batch.num_rows)):
+                    sets = [
+                        shingles(t, words, known).view(np.int64)
+                        for t in part.column(1).to_pylist()
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(sets, pa.list_(pa.int64()))],
+                        names=["id", "set"],
+                    )
+
+        return rows
+
+
+def confirm(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """The written pairs (a, b) whose full sets are similar enough, written once."""
+    full = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     inter = F.size(F.array_intersect("set_a", "set_b"))
     both = F.size("set_a") + F.size("set_b") - inter
     return materialize(
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+        pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+        .join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         .where(100 * inter >= percent * both)
         .select("a", "b")
         .distinct(),
@@ -339,91 +364,195 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _rest(
-    met: DataFrame, found: DataFrame, sketched: DataFrame, block: int, percent: int
+    met: DataFrame,
+    found: DataFrame,
+    sketched: DataFrame,
+    sets: _Sets,
+    block: int,
+    percent: int,
 ) -> DataFrame:
-    """Pairs (a, b) in a bucket, of different components, that the screen lets through."""
-    members = met.select("bucket", "id").join(
-        found, "id", "left"
-    ).select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    """Links (a, b) between components, within buckets that are still open."""
+    members = _open(_labelled(met.select("bucket", "id"), found), "bucket")
+    known = (
+        sketched.where("n_shingles > 0")
+        .select(F.col("doc_id").alias("id"), "low", "n_shingles")
+        .join(members.select("id").distinct(), "id", "left_semi")
+    )
+    known = materialize(known, "near-open-sketches")
+    alike = (
+        _blocks(members, "bucket", block)
+        .join(known.select("id", "low"), "id")
+        .groupBy("bucket", "column", "row")
+        .applyInArrow(_screener(screen(percent)), "a bigint, b bigint")
+    )
+    clusters = components(materialize(alike, "near-alike")).withColumnRenamed(
+        "component", "cluster"
+    )
+    members = _open(_labelled(clusters, found), "cluster", known)
+    full = sets.of(members.select("id"))
+    return materialize(
+        _blocks(members, "cluster", block)
+        .join(known.select("id", "low"), "id")
+        .join(full, "id")
+        .groupBy("cluster", "column", "row")
+        .applyInArrow(_comparer(screen(percent), percent), "a bigint, b bigint"),
+        "near-more",
+    )
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
+
+
+def _open(members: DataFrame, group: str, known: DataFrame | None = None) -> DataFrame:
+    """Members of groups with several components, with what deals them into blocks.
+
+    `weight` is the shingles of the group, if known; `outside` tells who is not in the
+    group's largest component (the least of them, when several are largest).
+    """
+    if known is not None:
+        members = members.join(known.select("id", "n_shingles"), "id")
+    else:
+        members = members.withColumn("n_shingles", F.lit(0).cast("long"))
     members = materialize(members, "near-members")
-    # A bucket's components by size; open buckets have several.
-    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(
-        # Size and component in one number each: the most rows, then the least id.
-        F.max("n").alias("most"),
-        F.sum("n").alias("rows"),
-        F.count(F.lit(1)).alias("parts"),
-    ).where("parts > 1")
-    main = (
-        sizes.join(largest, "bucket")
-        .where("n = most")
-        .groupBy("bucket")
+    sizes = members.groupBy(group, "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")
+    )
+    totals = (
+        sizes.groupBy(group)
         .agg(
-            F.min("component").alias("main"),
-            F.first("rows").alias("rows"),
-            F.first("most").alias("most"),
+            F.max("n").alias("most"),
+            F.sum("n").alias("rows"),
+            F.sum("weight").alias("weight"),
+            F.count(F.lit(1)).alias("parts"),
         )
+        .where("parts > 1")
     )
-    open_members = materialize(
-        members.join(main, "bucket").select(
-            "bucket", "id", "component", "main", "rows", (F.col("rows") - F.col("most")).alias("few")
+    main = (
+        sizes.select(group, "component", "n")
+        .join(totals, group)
+        .where("n = most")
+        .groupBy(group, "rows", "most", "weight")
+        .agg(F.min("component").alias("main"))
+    )
+    return materialize(
+        members.join(main, group).select(
+            group,
+            "id",
+            "component",
+            (F.col("component") != F.col("main")).alias("outside"),
+            "rows",
+            (F.col("rows") - F.col("most")).alias("few"),
+            "weight",
         ),
         "near-open",
     )
-    bytes_of = materialize(
-        sketched.join(
-            open_members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"
-        )
-        .where("n_shingles > 0")
-        .select(F.col("doc_id").alias("id"), "low"),
-        "near-open-sketches",
+
+
+def _blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows by (group, column, row): each block of outsiders beside each of members."""
+    parts = F.greatest(
+        F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / BLOCK_SHINGLES)
     )
-    # Blocks: each outsider block meets each member block in a task of its own.
-    cell = F.xxhash64("id", "bucket")
-    member_blocks = F.ceil(F.col("rows") / block)
-    outsider_blocks = F.ceil(F.col("few") / block)
-    sided = open_members.withColumn("outside", F.col("component") != F.col("main"))
-    as_member = sided.select(
-        "bucket",
-        F.pmod(cell, member_blocks).alias("column"),
-        F.explode(F.sequence(F.lit(0).cast("long"), outsider_blocks - 1)).alias("row"),
+    few = F.ceil(F.col("few") * parts / F.col("rows"))
+    cell = F.xxhash64("id", group)
+    everyone = F.sequence(F.lit(0).cast("long"), few - 1)
+    as_member = members.select(
+        group,
+        F.pmod(cell, parts).alias("column"),
+        F.explode(everyone).alias("row"),
         "id",
         "component",
         F.lit(False).alias("outside"),
     )
-    as_outsider = sided.where("outside").select(
-        "bucket",
-        F.explode(F.sequence(F.lit(0).cast("long"), member_blocks - 1)).alias("column"),
-        F.pmod(cell, outsider_blocks).alias("row"),
+    as_outsider = members.where("outside").select(
+        group,
+        F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("column"),
+        F.pmod(cell, few).alias("row"),
         "id",
         "component",
         "outside",
     )
-    least = screen(percent)
-
-    def compare(group: pa.Table) -> pa.Table:
-        flags = group["outside"].to_numpy(zero_copy_only=False).astype(bool)
-        ids = group["id"].to_numpy()
-        parts = group["component"].to_numpy()
-        low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, BINS)
-        columns = np.flatnonzero(~flags)
-        pairs: set[tuple[int, int]] = set()
-        for x in np.flatnonzero(flags):
-            agree = (low[columns] == low[x]).sum(axis=1)
-            for y in columns[(agree >= least) & (parts[columns] != parts[x])]:
-                pairs.add((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
-        ordered = sorted(pairs)
-        return pa.table(
-            {
-                "a": pa.array([p[0] for p in ordered], pa.int64()),
-                "b": pa.array([p[1] for p in ordered], pa.int64()),
-            }
+    return as_member.unionByName(as_outsider)
+
+
+class _Forest:
+    """Disjoint sets of labels; `join` tells whether the two were apart."""
+
+    def __init__(self):
+        self._up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up = self._up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self._up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _passing(group: pa.Table, least: int):
+    """(outsider, members that pass its screen, most alike first), as row numbers."""
+    flags = group["outside"].to_numpy(zero_copy_only=False).astype(bool)
+    parts = group["component"].to_numpy()
+    low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, BINS)
+    columns = np.flatnonzero(~flags)
+    for x in np.flatnonzero(flags):
+        agree = (low[columns] == low[x]).sum(axis=1)
+        agree[parts[columns] == parts[x]] = -1
+        passed = np.flatnonzero(agree >= max(least, 0))
+        yield x, columns[passed[np.argsort(-agree[passed], kind="stable")]]
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table(
+        {
+            "a": pa.array([min(p) for p in found], pa.int64()),
+            "b": pa.array([max(p) for p in found], pa.int64()),
+        }
+    )
+
+
+def _screener(least: int):
+    def screened(group: pa.Table) -> pa.Table:
+        ids = group["id"].to_pylist()
+        forest = _Forest()
+        return _pairs(
+            [
+                (ids[x], ids[y])
+                for x, others in _passing(group, least)
+                for y in others.tolist()
+                if forest.join(ids[x], ids[y])
+            ]
         )
 
-    return (
-        as_member.unionByName(as_outsider)
-        .join(bytes_of, "id")
-        .groupBy("bucket", "column", "row")
-        .applyInArrow(compare, "a bigint, b bigint")
-        .distinct()
-    )
+    return screened
+
+
+def _comparer(least: int, percent: int):
+    def compared(group: pa.Table) -> pa.Table:
+        ids = group["id"].to_pylist()
+        parts = group["component"].to_pylist()
+        column = group["set"].combine_chunks()
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        sets = [np.sort(values[ends[i] : ends[i + 1]]) for i in range(len(ids))]
+        forest, links = _Forest(), []
+        for x, others in _passing(group, least):
+            for y in others.tolist():
+                if forest.top(parts[x]) == forest.top(parts[y]):
+                    continue
+                a, b = sets[x], sets[y]
+                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                shared = int((a[at] == b).sum())
+                if 100 * shared >= percent * (len(a) + len(b) - shared):
+                    forest.join(parts[x], parts[y])
+                    links.append((ids[x], ids[y]))
+        return _pairs(links)
+
+    return compared
