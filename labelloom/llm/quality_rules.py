@@ -9,9 +9,11 @@ the quartiles come fences instead of fixed cutoffs:
 
     upper = q75 + 3 * max(q75 - q25, spread),  lower = q25 - 3 * max(q75 - q25, spread)
 
-`spread` keeps a fence from closing in on a source whose rows are all alike. A source
-with fewer than `min_rows` rows in a language takes the language's fences, and a small
-language those of the corpus. The thresholds are joined back to filter the rows.
+`spread` keeps a fence from closing in on a source whose rows are all alike. One rule
+holds at every size: the quartiles of a source are those of its own rows and `min_rows`
+rows more that are distributed as its language, and a language counts as its own rows and
+`min_rows` rows distributed as the corpus. So what is inherited fades as rows come in, and
+no row count switches it off. The thresholds are joined back to filter the rows.
 
 Defined cases: a null text has no words and fails the base rule; null languages and
 sources are groups of their own; repeated ids and rows are judged row by row; an empty
@@ -20,7 +22,7 @@ table gives an empty one; an input column named like a measure is replaced by it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import broadcast_if_small, let, pass_through, words
@@ -30,7 +32,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
 SYMBOLS = "[#*$%&|<>]"
-MIN_ROWS = 200
+MIN_ROWS = 200  # what an inherited sketch counts for
 FENCE = 3
 BIN_BITS = 5  # values up to 2^(bits + 1) are exact, larger ones to 2^-bits
 
@@ -169,35 +171,48 @@ def sketches(measured: DataFrame, lang: str, source: str) -> DataFrame:
 def fences(bins: DataFrame, *, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row per (lang, source): `lower` and `upper`, each a map from rule to fence.
 
-    Sketches are merged upwards. The windows run over bins of one group and rule, whose
-    number is bounded by the binning, and the joins over groups, not over documents.
+    Sketches are merged upwards and then weigh in downwards. An array holds the bins of one
+    group and rule, whose number is bounded by the binning, and the joins run over groups,
+    not over documents. Ranks are compared as whole numbers.
     """
-    groups = bins.select("lang", "source", "rule").distinct()
-    own = _quartiles(bins, ["lang", "source"]).alias("own")
-    lang = _quartiles(bins, ["lang"]).alias("by_lang")
-    every = _quartiles(bins, []).alias("every")
-    joined = (
-        groups.alias("g")
-        .join(
-            own,
-            F.col("g.lang").eqNullSafe(F.col("own.lang"))
-            & F.col("g.source").eqNullSafe(F.col("own.source"))
-            & (F.col("g.rule") == F.col("own.rule")),
-        )
-        .join(
-            lang,
-            F.col("g.lang").eqNullSafe(F.col("by_lang.lang"))
-            & (F.col("g.rule") == F.col("by_lang.rule")),
-        )
-        .join(every, F.col("g.rule") == F.col("every.rule"))
+    own = _histograms(bins, ["lang", "source"]).alias("own")
+    lang = _histograms(bins, ["lang"]).alias("by_lang")
+    every = _histograms(bins, []).alias("every")
+    more = _whole(F.lit(min_rows))
+    lang_rows, all_rows = _whole(F.col("by_lang.rows")), _whole(F.col("every.rows"))
+    # Every bin with the rows up to it in the language, inherited ones included, in units
+    # of 1 / `unit` rows.
+    inherited = lang.join(every, F.col("by_lang.rule") == F.col("every.rule")).select(
+        F.col("by_lang.lang").alias("lang"),
+        F.col("by_lang.rule").alias("rule"),
+        ((lang_rows + more) * all_rows).alias("unit"),
+        F.transform(
+            "every.bins",
+            lambda x: F.struct(
+                x["bin"].alias("bin"),
+                (
+                    _upto(F.col("by_lang.bins"), x["bin"]) * all_rows
+                    + more * _upto(F.col("every.bins"), x["bin"])
+                ).alias("upto"),
+            ),
+        ).alias("bins"),
+    ).alias("up")
+    joined = own.join(
+        inherited,
+        F.col("own.lang").eqNullSafe(F.col("up.lang"))
+        & (F.col("own.rule") == F.col("up.rule")),
     )
 
-    def taken(name: str) -> Column:
-        return (
-            F.when(F.col("own.rows") >= min_rows, F.col(f"own.{name}"))
-            .when(F.col("by_lang.rows") >= min_rows, F.col(f"by_lang.{name}"))
-            .otherwise(F.col(f"every.{name}"))
+    def quantile(percent: int) -> Column:
+        # Nearest rank: the first bin that holds at least this part of the rows.
+        least = percent * (_whole(F.col("own.rows")) + more) * F.col("up.unit")
+        reached = F.filter(
+            "up.bins",
+            lambda x: 100
+            * (_upto(F.col("own.bins"), x["bin"]) * F.col("up.unit") + more * x["upto"])
+            >= least,
         )
+        return bin_start(F.get(reached, 0)["bin"])
 
     spreads = F.create_map(
         *[F.lit(x) for rule, (_, spread, _) in RULES.items() for x in (rule, spread)]
@@ -207,11 +222,11 @@ def fences(bins: DataFrame, *, min_rows: int = MIN_ROWS) -> DataFrame:
     )
     return (
         joined.select(
-            F.col("g.lang").alias("of_lang"),
-            F.col("g.source").alias("of_source"),
-            F.col("g.rule").alias("rule"),
-            taken("q25").alias("q25"),
-            taken("q75").alias("q75"),
+            F.col("own.lang").alias("of_lang"),
+            F.col("own.source").alias("of_source"),
+            F.col("own.rule").alias("rule"),
+            quantile(25).alias("q25"),
+            quantile(75).alias("q75"),
         )
         .groupBy("of_lang", "of_source")
         .agg(
@@ -232,25 +247,31 @@ def fences(bins: DataFrame, *, min_rows: int = MIN_ROWS) -> DataFrame:
     )
 
 
-def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
-    merged = bins.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "rule")
-    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def quantile(percent: int) -> Column:
-        # Nearest rank: the first bin that holds at least this part of the rows.
-        return F.min(
-            F.when(100 * F.col("upto") >= percent * F.col("rows"), F.col("bin"))
-        )
-
+def _histograms(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group's and rule's `rows`, and its `bins` (bin, n) in order."""
     return (
-        merged.withColumn("upto", F.sum("n").over(upto))
-        .withColumn("rows", F.sum("n").over(group))
+        bins.groupBy(*keys, "rule", "bin")
+        .agg(F.sum("n").alias("n"))
         .groupBy(*keys, "rule")
         .agg(
-            F.max("rows").alias("rows"),
-            bin_start(quantile(25)).alias("q25"),
-            bin_start(quantile(75)).alias("q75"),
+            F.sum("n").alias("rows"),
+            F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"),
+        )
+    )
+
+
+def _whole(rows: Column) -> Column:
+    """A row count whose products with two others are exact."""
+    return rows.cast("decimal(12,0)")
+
+
+def _upto(bins: Column, last: Column) -> Column:
+    """Rows in the bins up to and with `last`."""
+    return _whole(
+        F.aggregate(
+            F.filter(bins, lambda x: x["bin"] <= last),
+            F.lit(0).cast("long"),
+            lambda total, x: total + x["n"],
         )
     )
 

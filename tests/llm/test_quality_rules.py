@@ -114,3 +114,15 @@ def test_repeated_windows(spark, times, covered):
     parts = [f"{t} {i}" for i, t in enumerate(text.split(" ; "))]
     df = spark.createDataFrame([(1, " ".join(parts))], "doc_id bigint, text string")
     assert measure(df).first()["n_repeat_words"] == covered
+
+
+@pytest.mark.parametrize("own", [60, 120, 199, 200, 201])
+def test_no_row_count_switches_the_fences(spark, own):
+    """Clean rows written without blanks keep their own word lengths, few or many."""
+    rows = [(i, clean(i), "en", "prose") for i in range(1500)]
+    rows += [
+        (5000 + i, " ".join(["x" * 40 + f"{i}y{k}" for k in range(25)]), "zh", "web")
+        for i in range(own)
+    ]
+    judged = judge_ids(spark.createDataFrame(rows, SCHEMA)).where("lang = 'zh' AND kept")
+    assert judged.count() == own
