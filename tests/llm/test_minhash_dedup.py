@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from labelloom.llm import minhash_dedup
@@ -150,3 +151,24 @@ def test_word_memory_is_bounded(monkeypatch):
     text = " ".join(f"w{i % 50}" for i in range(500))
     known = minhash_dedup._WordHashes()
     assert (shingles(text, 5, known) == shingles(text, 5)).all() and len(known) <= 3
+
+
+def test_small_sets_at_the_threshold_always_pass_the_screen():
+    """Of 4000 pairs of 4 and 5 shingles at similarity 0.8, none is settled by sketches."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(4000):
+        a = np.unique(rng.integers(0, 2**63, 5, dtype=np.uint64))
+        sets.append((a, np.delete(a, rng.integers(5))))
+    lost = 0
+    for pair in sets:
+        table = pa.table(
+            {
+                "outside": [True, False],
+                "component": [0, 1],
+                "n_shingles": [5, 4],
+                "low": [minhash_dedup.traits(h, sketch(h), 80) for h in pair],
+            }
+        )
+        lost += sum(len(found) == 0 for _, found in minhash_dedup._passing(table, 200, 80))
+    assert lost == 0
