@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ CLASSIFIERS = 3
 POSITIVES = 1500
 UNLABELLED = 4000
 MAX_FEATURES = 2000
+CHANCE = 1e-3
 FOLDS = 5
 _STEPS = 60
 _RATE = 0.1
@@ -61,13 +63,16 @@ def word_features(word: bytes) -> list[str]:
 
 
 def select_features(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
-    """Features whose share is at least 3 times as high in toxic texts, by many sigmas."""
+    """Features whose share is at least 3 times as high in toxic texts, beyond chance.
+
+    The same bound holds for any number of texts: with as many features as are tested,
+    chance alone lets one pass with probability `CHANCE` at most.
+    """
     in_p = Counter(f for s in positive for f in s)
     in_u = Counter(f for s in unlabelled for f in s)
     n, m = len(positive), len(unlabelled)
-    # Chance alone reaches about 5 sigmas among as many features as texts have; groups of
-    # copies act like one text, so more is asked where texts are many.
-    least = 5.0 if n < 300 else 8.0
+    tested = sum(count >= 5 for count in in_p.values())
+    least = NormalDist().inv_cdf(1 - CHANCE / max(1, tested))
     found = []
     for feature, count in in_p.items():
         if count < 5:

@@ -80,6 +80,18 @@ def test_non_negative_risk_turns_back():
     assert all(np.isfinite(w) for w in weights.values())
 
 
+@pytest.mark.parametrize("n", [200, 299, 300, 400])
+def test_significance_is_the_same_for_all_sizes(n):
+    """A word about 6.5 sigmas more frequent in toxic texts counts, however many they are."""
+    m = 4000
+    u = 0.02
+    p = u + 6.5 * np.sqrt(u * (1 - u) * (1 / n + 1 / m))
+    hits, misses = round(p * n), round(u * m) - 1
+    positive = [{"flegel"} if i < hits else {"a"} for i in range(n)]
+    unlabelled = [{"flegel"} if i < misses else {"a"} for i in range(m)]
+    assert toxicity.select_features(positive, unlabelled) == ["flegel"]
+
+
 def test_held_out_labels_do_not_matter(spark, tables, corpus):
     docs, _ = tables
     turned = [
