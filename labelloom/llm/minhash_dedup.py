@@ -6,8 +6,9 @@
    (bin, attempt) that all rows share, so that two rows agree in a bin with the probability
    of their Jaccard similarity. `BANDS` bands of `BAND_BINS` bins give a row's buckets; at
    similarity 0.8 two rows share no bucket with probability (1 - 0.8^5)^40 = 1.3e-7.
-2. *Classes.* Rows with equal sets (128-bit digest) are one class, its least id speaking for
-   it. Whatever a group of copies holds, one row per class goes on.
+2. *Classes.* Rows with equal sets (128-bit digest) are one class, for which the row with
+   the least id speaks. A class has a number of its own, written once with it; numbers and
+   not ids are what links join, so different texts under one id stay apart. Whatever a group of copies holds, one row per class goes on.
 3. *Stars.* Each bucket links its members to two centres, its least and its greatest id:
    at most two edges per member and bucket, however large the bucket is.
 4. *Confirm* every edge on the full sets, find connected components.
@@ -30,7 +31,7 @@
 Defined cases: a null text and one without words have the empty set, which is linked with
 nothing; fewer words than a shingle has make one shingle; null ids are never linked and
 have a null component; rows that share an id are judged each by its own text; equal rows
-share a class; an empty table gives an empty one; other columns are not read.
+share a class, and `drop_near_copies` keeps one of them and links null ids too; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def traits(hashes: np.ndarray, values: np.ndarray, percent: int) -> bytes:
 
 
 _SKETCHED = (
-    "doc_id bigint, n_shingles bigint, digest binary, low binary, buckets array<bigint>"
+    "doc_id bigint, key bigint, n_shingles bigint, digest binary, low binary, buckets array<bigint>"
 )
 
 
@@ -178,6 +179,7 @@ def _sketcher(words: int, percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(
                             [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
@@ -211,21 +213,39 @@ def near_duplicates(
     block: int = BLOCK,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept."""
+    return _decided(docs, id_col, text_col, words, percent, block, F.col("doc_id").isNotNull()).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
+def _decided(
+    docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int, linked
+) -> DataFrame:
+    """As `near_duplicates`, with `key`, a hash of the text; only `linked` rows are linked."""
     texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.xxhash64(text_col).alias("key"),
     )
     sketched = materialize(texts.mapInArrow(_sketcher(words, percent), _SKETCHED), "near-sketches")
+    speaker = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = (
-        sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
+        sketched.where(linked & (F.col("n_shingles") > 0))
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"))
+        .agg(F.min(speaker).alias("rep"))
+        .select(
+            F.monotonically_increasing_id().alias("id"), F.col("digest").alias("of"), "rep"
+        )
     )
     classes = materialize(classes, "near-classes")
     speaking = sketched.join(
-        classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi"
+        classes,
+        (F.col("digest") == F.col("of"))
+        & F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))
+        & (F.col("key") == F.col("rep.key")),
     )
     # Buckets that more than one class is in.
-    banded = speaking.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
+    banded = speaking.select("id", F.explode("buckets").alias("bucket"))
     shared = banded.groupBy("bucket").agg(
         F.min("id").alias("first"), F.max("id").alias("last")
     ).where("first < last")
@@ -237,66 +257,100 @@ def near_duplicates(
         .distinct()
     )
     stars = materialize(stars, "near-stars")
-    sets = _Sets(texts, words)
+    sets = _Sets(texts, classes, words)
     links = confirm(stars, sets, percent)
     found = components(links)
-    more = _rest(met, found, sketched, sets, block, percent)
+    more = _rest(met, found, speaking, sets, block, percent)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     # Classes that stand alone are not in `found`.
-    placed = classes.join(
-        found.withColumnRenamed("id", "rep"), "rep", "left"
-    ).select("digest", F.coalesce("component", "rep").alias("component"))
-    return (
-        sketched.select("doc_id", "n_shingles", "digest")
-        .join(placed.where("component IS NOT NULL"), "digest", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.col("component"))
-            .otherwise(F.col("doc_id"))
-            .alias("__component"),
-        )
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.col("__component")).alias("component_id"),
-            F.coalesce(F.col("doc_id") == F.col("__component"), F.lit(True)).alias("kept"),
-        )
+    labelled = found.join(classes, "id").select("of", "rep", "component")
+    tops = materialize(
+        labelled.groupBy(F.col("component").alias("label")).agg(F.min("rep").alias("top")),
+        "near-tops",
+    )
+    placed = (
+        classes.join(found, "id", "left")
+        .join(broadcast_if_small(tops), F.col("component") == F.col("label"), "left")
+        .select("of", F.coalesce("top", "rep").alias("top"))
+    )
+    alone = F.col("of").isNull() | ~linked
+    return sketched.join(placed, F.col("digest") == F.col("of"), "left").select(
+        "doc_id",
+        "key",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"),
+        (
+            alone
+            | (
+                F.col("doc_id").eqNullSafe(F.col("top.doc_id"))
+                & (F.col("key") == F.col("top.key"))
+            )
+        ).alias("kept"),
     )
 
 
 def drop_near_copies(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
-    """The rows that stay, one of each group, with the columns of the input."""
+    """The rows that stay, one of each group, with the columns of the input.
 
-    def dropped() -> DataFrame:
-        decided = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-        return decided.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    Rows are told apart by id and text; of rows that repeat both one stays.
+    """
+    chosen = {"words": WORDS, "percent": PERCENT, "block": BLOCK} | options
+
+    def marked() -> DataFrame:
+        decided = _decided(docs, id_col, text_col, **chosen, linked=F.lit(True))
+        return (
+            decided.where("n_shingles > 0")
+            .groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+            .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+            .where("NOT __kept OR __n > 1")
+        )
 
-    gone = settle(docs.sparkSession, "near-dropped", dropped)
-    return docs.join(
-        broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti"
+    marks = settle(docs.sparkSession, "near-dropped", marked)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (
+        F.col("__row_key") == F.col("__key")
+    )
+    keyed = docs.withColumn("__row_key", F.xxhash64(text_col))
+    left = keyed.join(broadcast_if_small(marks.where("NOT __kept")), same, "left_anti")
+    several = marks.where("__kept")
+    if several.isEmpty():
+        return left.drop("__row_key")
+    several = broadcast_if_small(several)
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    again = left.join(several, same, "left_semi").groupBy(id_col, "__row_key").agg(row)
+    return left.join(several, same, "left_anti").drop("__row_key").unionByName(
+        again.select("row.*")
     )
 
 
 class _Sets:
-    """Full sets of the ids asked for so far, each made once and written."""
+    """Full sets of the classes asked for so far, each made once and written."""
 
-    def __init__(self, texts: DataFrame, words: int):
-        self._texts, self._words = texts, words
+    def __init__(self, texts: DataFrame, classes: DataFrame, words: int):
+        self._texts, self._classes, self._words = texts, classes, words
         self._made: DataFrame | None = None
 
     def of(self, ids: DataFrame) -> DataFrame:
         """(id, set) of at least these ids."""
         if self._made is not None:
             ids = ids.join(self._made.select("id"), "id", "left_anti")
-        ids = materialize(ids.select(F.col("id").alias("doc_id")), "near-ids")
-        needed = self._texts.join(broadcast_if_small(ids), "doc_id", "left_semi")
+        wanted = materialize(
+            ids.join(self._classes, "id").select(
+                "id", F.col("rep.doc_id").alias("of_id"), F.col("rep.key").alias("of_key")
+            ),
+            "near-ids",
+        )
+        needed = self._texts.join(
+            broadcast_if_small(wanted),
+            F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")),
+        ).select("id", "text")
         made = materialize(
             needed.mapInArrow(self._maker(), "id bigint, set array<bigint>"), "near-sets"
         )
+        if made.count() > wanted.count():  # rows that repeat id and text
+            made = materialize(made.dropDuplicates(["id"]), "near-sets")
         self._made = made if self._made is None else self._made.unionByName(made)
         return self._made
 
@@ -385,7 +439,7 @@ def components(links: DataFrame) -> DataFrame:
 def _rest(
     met: DataFrame,
     found: DataFrame,
-    sketched: DataFrame,
+    speaking: DataFrame,
     sets: _Sets,
     block: int,
     percent: int,
@@ -393,9 +447,9 @@ def _rest(
     """Links (a, b) between components, within buckets that are still open."""
     members = _open(_labelled(met.select("bucket", "id"), found), "bucket")
     known = (
-        sketched.where("n_shingles > 0")
-        .select(F.col("doc_id").alias("id"), "low", "n_shingles")
+        speaking.select("id", "low", "n_shingles")
         .join(members.select("id").distinct(), "id", "left_semi")
+        .dropDuplicates(["id"])
     )
     known = materialize(known, "near-open-sketches")
     alike = (
