@@ -225,4 +225,38 @@ _SQL = {
                NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
         FROM base
     """,
+    "op13_fill_in_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+                   sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents
+        ), drawn AS (
+            SELECT doc_id, text, lines, len(lines) AS n,
+                   ('0x' || substr(h, 1, 8))::BIGINT % (len(lines) + 1) AS first,
+                   ('0x' || substr(h, 9, 8))::BIGINT % (len(lines) + 1) AS second,
+                   ('0x' || substr(h, 17, 8))::BIGINT % 100 AS rate,
+                   ('0x' || substr(h, 25, 8))::BIGINT % 100 AS share
+            FROM t
+        ), cut AS (
+            SELECT doc_id, text, n,
+                   CASE WHEN text = '' OR rate >= 100 OR contains(text, '<P>')
+                             OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                        WHEN share < 50 THEN 'spm' ELSE 'psm' END AS form,
+                   array_to_string(lines[1:least(first, second)], '') AS prefix,
+                   array_to_string(
+                       lines[least(first, second) + 1:greatest(first, second)], '') AS middle,
+                   array_to_string(lines[greatest(first, second) + 1:], '') AS suffix
+            FROM drawn
+        )
+        SELECT doc_id, n::BIGINT AS n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                      WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END)
+                   AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM cut
+    """,
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from labelloom.llm import (
     chat,
     exact_dedup,
+    fill_middle,
     language,
     minhash_dedup,
     mixing,
@@ -167,3 +168,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@_query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_documents(spark, sf_dir))
+    return fill_middle.restore(made.drop("pieces")).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        "output_sha256",
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
