@@ -225,6 +225,60 @@ _SQL = {
                NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
         FROM base
     """,
+    "op12_source_audit": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang,
+                   coalesce(source, '') AS source,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), placed AS (
+            SELECT r, lang, source, unnest(w) AS term FROM t
+        ), kept AS (
+            SELECT lang, term, count(*) AS total FROM placed
+            GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+        ), langs AS (
+            SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+        ), every AS (
+            SELECT DISTINCT lang, source FROM t
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS c
+            FROM placed JOIN kept USING (lang, term) GROUP BY lang, source, term
+        ), sizes AS (
+            SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source
+        ), priced AS (
+            SELECT every.lang, every.source, kept.term, coalesce(c, 0) AS c,
+                   1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2))
+                       // (coalesce(sizes.n, 0) + 2 * v) AS p,
+                   1 + (1000000000::HUGEINT * (total + 2)) // (langs.n + 2 * v) AS q
+            FROM every JOIN kept USING (lang) JOIN langs USING (lang)
+            LEFT JOIN sizes USING (lang, source)
+            LEFT JOIN counts USING (lang, source, term)
+        ), distances AS (
+            SELECT a.lang, a.source, b.source AS item,
+                   sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM priced a JOIN priced b
+              ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY a.lang, a.source, b.source
+        ), rows_of AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                   coalesce(value, 0)::BIGINT AS value
+            FROM every a JOIN every b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN distances d
+              ON a.lang = d.lang AND a.source = d.source AND b.source = d.item
+            UNION ALL
+            SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT
+            FROM priced WHERE c > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+            FROM rows_of
+        )
+        SELECT lang, source, part, item, value, rank FROM ranked
+        WHERE part = 'pair' OR rank <= 10
+    """,
     "op13_fill_in_middle": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS text,

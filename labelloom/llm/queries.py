@@ -20,6 +20,7 @@ from labelloom.llm import (
     quality_knn,
     quality_rules,
     sentencepiece_codec,
+    source_audit,
     toxicity,
     url_rules,
 )
@@ -170,6 +171,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(_documents(spark, sf_dir))
+
+
 @_query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(_documents(spark, sf_dir))
