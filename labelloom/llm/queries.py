@@ -133,15 +133,16 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _file(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = sentencepiece_codec.encode_documents(_documents(spark, sf_dir), model)
-    decoded = sentencepiece_codec.decode_documents(encoded, model)
-    return decoded.select(
+    encoded = sentencepiece_codec.encode_documents(
+        _documents(spark, sf_dir), model, spans=False, decoded=True
+    )
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias(
             "ids_sha256"
         ),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
