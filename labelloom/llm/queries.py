@@ -19,6 +19,7 @@ from labelloom.llm import (
     mixing,
     quality_knn,
     quality_rules,
+    secret_scan,
     sentencepiece_codec,
     source_audit,
     toxicity,
@@ -172,6 +173,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_documents(spark, sf_dir))
+
+    def counted(kind: str):
+        own = F.filter("findings", lambda f: f["kind"] == kind)
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    def joined(findings):
+        spans = F.transform(
+            findings,
+            lambda f: F.concat_ws(
+                ":", f["kind"], f["start"].cast("string"), f["end"].cast("string")
+            ),
+        )
+        return F.concat_ws(",", spans)
+
+    base = F.filter("findings", lambda f: f["kind"] != secret_scan.MODEL)
+    return found.select(
+        "doc_id",
+        *[counted(kind) for kind in secret_scan.RULES],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+    )
+
+
 @_query
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit_sources(_documents(spark, sf_dir))
