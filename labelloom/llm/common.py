@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The white space of every contract here: ASCII blanks and controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,6 +36,18 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def row_key(df: DataFrame) -> Column:
+    """A 64-bit hash of a whole row. Nested columns, maps too, count by their text form."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    parts = []
+    for field in df.schema.fields:
+        column = F.col("`{}`".format(field.name.replace("`", "``")))
+        value = column.cast("string") if isinstance(field.dataType, nested) else column
+        # Hashing passes over nulls: what is null has to be told apart by itself.
+        parts += [value, column.isNull()]
+    return F.xxhash64(*parts)
+
+
 def words(text: Column) -> Column:
     """The white-space separated words of a text; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import broadcast_if_small, in_small_batches
+from labelloom.llm.common import broadcast_if_small, in_small_batches, row_key
 from labelloom.session import materialize, settle
 
 WORDS = 5
@@ -318,7 +318,7 @@ def drop_near_copies(
     if several.isEmpty():
         return left.drop("__row_key")
     several = broadcast_if_small(several)
-    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    row = F.min_by(F.struct(*docs.columns), row_key(docs)).alias("row")
     again = left.join(several, same, "left_semi").groupBy(id_col, "__row_key").agg(row)
     return left.join(several, same, "left_anti").drop("__row_key").unionByName(
         again.select("row.*")

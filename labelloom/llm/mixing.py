@@ -10,13 +10,15 @@
    middle gives its training position; `arrange` range-sorts by it.
 
 The running totals are two-level: a total for each (source, hash prefix), running totals
-of those, then a window inside each prefix, whose depth follows from the row count. No
-window holds a whole source.
+of those, then a window inside each prefix, whose depth follows from the row count. Rows
+that agree in id, source and all other columns are one row with a number in these windows;
+where rows of one id fill a prefix, it is split by row hash. No window holds a whole source.
 
 Defined cases: a null text has size 0 and takes no words; null sources are one source,
-last in order; repeated ids are rows of their own; equal rows are interchangeable; an
-empty table gives an empty one; other columns do not matter to `plan_mix` and are carried
-along by `arrange`.
+last in order; null ids are one id, first by hash of the empty string; rows of one id are
+rows of their own, ordered by a hash of their content, and equal rows are interchangeable;
+a very long text is one row of its size; an empty table gives an empty one; columns of
+whatever name and type are carried along by `arrange`.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import broadcast_if_small
+from labelloom.llm.common import broadcast_if_small, row_key
 from labelloom.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -36,6 +38,8 @@ MAX_REPEATS = 2
 # Schedule of each weight class: rate at the start and end of training over its mean.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 ROWS_PER_PREFIX = 20_000
+# Equal rows that one task writes out one by one.
+EQUAL_ROWS = 10_000
 
 
 def size_in_words(text: Column) -> Column:
@@ -112,41 +116,42 @@ def plan_mix(
     `copies` is how often the mix takes the document, `taken` the words of all copies,
     `positions` the ascending training positions of the copies in [0, 1].
     """
-    narrow = materialize(
+    rows = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             size_in_words(F.col(text_col)).alias("size"),
-        ),
+            row_key(docs).alias("row_key"),
+        )
+        .groupBy("doc_id", "source", "size", "row_key")
+        .agg(F.count(F.lit(1)).alias("n")),
         "mix-sizes",
     )
-    totals = narrow.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")
+    totals = rows.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows")
     )
     targets = materialize(
         source_targets(totals, weights=weights, budget=budget, max_repeats=max_repeats),
         "mix-targets",
     )
-    sources, rows = targets.agg(F.count(F.lit(1)), F.sum("rows")).first()
-    digits = max(0, math.ceil(math.log(max(1, rows or 0) / rows_per_prefix, 16)))
-    hashed = narrow.withColumn("order", F.md5(F.col("doc_id").cast("string"))).withColumn(
-        "prefix", F.substring("order", 1, digits)
-    )
-    key = ["source", "prefix"]
-    prefixes = hashed.groupBy(*key).agg(
-        F.sum("size").alias("inside"), F.count(F.lit(1)).alias("n")
-    )
+    sources = targets.count()
+    hashed = _in_blocks(rows, rows_per_prefix)
+    key = ["source", "prefix", "part"]
     running = (
         Window.partitionBy("source")
-        .orderBy("prefix")
+        .orderBy("prefix", "part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = materialize(
-        prefixes.select(
+        hashed.groupBy(*key)
+        .agg(F.sum(F.col("size") * F.col("n")).alias("inside"))
+        .select(
             F.col("source").alias("of_source"),
             F.col("prefix").alias("of_prefix"),
+            F.col("part").alias("of_part"),
             F.coalesce(F.sum("inside").over(running), F.lit(0)).alias("offset"),
-        ).join(
+        )
+        .join(
             broadcast_if_small(
                 targets.withColumnRenamed("source", "target_source"), sources
             ),
@@ -156,17 +161,20 @@ def plan_mix(
     )
     inside = (
         Window.partitionBy(*key)
-        .orderBy("order", F.col("doc_id").asc_nulls_last(), "size")
+        .orderBy("order", F.col("doc_id").asc_nulls_last(), "row_hex", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = hashed.withColumn(
-        "start", F.coalesce(F.sum("size").over(inside), F.lit(0))
+        "start", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))
     ).join(
         broadcast_if_small(offsets),
         F.col("source").eqNullSafe(F.col("of_source"))
-        & (F.col("prefix") == F.col("of_prefix")),
+        & (F.col("prefix") == F.col("of_prefix"))
+        & (F.col("part") == F.col("of_part")),
     )
-    middle = F.col("offset") + F.col("start") + F.col("size") / 2.0
+    placed = _every_row(placed)
+    start = F.col("start") + F.col("copy") * F.col("size")
+    middle = F.col("offset") + start + F.col("size") / 2.0
     middles = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.lit(max_repeats - 1)),
@@ -189,9 +197,60 @@ def plan_mix(
         F.transform(
             middles, lambda c: _position(c / F.col("target"), rates["col1"], rates["col2"])
         ).alias("positions"),
+        "row_key",
+    )
+
+
+def _in_blocks(rows: DataFrame, rows_per_prefix: int) -> DataFrame:
+    """Add the hash order, its prefix, and the part of a prefix that too many rows share.
+
+    Prefixes hold about `rows_per_prefix` rows of different ids. One with over four times
+    as many holds rows of one id; its parts follow the order within the prefix, which is
+    by hash of the id and then by hash of the row.
+    """
+    digits = max(0, math.ceil(math.log(max(1, rows.count()) / rows_per_prefix, 16)))
+    hashed = rows.withColumns(
+        {
+            "order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
+            "row_hex": F.lpad(F.hex("row_key"), 16, "0"),
+            "part": F.lit(""),
+        }
+    ).withColumn("prefix", F.substring("order", 1, digits))
+    full = materialize(
+        hashed.groupBy(F.col("source").alias("of"), F.col("prefix").alias("at"))
+        .agg(F.count(F.lit(1)).alias("held"))
+        .where(F.col("held") > 4 * rows_per_prefix),
+        "mix-full",
+    )
+    most = full.agg(F.max("held")).first()[0]
+    if most is None:
+        return hashed
+    depth = math.ceil(math.log(most / rows_per_prefix, 16))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("prefix") == F.col("at"))
+    part = F.concat("order", F.substring("row_hex", 1, depth))
+    return (
+        hashed.join(broadcast_if_small(full), same, "left")
+        .withColumn("part", F.when(F.col("held").isNotNull(), part).otherwise(""))
+        .drop("of", "at", "held")
     )
 
 
+def _every_row(placed: DataFrame) -> DataFrame:
+    """One row for each of the `n` equal rows, numbered by `copy`; many are spread first."""
+    few = placed.where(F.col("n") <= EQUAL_ROWS)
+    last = F.col("n") - 1
+    many = (
+        placed.where(F.col("n") > EQUAL_ROWS)
+        .withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(EQUAL_ROWS))))
+        .repartition("source", "doc_id", "from")
+        .withColumn("upto", F.least(F.col("from") + (EQUAL_ROWS - 1), last))
+        .withColumn("copy", F.explode(F.sequence("from", "upto")))
+        .drop("from", "upto")
+    )
+    each = few.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return each.unionByName(many)
+
+
 def _position(part: Column, start: Column, end: Column) -> Column:
     """t in [0, 1] at which the integral of a linear rate reaches `part` of its total.
 
@@ -209,21 +268,36 @@ def arrange(
 ) -> DataFrame:
     """The documents of the mix, one row per copy, range-sorted by training position.
 
-    Rows keep the columns of `docs`. Equal positions are ordered by id. A repeated id
-    takes the copies of one plan row.
+    `docs` is the frame that was planned: rows are found again by id and content. They keep
+    their columns. Equal positions are ordered by id, then by content.
     """
-    copies = (
-        plan.where("copies > 0")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.max("positions").alias("__positions"))
+    key = ["__id", "__row"]
+    taken = plan.where("copies > 0").select(
+        F.col("doc_id").alias("__id"),
+        F.col("row_key").alias("__row"),
+        F.col("positions").alias("__positions"),
+    )
+    keyed = docs.withColumn("__key", row_key(docs))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row"))
+    repeated = plan.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
+    repeated = materialize(
+        repeated.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "mix-repeated"
     )
-    placed = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn(
-        "__position", F.explode("__positions")
+    if not repeated.isEmpty():
+        # Of equal rows one meets the positions of all.
+        narrow = broadcast_if_small(repeated)
+        row = F.first(F.struct(*keyed.columns)).alias("row")
+        once = keyed.join(narrow, same, "left_semi").groupBy(id_col, "__key").agg(row)
+        keyed = keyed.join(narrow, same, "left_anti").unionByName(once.select("row.*"))
+    placed = (
+        keyed.join(taken, same)
+        .withColumn("__position", F.explode("__positions"))
+        .drop(*key, "__positions")
     )
-    order = ["__position", id_col]
+    order = ["__position", id_col, "__key"]
     ranged = (
         placed.repartitionByRange(partitions, *order)
         if partitions
         else placed.repartitionByRange(*order)
     )
-    return ranged.sortWithinPartitions(*order).drop("__position", "__positions", "__id")
+    return ranged.sortWithinPartitions(*order).drop("__position", "__key")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.llm import mixing
+from labelloom.llm.common import row_key
 from labelloom.llm.mixing import arrange, plan_mix
 
 SCHEMA = "doc_id bigint, text string, source string"
@@ -131,6 +132,59 @@ def test_repeated_and_null_ids(spark):
     assert abs(plan.agg(F.sum("taken")).first()[0] - 9) <= 1
 
 
+def words_of(df, plan):
+    """Copies of each text: as planned by row, and as arranged."""
+    planned = {}
+    keyed = df.withColumn("row_key", row_key(df)).dropDuplicates(["doc_id", "row_key"])
+    rows = plan.join(
+        keyed.select(F.col("doc_id").alias("i"), "row_key", "text"),
+        F.col("doc_id").eqNullSafe(F.col("i")) & (plan["row_key"] == keyed["row_key"]),
+    )
+    for r in rows.select("doc_id", "text", "copies").collect():
+        planned[r["doc_id"], r["text"]] = planned.get((r["doc_id"], r["text"]), 0) + r["copies"]
+    arranged = {}
+    for r in arrange(df, plan).collect():
+        arranged[r["doc_id"], r["text"]] = arranged.get((r["doc_id"], r["text"]), 0) + 1
+    return {k: n for k, n in planned.items() if n}, arranged
+
+
+def test_rows_of_one_id_are_taken_each_by_its_own_plan(spark):
+    rows = [(1, "a " * 9, "s"), (1, "b " * 7, "s"), (1, "b " * 7, "s"), (None, "c", "s"),
+            (None, "d d", "s"), (None, "c", "s"), (None, None, "s"), (2, "e " * 40, "t")]
+    df = spark.createDataFrame([(*r, {"k": 1}) for r in rows], SCHEMA + ", m map<string, int>")
+    plan = plan_mix(df)
+    assert plan.count() == len(rows)
+    planned, arranged = words_of(df, plan)
+    assert planned == arranged
+    taken = plan.agg(F.sum("taken")).first()[0]
+    assert sum(len((t or "").split()) * n for (_, t), n in arranged.items()) == taken
+    assert arrange(df, plan).columns == df.columns
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_an_id_that_holds_most_rows_is_split(spark, equal, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 7)
+    text = "'w w w'" if equal else "concat('w w ', id)"
+    hot = spark.range(600).selectExpr("if(id % 2 = 0, 5, null) AS doc_id", f"{text} AS text")
+    cold = spark.range(100).selectExpr("id + 10 AS doc_id", "'w w w' AS text")
+    df = hot.unionAll(cold).withColumn("source", F.lit("s"))
+    plan = plan_mix(df, rows_per_prefix=10)
+    assert plan.count() == 700
+    totals = plan.agg(F.sum("taken"), F.max("target"), F.max("size")).first()
+    assert abs(totals[0] - totals[1]) <= totals[2] / 2
+    places = [r["t"] for r in plan.select(F.explode("positions").alias("t")).collect()]
+    assert len(set(places)) == len(places)
+    planned, arranged = words_of(df, plan)
+    assert planned == arranged
+    again = plan_mix(df.repartition(5), rows_per_prefix=10)
+    assert sorted(map(str, plan.collect())) == sorted(map(str, again.collect()))
+    rows = mixing._in_blocks(
+        df.groupBy("doc_id", "source", row_key(df).alias("row_key")).count(), 10
+    )
+    largest = rows.groupBy("source", "prefix", "part").count().agg(F.max("count")).first()[0]
+    assert largest <= 40
+
+
 def test_sources_in_order_of_code_points(spark):
     totals = spark.createDataFrame(
         [("b", 10, 1), ("B", 10, 1), (None, 10, 1), ("é", 10, 1)],
