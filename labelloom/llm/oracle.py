@@ -194,24 +194,43 @@ _SQL = {
                    (value >> shift) << shift AS start
             FROM (SELECT *, greatest(length(bin(value)) - 6, 0) AS shift FROM long
                   WHERE NOT base_failed)
-        ), by_source AS (
-            SELECT lang, source, rule, any_value(spread) AS spread, count(*) AS n,
-                   quantile_disc(start, 0.25) AS a, quantile_disc(start, 0.75) AS b
-            FROM binned GROUP BY lang, source, rule
-        ), by_lang AS (
-            SELECT lang, rule, count(*) AS n,
-                   quantile_disc(start, 0.25) AS a, quantile_disc(start, 0.75) AS b
-            FROM binned GROUP BY lang, rule
-        ), overall AS (
-            SELECT rule, quantile_disc(start, 0.25) AS a, quantile_disc(start, 0.75) AS b
-            FROM binned GROUP BY rule
+        ), own AS (
+            SELECT lang, source, rule, any_value(spread) AS spread, start, count(*) AS n
+            FROM binned GROUP BY lang, source, rule, start
+        ), every AS (
+            SELECT rule, start, sum(n) AS n FROM own GROUP BY rule, start
+        ), every_upto AS (
+            SELECT rule, start, sum(n) OVER (PARTITION BY rule ORDER BY start) AS upto,
+                   sum(n) OVER (PARTITION BY rule) AS rows
+            FROM every
+        ), lang_upto AS (
+            -- Rows of each language up to every bin that occurs anywhere.
+            SELECT l.lang, e.rule, e.start,
+                   coalesce(sum(o.n) FILTER (o.start <= e.start), 0) AS upto,
+                   sum(o.n) AS rows, any_value(e.upto) AS every_upto,
+                   any_value(e.rows) AS every_rows
+            FROM (SELECT DISTINCT lang FROM own) l CROSS JOIN every_upto e
+            JOIN own o ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = e.rule
+            GROUP BY l.lang, e.rule, e.start
+        ), inherited AS (
+            -- The language's rows and 200 more distributed as the corpus, times `unit`.
+            SELECT lang, rule, start, (rows + 200)::HUGEINT * every_rows AS unit,
+                   upto::HUGEINT * every_rows + 200::HUGEINT * every_upto AS upto
+            FROM lang_upto
+        ), pooled AS (
+            -- The source's rows and 200 more distributed as those, times `unit`.
+            SELECT g.lang, g.source, g.rule, any_value(g.spread) AS spread, i.start,
+                   any_value(i.unit) AS unit, sum(g.n) + 200 AS rows,
+                   coalesce(sum(g.n) FILTER (g.start <= i.start), 0) * any_value(i.unit)
+                     + 200 * any_value(i.upto) AS upto
+            FROM own g JOIN inherited i
+              ON g.lang IS NOT DISTINCT FROM i.lang AND g.rule = i.rule
+            GROUP BY g.lang, g.source, g.rule, i.start
         ), limits AS (
-            SELECT s.lang, s.source, s.rule, s.spread,
-                   CASE WHEN s.n >= 200 THEN s.a WHEN l.n >= 200 THEN l.a ELSE o.a END AS a,
-                   CASE WHEN s.n >= 200 THEN s.b WHEN l.n >= 200 THEN l.b ELSE o.b END AS b
-            FROM by_source s
-            JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.rule = l.rule
-            JOIN overall o ON s.rule = o.rule
+            SELECT lang, source, rule, any_value(spread) AS spread,
+                   min(start) FILTER (100 * upto >= 25 * rows * unit) AS a,
+                   min(start) FILTER (100 * upto >= 75 * rows * unit) AS b
+            FROM pooled GROUP BY lang, source, rule
         ), outside AS (
             SELECT DISTINCT doc_id FROM long
             JOIN limits ON long.lang IS NOT DISTINCT FROM limits.lang
