@@ -403,7 +403,7 @@ SELECT row_id, stratum, split FROM split_rows""",
   count(*) FILTER (y = 1) AS block, count(*) FILTER (y = 0) AS safe FROM made GROUP BY split""",
         "split_manifest": f"""{_with(SOURCES, MAKE_SPLITS)} SELECT {_fingerprint('raw')} AS content_hash,
   42 AS seed, 0.15::DOUBLE AS test_frac, 0.15::DOUBLE AS val_frac, 0.5::DOUBLE AS block_frac,
-  count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val,
+  1::DOUBLE AS ratio, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val,
   count(*) FILTER (split = 'test') AS test,
   count(*) FILTER (split = 'train' AND y = 1) AS train_block,
   count(*) FILTER (split = 'train' AND y = 0) AS train_safe,
