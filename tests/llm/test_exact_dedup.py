@@ -86,11 +86,12 @@ def test_equal_hashes_do_not_make_contents_equal():
 
 
 def test_large_buckets_are_dealt_again(spark):
-    rows = spark.range(2000).select(F.xxhash64("id").alias("hash"), F.lit(10).alias("size"))
+    """Hashes that all fall into one bucket of the first level, and into one of the next."""
+    rows = spark.range(2000).select((F.col("id") * 100).alias("hash"), F.lit(10).alias("size"))
     buckets, bucket = bucket_tree(rows, 400)
     sizes = [r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()]
-    assert max(sizes) <= 40 and sum(sizes) == 2000
-    assert buckets > 100
+    assert max(sizes) <= 40 and sum(sizes) == 2000 and len(sizes) > 50
+    assert buckets > 116  # 100, 16 of the second level, and a third one
 
 
 def test_one_text_is_no_reason_to_deal_again(spark):
