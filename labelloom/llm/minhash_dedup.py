@@ -13,30 +13,32 @@
    at most two edges per member and bucket, however large the bucket is.
 4. *Confirm* every edge on the full sets, find connected components.
 5. *Rest.* A bucket whose members are still in several components is open. In it, each
-   member outside the largest component is compared with all members of other components
-   by sketches, in blocks inside tasks, without listing pairs. Pairs whose sizes alone
-   exclude the threshold are settled. If the smaller set has fewer than `BINS` shingles,
-   so are those whose parity bits differ in more places than a pair at the threshold can
-   have single shingles, which loses no link. Of larger sets, pairs whose sketches agree in
-   fewer than `screen()` bins are settled by that, which loses a pair at the threshold with
-   a probability of about 1e-6 (normal tail at 5 sigmas 3e-7, and the reviewer's model gives
-   2e-6 for unions of 100). Of the others a task hands out a spanning forest
+   member outside the largest component meets all members of other components, in blocks
+   inside tasks, without listing pairs. Pairs are settled by their sizes, or by parity bits
+   that differ in more places than a pair at the threshold can have single shingles; the
+   bits grow with the set, sets of different sizes are compared on the bits of the smaller
+   one, and no link is lost by either. Of the others a task hands out a spanning forest
    only, and the connected ids are a cluster. Then each cluster's full sets meet, again
    in blocks: every pair of different components that passes the screen is compared on
    the full sets there, unless links found before already join the two, and a forest of
-   the links comes out. So every pair that shares a bucket is decided, and buckets have no
-   cap. What no link spares is quadratic in the members of a cluster that the
-   screen cannot tell apart, in compute alone.
+   the links comes out. So every pair that shares a bucket is decided on its sets, and
+   buckets have no cap. A block holds `BLOCK` members, so that a bucket of n rows sends
+   n / `BLOCK` times as many to its tasks as it has; what no link spares is quadratic in the
+   members that the screen cannot tell apart, in compute alone.
+
+A star's centre can have edges to any part of the table. Wherever edges meet sets or labels,
+the ids with more than a `HOT_SHARE`th of all edges are dealt by the other end as well.
 
 Defined cases: a null text and one without words have the empty set, which is linked with
 nothing; fewer words than a shingle has make one shingle; null ids are never linked and
 have a null component; rows that share an id are judged each by its own text; equal rows
-share a class, and `drop_near_copies` keeps one of them and links null ids too; an empty table gives an empty one; other columns are not read.
+share a class, and `drop_near_copies` keeps one of them, whatever types its columns have,
+and links null ids too; a very long text has a sketch like any other and parity bits in
+proportion to its shingles; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import broadcast_if_small, in_small_batches, row_key
+from labelloom.operators.joins import join_splitting_hot_keys
 from labelloom.session import materialize, settle
 
 WORDS = 5
@@ -53,25 +56,20 @@ PERCENT = 80
 BANDS = 40
 BAND_BINS = 5
 BINS = BANDS * BAND_BINS
-# Rows and shingles of a block of members in one task.
-BLOCK = 1024
+# Rows, and shingles or their parity bits, of a block of members in one task.
+BLOCK = 8192
 BLOCK_SHINGLES = 2_000_000
-# Standard deviations that the screen lies below the threshold.
-SCREEN_SIGMAS = 5.0
-# Parity bits of a set that can meet one of fewer than BINS shingles.
-PARITY_BITS = 8 * BINS
+BLOCK_BITS = 1 << 25
+# Parity bits of the smallest sets; larger ones have two to four for each shingle.
+PARITY_BITS = 1024
+# An id with more than this part of all edges is hot; there are at most twice as many.
+HOT_SHARE = 1000
 _WORDS_KNOWN = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX3 = np.uint64(0x94D049BB133111EB)
 
 
-def screen(percent: int = PERCENT) -> int:
-    """Bins that must agree for a pair to be worth a full comparison."""
-    t = percent / 100
-    return max(0, math.floor(BINS * t - SCREEN_SIGMAS * math.sqrt(BINS * t * (1 - t))))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * _MIX2
@@ -151,25 +149,24 @@ def buckets(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def traits(hashes: np.ndarray, values: np.ndarray, percent: int) -> bytes:
-    """What the screen compares: parity bits, low bytes of the bins, or both.
+def parity(hashes: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in each of 2^k places, two to four a shingle.
 
-    Sets of fewer than BINS shingles have the bits, sets too large to meet one of those at
-    the threshold have the bytes, and those between have both.
+    Folding the halves onto one another gives the parities in half as many places.
     """
-    n, out = len(hashes), b""
-    if percent * n < 100 * BINS:
-        places = (_mixed(hashes * _MIX) % np.uint64(PARITY_BITS)).astype(np.int64)
-        out = np.packbits(np.bincount(places, minlength=PARITY_BITS) & 1 == 1).tobytes()
-    return out + _mixed(values).astype(np.uint8).tobytes() if n >= BINS else out
+    places = max(PARITY_BITS, 1 << (2 * max(1, len(hashes)) - 1).bit_length())
+    at = (_mixed(hashes * _MIX) & np.uint64(places - 1)).astype(np.int64)
+    bits = np.bincount(at, minlength=places) & 1 == 1
+    return np.packbits(bits).tobytes()
 
 
 _SKETCHED = (
-    "doc_id bigint, key bigint, n_shingles bigint, digest binary, low binary, buckets array<bigint>"
+    "doc_id bigint, key bigint, n_shingles bigint, digest binary, bits binary, "
+    "buckets array<bigint>"
 )
 
 
-def _sketcher(words: int, percent: int):
+def _sketcher(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
@@ -186,11 +183,7 @@ def _sketcher(words: int, percent: int):
                             pa.binary(),
                         ),
                         pa.array(
-                            [
-                                None if v is None else traits(s, v, percent)
-                                for s, v in zip(sets, sketches)
-                            ],
-                            pa.binary(),
+                            [parity(s) if len(s) else None for s in sets], pa.binary()
                         ),
                         pa.array(
                             [[] if v is None else buckets(v) for v in sketches],
@@ -227,29 +220,38 @@ def _decided(
         F.col(text_col).alias("text"),
         F.xxhash64(text_col).alias("key"),
     )
-    sketched = materialize(texts.mapInArrow(_sketcher(words, percent), _SKETCHED), "near-sketches")
+    sketched = materialize(texts.mapInArrow(_sketcher(words), _SKETCHED), "near-sketches")
+    total = sketched.count()
     speaker = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    # One row a class: a text that fills a third of the table leaves one row a task.
     classes = (
         sketched.where(linked & (F.col("n_shingles") > 0))
         .groupBy("digest")
-        .agg(F.min(speaker).alias("rep"))
+        .agg(
+            F.min_by(F.struct(speaker.alias("rep"), "buckets", "bits", "n_shingles"), speaker)
+            .alias("best"),
+            F.count(F.lit(1)).alias("n"),
+        )
         .select(
-            F.monotonically_increasing_id().alias("id"), F.col("digest").alias("of"), "rep"
+            F.monotonically_increasing_id().alias("id"),
+            F.col("digest").alias("of"),
+            "best.*",
+            "n",
         )
     )
-    classes = materialize(classes, "near-classes")
-    speaking = sketched.join(
-        classes,
-        (F.col("digest") == F.col("of"))
-        & F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))
-        & (F.col("key") == F.col("rep.key")),
-    )
+    speaking = materialize(classes, "near-classes")
+    classes = speaking.select("id", "of", "rep", "n")
     # Buckets that more than one class is in.
-    banded = speaking.select("id", F.explode("buckets").alias("bucket"))
+    banded = materialize(
+        speaking.select("id", F.explode("buckets").alias("bucket")), "near-banded"
+    )
     shared = banded.groupBy("bucket").agg(
-        F.min("id").alias("first"), F.max("id").alias("last")
+        F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")
     ).where("first < last")
-    met = materialize(banded.join(shared, "bucket"), "near-buckets")
+    met = join_splitting_hot_keys(
+        banded, materialize(shared, "near-shared"), "bucket", banded.count()
+    )
+    met = materialize(met.drop("n"), "near-buckets")
     stars = (
         met.select("id", F.explode(F.array("first", "last")).alias("centre"))
         .where("id <> centre")
@@ -272,10 +274,23 @@ def _decided(
     placed = (
         classes.join(found, "id", "left")
         .join(broadcast_if_small(tops), F.col("component") == F.col("label"), "left")
-        .select("of", F.coalesce("top", "rep").alias("top"))
+        .select("of", F.coalesce("top", "rep").alias("top"), "n")
     )
+    placed = materialize(placed, "near-placed")
     alone = F.col("of").isNull() | ~linked
-    return sketched.join(placed, F.col("digest") == F.col("of"), "left").select(
+    # Rows without words have no class, and classes of many rows are few.
+    many = F.col("n") * HOT_SHARE > F.lit(total)
+    same = F.col("digest") == F.col("of")
+    empty = F.col("n_shingles") == 0
+    hot = F.broadcast(placed.where(many).drop("n"))
+    wordless = [F.lit(None).cast(f.dataType).alias(f.name) for f in hot.schema.fields]
+    rest = sketched.where(~empty).join(hot.select("of"), same, "left_anti")
+    met_again = (
+        rest.join(placed.where(~many).drop("n"), same, "left")
+        .unionByName(sketched.where(~empty).join(hot, same))
+        .unionByName(sketched.where(empty).select("*", *wordless))
+    )
+    return met_again.select(
         "doc_id",
         "key",
         "n_shingles",
@@ -378,9 +393,10 @@ def confirm(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     full = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     inter = F.size(F.array_intersect("set_a", "set_b"))
     both = F.size("set_a") + F.size("set_b") - inter
+    hot = hot_ids(pairs)
+    with_a = _with_sets(pairs, full, hot, "a", "b")
     return materialize(
-        pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        .join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+        _with_sets(with_a, full, hot, "b", "a")
         .where(100 * inter >= percent * both)
         .select("a", "b")
         .distinct(),
@@ -388,15 +404,57 @@ def confirm(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     )
 
 
+def hot_ids(edges: DataFrame) -> DataFrame:
+    """(hot, parts): ids with over a HOT_SHARE-th of the edges, and into how many parts
+    their edges are to be dealt. At most 2 * HOT_SHARE rows, written once."""
+    total = edges.count()
+    degrees = edges.select(F.explode(F.array("a", "b")).alias("hot")).groupBy("hot").count()
+    parts = F.ceil(F.col("count") * HOT_SHARE / F.lit(max(1, total)))
+    return materialize(
+        degrees.where(F.col("count") * HOT_SHARE > F.lit(total))
+        .select("hot", parts.cast("int").alias("parts"))
+        .where("parts > 1"),
+        "near-hot",
+    )
+
+
+def _with_sets(pairs: DataFrame, full: DataFrame, hot: DataFrame, end: str, other: str):
+    """The pairs with the set of one end; edges of a hot id are dealt by the other end."""
+    hot = F.broadcast(hot)
+    dealt = F.when(
+        F.col("parts").isNotNull(), F.pmod(F.xxhash64(other), F.col("parts"))
+    ).otherwise(0)
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    copies = full.join(hot, F.col("id") == F.col("hot"), "left").select(
+        F.col("id").alias(end),
+        F.explode(parts).alias("part"),
+        F.col("set").alias(f"set_{end}"),
+    )
+    return (
+        pairs.join(hot, F.col(end) == F.col("hot"), "left")
+        .withColumn("part", dealt.cast("int"))
+        .drop("hot", "parts")
+        .join(copies, [end, "part"])
+        .drop("part")
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id that has a link; the component is its least id.
 
     Each round hands the least label over the links and then follows labels to labels,
-    so long chains shorten by more than half a round. Every round is written.
+    so long chains shorten by more than half a round. Every round is written. The labels of
+    ids with many links, of which there are few, reach the links by broadcast.
     """
+    hot = F.broadcast(hot_ids(links).select("hot"))
     both = links.select("a", "b").unionAll(
         links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     )
+    for end in ("a", "b"):
+        both = both.join(
+            hot.select(F.col("hot").alias(end), F.lit(True).alias(f"hot_{end}")), end, "left"
+        ).fillna(False, [f"hot_{end}"])
+    both = materialize(both, "near-both")
     labels = materialize(
         both.groupBy(F.col("a").alias("id")).agg(
             F.least(F.col("id"), F.min("b")).alias("component")
@@ -405,10 +463,7 @@ def components(links: DataFrame) -> DataFrame:
     )
     while True:
         # Hooking: an id's old label learns of the least label among its neighbours.
-        over = (
-            both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b")
-            .join(labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a")
-        )
+        over = _with_labels(_with_labels(both, labels, hot, "b"), labels, hot, "a")
         hooks = over.where("of_b < of_a").select(
             F.explode(
                 F.array(
@@ -426,14 +481,37 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "near-hooked",
         )
-        # Jumping: take over the label of the label.
-        up = hooked.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        labels = materialize(
-            hooked.join(up, "component", "left").select(
+        labels = materialize(_jumped(hooked), "near-labels")
+
+
+def _with_labels(edges: DataFrame, labels: DataFrame, hot: DataFrame, end: str) -> DataFrame:
+    """The edges with the label of one end."""
+    of = labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    few = of.join(hot.select(F.col("hot").alias(end)), end, "left_semi")
+    return (
+        edges.where(~F.col(f"hot_{end}"))
+        .join(of, end)
+        .unionByName(edges.where(f"hot_{end}").join(F.broadcast(few), end))
+    )
+
+
+def _jumped(labels: DataFrame) -> DataFrame:
+    """Jumping: take over the label of the label. Labels of many ids are broadcast."""
+    up = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    total = labels.count()
+    sizes = labels.groupBy("component").count().where(F.col("count") * HOT_SHARE > F.lit(total))
+    # At most HOT_SHARE rows.
+    top = F.broadcast(materialize(up.join(sizes.drop("count"), "component"), "near-tops"))
+    cold = labels.join(top.select("component"), "component", "left_anti")
+    return (
+        cold.join(up, "component", "left")
+        .select("id", F.least("component", "next").alias("component"))
+        .unionByName(
+            labels.join(top, "component").select(
                 "id", F.least("component", "next").alias("component")
-            ),
-            "near-labels",
+            )
         )
+    )
 
 
 def _rest(
@@ -445,18 +523,21 @@ def _rest(
     percent: int,
 ) -> DataFrame:
     """Links (a, b) between components, within buckets that are still open."""
-    members = _open(_labelled(met.select("bucket", "id"), found), "bucket")
+    members = _open(
+        _labelled(met.select("bucket", "id"), found),
+        "bucket",
+        speaking.select("id", (4 * F.col("n_shingles") + PARITY_BITS).alias("n_shingles")),
+    )
     known = (
-        speaking.select("id", "low", "n_shingles")
+        speaking.select("id", "bits", "n_shingles")
         .join(members.select("id").distinct(), "id", "left_semi")
-        .dropDuplicates(["id"])
     )
     known = materialize(known, "near-open-sketches")
     alike = (
-        _blocks(members, "bucket", block)
-        .join(known.select("id", "low", "n_shingles"), "id")
+        _blocks(members, "bucket", block, BLOCK_BITS)
+        .join(known, "id")
         .groupBy("bucket", "column", "row")
-        .applyInArrow(_screener(screen(percent), percent), "a bigint, b bigint")
+        .applyInArrow(_screener(percent), "a bigint, b bigint")
     )
     clusters = components(materialize(alike, "near-alike")).withColumnRenamed(
         "component", "cluster"
@@ -464,11 +545,11 @@ def _rest(
     members = _open(_labelled(clusters, found), "cluster", known)
     full = sets.of(members.select("id"))
     return materialize(
-        _blocks(members, "cluster", block)
-        .join(known.select("id", "low", "n_shingles"), "id")
+        _blocks(members, "cluster", block, BLOCK_SHINGLES)
+        .join(known, "id")
         .join(full, "id")
         .groupBy("cluster", "column", "row")
-        .applyInArrow(_comparer(screen(percent), percent), "a bigint, b bigint"),
+        .applyInArrow(_comparer(percent), "a bigint, b bigint"),
         "near-more",
     )
 
@@ -479,17 +560,15 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _open(members: DataFrame, group: str, known: DataFrame | None = None) -> DataFrame:
+def _open(members: DataFrame, group: str, known: DataFrame) -> DataFrame:
     """Members of groups with several components, with what deals them into blocks.
 
-    `weight` is the shingles of the group, if known; `outside` tells who is not in the
-    group's largest component (the least of them, when several are largest).
+    `weight` is the sum of the group's `n_shingles` in `known`; `outside` tells who is not
+    in the group's largest component (the least of them, when several are largest).
     """
-    if known is not None:
-        members = members.join(known.select("id", "n_shingles"), "id")
-    else:
-        members = members.withColumn("n_shingles", F.lit(0).cast("long"))
-    members = materialize(members, "near-members")
+    members = materialize(
+        members.join(known.select("id", "n_shingles"), "id"), "near-members"
+    )
     sizes = members.groupBy(group, "component").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")
     )
@@ -524,11 +603,9 @@ def _open(members: DataFrame, group: str, known: DataFrame | None = None) -> Dat
     )
 
 
-def _blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+def _blocks(members: DataFrame, group: str, block: int, weight: int) -> DataFrame:
     """Rows by (group, column, row): each block of outsiders beside each of members."""
-    parts = F.greatest(
-        F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / BLOCK_SHINGLES)
-    )
+    parts = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / weight))
     few = F.ceil(F.col("few") * parts / F.col("rows"))
     cell = F.xxhash64("id", group)
     everyone = F.sequence(F.lit(0).cast("long"), few - 1)
@@ -570,37 +647,55 @@ class _Forest:
         return x != y
 
 
-def _passing(group: pa.Table, least: int, percent: int):
+class _Parities:
+    """Parity bits of a group's rows, compared at the size of the smaller set's."""
+
+    def __init__(self, held: list[bytes]):
+        words = [np.frombuffer(bits, np.uint64) for bits in held]
+        self.sizes = np.array([len(w) for w in words])
+        # At each size: the rows with at least as many bits, folded to it.
+        self._rows: dict[int, np.ndarray] = {}
+        self._tables: dict[int, np.ndarray] = {}
+        for size in sorted(set(self.sizes.tolist())):
+            rows = np.flatnonzero(self.sizes >= size)
+            self._rows[size] = rows
+            self._tables[size] = np.array([self._folded(words[i], size) for i in rows])
+
+    @staticmethod
+    def _folded(words: np.ndarray, size: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+    def _at(self, rows: np.ndarray, size: int) -> np.ndarray:
+        return self._tables[size][np.searchsorted(self._rows[size], rows)]
+
+    def differing(self, x: int, rows: np.ndarray) -> np.ndarray:
+        """Places in which row x differs from each of the rows."""
+        out = np.zeros(len(rows), dtype=np.int64)
+        least = np.minimum(self.sizes[rows], self.sizes[x])
+        for size in np.unique(least).tolist():
+            at = np.flatnonzero(least == size)
+            apart = self._at(rows[at], size) ^ self._at(np.array([x]), size)
+            out[at] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _passing(group: pa.Table, percent: int):
     """(outsider, members that pass its screen, most alike first), as row numbers."""
     flags = group["outside"].to_numpy(zero_copy_only=False).astype(bool)
     parts = group["component"].to_numpy()
     n = group["n_shingles"].to_numpy()
-    bits = np.zeros((len(n), PARITY_BITS // 64), np.uint64)
-    low = np.zeros((len(n), BINS), np.uint8)
-    for i, held in enumerate(group["low"].to_pylist()):
-        if percent * n[i] < 100 * BINS:
-            bits[i] = np.frombuffer(held, np.uint64, PARITY_BITS // 64)
-        if n[i] >= BINS:
-            low[i] = np.frombuffer(held[-BINS:], np.uint8)
+    parities = _Parities(group["bits"].to_pylist())
     columns = np.flatnonzero(~flags)
     for x in np.flatnonzero(flags):
         size = n[columns]
         fits = (parts[columns] != parts[x]) & (
             100 * np.minimum(size, n[x]) >= percent * np.maximum(size, n[x])
         )
-        near, size = columns[fits], size[fits]
-        small = np.minimum(size, n[x]) < BINS
-        alike = np.empty(len(near))
-        passed = np.empty(len(near), bool)
-        # Parity bits differ at most at the shingles that only one of the two has.
-        single = np.bitwise_count(bits[near[small]] ^ bits[x]).sum(axis=1, dtype=np.int64)
-        both = size[small] + n[x]
-        passed[small] = (100 + percent) * single <= (100 - percent) * both
-        alike[small] = 1 - single / both
-        agree = (low[near[~small]] == low[x]).sum(axis=1)
-        passed[~small] = agree >= least
-        alike[~small] = agree / BINS
-        near, alike = near[passed], alike[passed]
+        near, both = columns[fits], size[fits] + n[x]
+        # Bits differ at most at the shingles that only one of the two has.
+        single = parities.differing(x, near)
+        passed = (100 + percent) * single <= (100 - percent) * both
+        near, alike = near[passed], 1 - single[passed] / both[passed]
         yield x, near[np.argsort(-alike, kind="stable")]
 
 
@@ -613,14 +708,14 @@ def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     )
 
 
-def _screener(least: int, percent: int):
+def _screener(percent: int):
     def screened(group: pa.Table) -> pa.Table:
         ids = group["id"].to_pylist()
         forest = _Forest()
         return _pairs(
             [
                 (ids[x], ids[y])
-                for x, others in _passing(group, least, percent)
+                for x, others in _passing(group, percent)
                 for y in others.tolist()
                 if forest.join(ids[x], ids[y])
             ]
@@ -629,7 +724,7 @@ def _screener(least: int, percent: int):
     return screened
 
 
-def _comparer(least: int, percent: int):
+def _comparer(percent: int):
     def compared(group: pa.Table) -> pa.Table:
         ids = group["id"].to_pylist()
         parts = group["component"].to_pylist()
@@ -637,7 +732,7 @@ def _comparer(least: int, percent: int):
         values, ends = column.values.to_numpy(), column.offsets.to_numpy()
         sets = [np.sort(values[ends[i] : ends[i + 1]]) for i in range(len(ids))]
         forest, links = _Forest(), []
-        for x, others in _passing(group, least, percent):
+        for x, others in _passing(group, percent):
             for y in others.tolist():
                 if forest.top(parts[x]) == forest.top(parts[y]):
                     continue

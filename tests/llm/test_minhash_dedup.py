@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from labelloom.llm import minhash_dedup
 from labelloom.llm.minhash_dedup import (
@@ -153,25 +154,97 @@ def test_word_memory_is_bounded(monkeypatch):
     assert (shingles(text, 5, known) == shingles(text, 5)).all() and len(known) <= 3
 
 
-def test_small_sets_at_the_threshold_always_pass_the_screen():
-    """Of 100 pairs of 4 and 5 shingles at similarity 0.8, none is settled by sketches."""
-    rng = np.random.default_rng(3)
-    sets = []
-    for _ in range(100):
-        a = np.unique(rng.integers(0, 2**63, 5, dtype=np.uint64))
-        sets.append((a, np.delete(a, rng.integers(5))))
-    lost = 0
-    for pair in sets:
-        table = pa.table(
-            {
-                "outside": [True, False],
-                "component": [0, 1],
-                "n_shingles": [5, 4],
-                "low": [minhash_dedup.traits(h, sketch(h), 80) for h in pair],
-            }
-        )
-        lost += sum(len(found) == 0 for _, found in minhash_dedup._passing(table, 200, 80))
-    assert lost == 0
+@pytest.mark.parametrize("size", [5, 60, 199, 200, 210, 1000, 5000])
+def test_no_pair_at_the_threshold_is_settled_by_the_screen(size):
+    """Pairs at similarity 0.8 exactly, by removal or by exchange, pass at every size."""
+    rng = np.random.default_rng(size)
+    for _ in range(20):
+        whole = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        removed = np.delete(whole, rng.choice(len(whole), len(whole) // 5, replace=False))
+        swapped = np.unique(np.concatenate([
+            np.delete(whole, rng.choice(len(whole), len(whole) // 9, replace=False)),
+            rng.integers(0, 2**63, len(whole) // 9, dtype=np.uint64),
+        ]))
+        sets = [whole, removed, swapped]
+        for other in (1, 2):
+            pair = [sets[0], sets[other]]
+            shared = len(np.intersect1d(*pair))
+            assert 100 * shared >= 80 * (len(pair[0]) + len(pair[1]) - shared)
+            table = group(pair)
+            assert all(len(found) for _, found in minhash_dedup._passing(table, 80))
+
+
+def group(sets):
+    """The first set as an outsider, the others as members."""
+    return pa.table(
+        {
+            "outside": [True] + [False] * (len(sets) - 1),
+            "component": list(range(len(sets))),
+            "n_shingles": [len(h) for h in sets],
+            "bits": [minhash_dedup.parity(h) for h in sets],
+        }
+    )
+
+
+def test_the_screen_settles_pairs_far_from_the_threshold():
+    rng = np.random.default_rng(1)
+    for size in (30, 300, 3000):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        others = [
+            np.unique(np.concatenate([base[: size // 2], rng.integers(0, 2**63, size // 2, dtype=np.uint64)]))
+            for _ in range(50)
+        ]
+        (_, found), = minhash_dedup._passing(group([np.unique(base), *others]), 80)
+        assert len(found) <= 2
+
+
+def test_parities_fold():
+    rng = np.random.default_rng(2)
+    small = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64))
+    large = np.unique(np.concatenate([small, rng.integers(0, 2**63, 30, dtype=np.uint64)]))
+    held = [minhash_dedup.parity(h) for h in (small, large)]
+    assert len(held[1]) == 2 * len(held[0])
+    parities = minhash_dedup._Parities(held)
+    for x, y in ((0, 1), (1, 0)):
+        (apart,) = parities.differing(x, np.array([y]))
+        assert len(large) - len(small) - 8 <= apart <= len(large) - len(small)
+
+
+def test_rows_of_a_bucket_of_texts_apart_are_bounded(spark):
+    """20,000 members of one bucket, all apart: blocks keep the copies few."""
+    members = spark.range(20_000).select(
+        F.lit(1).alias("bucket"), "id", F.col("id").alias("component")
+    )
+    known = spark.range(20_000).select("id", F.lit(1000).cast("long").alias("n_shingles"))
+    opened = minhash_dedup._open(members, "bucket", known)
+    rows = minhash_dedup._blocks(opened, "bucket", minhash_dedup.BLOCK, minhash_dedup.BLOCK_BITS)
+    assert rows.count() <= 6 * 20_000
+    largest = rows.groupBy("column", "row").count().agg(F.max("count")).first()[0]
+    assert largest <= 3 * minhash_dedup.BLOCK
+
+
+def test_a_hot_centre_is_dealt_to_many_tasks(spark):
+    """Edges and sets of an id that is in half of all edges are split by the other end."""
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(3000, 6000)]
+    pairs = spark.createDataFrame(edges, "a bigint, b bigint")
+    hot = minhash_dedup.hot_ids(pairs)
+    assert [(r["hot"], r["parts"]) for r in hot.collect()] == [(0, 500)]
+    full = spark.range(6001).select("id", F.array("id").alias("set"))
+    joined = minhash_dedup._with_sets(pairs, full, hot, "a", "b")
+    assert sorted((r["a"], r["b"], r["set_a"]) for r in joined.collect()) == [
+        (a, b, [a]) for a, b in sorted(edges)
+    ]
+    plan = joined._jdf.queryExecution().toString()
+    assert "part" in plan.split("SortMergeJoin")[1].split("\n")[0] or "BroadcastHashJoin" in plan
+
+
+def test_map_columns_and_hot_copies(spark):
+    """A column that cannot be hashed as it is, and one text in most of the rows."""
+    rows = [(1, "a b c d e f", {"k": 1})] * 40 + [(i, "", {}) for i in range(20)]
+    rows += [(100 + i, "a b c d e f", {"k": i}) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA + ", m map<string, int>")
+    got = drop_near_copies(df).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted([*range(20), 1])
 
 
 def test_two_texts_under_one_id(spark):
