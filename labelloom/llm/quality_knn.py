@@ -1,18 +1,21 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms describe its surface: trigrams over classes of characters (case, digit,
-blank, line end, each kind of sign), words that repeat the word before, lines that repeat
-an earlier line, and being short. Term shares are weighted by inverse document frequencies
-over all documents; a truncated singular value decomposition of the labelled sample gives
+A text's terms are its words, in `WORD_TERMS` hash buckets, and its surface: trigrams over
+classes of characters (case, digit, blank, line end, each kind of sign), words that repeat
+the word before, lines that repeat an earlier line, and being short. Term shares are weighted
+by inverse document frequencies over all documents; words and surface are vectors of their
+own, of which the words' has length `WORD_WEIGHT` and the surface's 1. A truncated singular value decomposition of the labelled sample gives
 `LATENT` directions. The sample is bounded: about `PER_LABEL` texts of each label. Its
 vectors are broadcast, every document's cosines with all of them are computed exactly in
 blocks, and the `NEIGHBOURS` nearest vote with weight cosine^`SHARPNESS`. Votes of a label
 of which only a part was drawn count for the rest as well.
 
 Defined cases: null and empty texts have the single term of a short text and are voted on
-like any other; null ids are scored and not held out; repeated rows are scored each; with
-no label, or one only, the score is that label's (0.5 without any); an empty table gives an
-empty one; other columns are not read.
+like any other; null ids are scored and not held out; a label holds for every row of its
+id; repeated rows are scored each; a very long text is one vector like any other; cosines
+are compared to six digits, and of equally near neighbours those with the least id vote;
+with no label, or one only, the score is that label's (0.5 without any); an empty table
+gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import fold
+from labelloom.llm.common import fold, in_small_batches
 from labelloom.llm.learning import label_rows, sample_ids, texts_of
 from labelloom.session import materialize
 
@@ -38,7 +42,16 @@ THRESHOLD = 0.3
 BLOCK = 256
 _EXTRA = 4  # repeated words, repeated lines, shortness, any text
 _CLASSES = 16
-TERMS = _CLASSES**3 + _EXTRA
+SURFACE_TERMS = _CLASSES**3 + _EXTRA
+WORD_TERMS = 1 << 13
+WORD_WEIGHT = 0.5
+TERMS = SURFACE_TERMS + WORD_TERMS
+_DIGITS = 6
+_WORDS_KNOWN = 500_000
+# Directions beyond LATENT, and rounds, of the randomised decomposition.
+_BEYOND, _ROUNDS = 16, 5
+# Everything in ASCII that is neither letter nor digit separates words.
+_SEPARATE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def _class_table() -> np.ndarray:
@@ -62,14 +75,36 @@ def _class_table() -> np.ndarray:
 _TABLE = _class_table()
 
 
+class _WordTerms(dict):
+    """Word to its bucket, started anew when it has grown large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _WORDS_KNOWN:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word) % WORD_TERMS
+        return value
+
+
+_BUCKETS = _WordTerms()
+
+
 def term_counts(text: str | None) -> np.ndarray:
-    """Counts of all terms, as a vector of TERMS numbers."""
+    """Counts of all terms, as a vector of TERMS numbers: the surface's, then the words'."""
     data = (text or "").encode()
-    classes = _TABLE[np.frombuffer(data, dtype=np.uint8)]
     counts = np.zeros(TERMS)
+    named = data.lower().translate(_SEPARATE).split()
+    if named:
+        at = np.fromiter(map(_BUCKETS.__getitem__, named), np.int64, len(named))
+        counts[SURFACE_TERMS:] = np.bincount(at, minlength=WORD_TERMS)
+    _count_surface(data, counts[:SURFACE_TERMS])
+    return counts
+
+
+def _count_surface(data: bytes, counts: np.ndarray) -> None:
+    classes = _TABLE[np.frombuffer(data, dtype=np.uint8)]
     if len(classes) > 2:
         codes = (classes[:-2] * _CLASSES + classes[1:-1]) * _CLASSES + classes[2:]
-        counts[:-_EXTRA] = np.bincount(codes, minlength=TERMS - _EXTRA)
+        counts[:-_EXTRA] = np.bincount(codes, minlength=len(counts) - _EXTRA)
     words = data.split()
     lines = [line for line in data.split(b"\n") if line.strip()]
     size = max(1, len(data))
@@ -78,14 +113,28 @@ def term_counts(text: str | None) -> np.ndarray:
     counts[-3] = size * (len(lines) - len(set(lines))) / max(1, len(lines))
     counts[-2] = size * max(0.0, 1 - len(words) / 20) * 0.1
     counts[-1] = 0.001 * size
-    return counts
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of root shares times idf, each of length 1."""
-    shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-12)
-    values = np.sqrt(shares) * idf
-    return values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-12)
+    """Rows of root shares times idf, each part brought to its length."""
+    parts = []
+    for part, length in ((slice(0, SURFACE_TERMS), 1), (slice(SURFACE_TERMS, TERMS), WORD_WEIGHT)):
+        own = counts[:, part]
+        shares = own / np.maximum(own.sum(axis=1, keepdims=True), 1e-12)
+        values = np.sqrt(shares) * idf[part]
+        norms = np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-12)
+        parts.append((values * (length / norms)).astype(np.float32))
+    return np.hstack(parts)
+
+
+def decompose(matrix: np.ndarray) -> np.ndarray:
+    """The first LATENT right singular vectors, by randomised subspace iteration."""
+    size = min(LATENT + _BEYOND, *matrix.shape)
+    guess = np.random.default_rng(1).normal(size=(matrix.shape[1], size))
+    for _ in range(_ROUNDS):
+        guess, _ = np.linalg.qr(matrix.T @ (matrix @ guess.astype(np.float32)))
+    _, _, turned = np.linalg.svd(matrix @ guess.astype(np.float32), full_matrices=False)
+    return (guess @ turned.T)[:, :LATENT]
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
@@ -95,7 +144,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
         present, total = np.zeros(TERMS, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                present += term_counts(text) > 0
+                present[np.flatnonzero(term_counts(text))] += 1
                 total += 1
         at = np.flatnonzero(present)
         yield pa.RecordBatch.from_arrays(
@@ -128,24 +177,39 @@ def fit(
     if len(counts) < 2:
         return {"constant": float(next(iter(counts), 0.5))}
     idf = inverse_frequencies(docs.select(F.col(text_col).alias("text")))
-    sample = texts_of(sampled.withColumn("part", F.lit(0)), docs, id_col, text_col)
+    sample = texts_of(sampled, docs, id_col, text_col)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text becomes the weights of at most TERMS terms, however long it is."""
+        for batch in batches:
+            for part in in_small_batches(batch, 8 * TERMS):
+                texts = part.column(2).to_pylist()
+                rows = weigh(np.array([term_counts(t) for t in texts]), idf)
+                at = [np.flatnonzero(row) for row in rows]
+                digests = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns[:2],
+                        pa.array(digests.view(np.int64)),
+                        pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
+                        pa.array([row[a] for row, a in zip(rows, at)], pa.list_(pa.float32())),
+                    ],
+                    names=["doc_id", "label", "digest", "at", "weight"],
+                )
 
     def latent(rows: pa.Table) -> pa.Table:
-        marked = sorted(
-            zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist())
-        )
-        matrix = weigh(np.array([term_counts(t) for _, _, t in marked]), idf)
-        # Uncentred, as usual for latent semantics; right singular vectors by the Gram
-        # matrix of the terms that occur.
-        used = np.flatnonzero(matrix.any(axis=0))
-        _, directions = np.linalg.eigh(matrix[:, used].T @ matrix[:, used])
-        basis = np.zeros((TERMS, min(LATENT, len(used))))
-        basis[used] = directions[:, ::-1][:, : basis.shape[1]]
+        rows = rows.sort_by([(name, "ascending") for name in ("doc_id", "digest")])
+        labels = rows["label"].to_pylist()
+        at, weight = rows["at"].combine_chunks(), rows["weight"].combine_chunks()
+        matrix = np.zeros((len(labels), TERMS), dtype=np.float32)
+        row = np.repeat(np.arange(len(labels)), np.diff(np.asarray(at.offsets)))
+        matrix[row, np.asarray(at.flatten())] = np.asarray(weight.flatten())
+        basis = decompose(matrix)  # uncentred, as usual for latent semantics
         vectors = _unit(matrix @ basis)
         return pa.table(
             {
-                "kind": pa.array(["basis"] + ["vector"] * len(marked)),
-                "label": pa.array([None] + [m[1] for m in marked], pa.int32()),
+                "kind": pa.array(["basis"] + ["vector"] * len(labels)),
+                "label": pa.array([None, *labels], pa.int32()),
                 "data": pa.array(
                     [basis.astype("<f4").tobytes()]
                     + [v.astype("<f4").tobytes() for v in vectors],
@@ -154,9 +218,15 @@ def fit(
             }
         )
 
-    # One bounded group: about PER_LABEL texts of each label.
+    # One bounded group: about PER_LABEL vectors of each label.
     rows = (
-        sample.groupBy("part")
+        sample.select("doc_id", "label", "text")
+        .mapInArrow(
+            weighed,
+            "doc_id bigint, label int, digest bigint, at array<int>, weight array<float>",
+        )
+        .withColumn("part", F.lit(0))
+        .groupBy("part")
         .applyInArrow(latent, "kind string, label int, data binary")
         .collect()
     )
@@ -165,7 +235,7 @@ def fit(
     drawn = {label: sum(r["label"] == label for r in vectors) for label in counts}
     return {
         "idf": idf,
-        "basis": np.frombuffer(basis, "<f4").reshape(TERMS, -1),
+        "basis": np.frombuffer(basis, "<f4").reshape(TERMS, -1).copy(),
         "vectors": np.array([np.frombuffer(r["data"], "<f4") for r in vectors]),
         "labels": np.array([r["label"] for r in vectors], dtype=np.float32),
         "votes": np.array(
@@ -180,9 +250,14 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def vote(vectors: np.ndarray, model: dict) -> np.ndarray:
     """Scores of unit vectors: the share of votes for label 1 among the nearest."""
-    cosines = vectors @ model["vectors"].T
+    cosines = np.round(vectors @ model["vectors"].T, _DIGITS)
     count = min(NEIGHBOURS, cosines.shape[1])
-    nearest = np.argpartition(-cosines, count - 1, axis=1)[:, :count]
+    least = -np.partition(-cosines, count - 1, axis=1)[:, count - 1 : count]
+    nearer, level = cosines > least, cosines == least
+    # The vectors stand in order of their ids.
+    room = count - nearer.sum(axis=1, keepdims=True)
+    chosen = nearer | (level & (np.cumsum(level, axis=1) <= room))
+    nearest = np.nonzero(chosen)[1].reshape(len(cosines), count)
     weights = np.maximum(np.take_along_axis(cosines, nearest, axis=1), 1e-6) ** SHARPNESS
     weights = weights * model["votes"][nearest]
     return (weights * model["labels"][nearest]).sum(axis=1) / weights.sum(axis=1)
