@@ -9,9 +9,11 @@ on a bounded sample of about `PER_LANGUAGE` texts a language. A fifth of the sam
 from it to fit the temperature that divides the scores.
 
 Defined cases: a null text or one without letters is `und` with score 0; null languages
-teach nothing; null ids are predicted, not held out, and teach nothing; repeated rows
-count each; with one language, that is predicted, and with none, `und`; an empty table gives
-an empty one; other columns are not read.
+teach nothing; null ids are predicted, not held out, and teach nothing; rows of one id each
+teach their own language by their own text, equal rows once; a very long text is predicted
+whole and learned as one vector; of equal scores the first language by code point holds;
+with one language, that is predicted, and with none, `und`; an empty table gives an empty
+one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import fold, in_small_batches
-from labelloom.llm.learning import sample_ids, texts_of
+from labelloom.llm.learning import sample_rows
 
 BUCKETS = 1 << 13
 PER_LANGUAGE = 1500
@@ -160,29 +163,49 @@ def fit(
         & F.col(id_col).isNotNull()
         & (fold(id_col, FOLDS) != HELD_OUT)
     )
-    ids = learned.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang")
+    rows = learned.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(lang_col).alias("lang"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    sampled, counts = sample_ids(ids, F.col("lang"), PER_LANGUAGE, 3)
+    sample, counts = sample_rows(rows, "lang", PER_LANGUAGE, 3)
     languages = sorted(counts)
     if not languages:
         return {"languages": []}
-    idf = document_frequencies(learned.select(F.col(text_col).alias("text")))
-    sample = texts_of(sampled.withColumn("part", F.lit(0)), docs, id_col, text_col)
+    idf = document_frequencies(rows.select("text"))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text becomes the weights of at most BUCKETS buckets, however long it is."""
+        for batch in batches:
+            for part in in_small_batches(batch, 8 * BUCKETS):
+                made = [
+                    weigh(counts, idf) if (counts := gram_counts(t)) is not None else None
+                    for t in part.column(2).to_pylist()
+                ]
+                digests = [xxhash.xxh3_64_intdigest(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([languages.index(x) for x in part.column(1).to_pylist()]),
+                        pa.array(np.array(digests, np.uint64).view(np.int64)),
+                        pa.array([m and m[0] for m in made], pa.list_(pa.int64())),
+                        pa.array([m and m[1] for m in made], pa.list_(pa.float64())),
+                    ],
+                    names=["doc_id", "lang", "digest", "at", "weight"],
+                )
 
     def train_one(rows: pa.Table) -> pa.Table:
-        marked = sorted(
-            zip(
-                rows["doc_id"].to_pylist(), rows["lang"].to_pylist(), rows["text"].to_pylist()
-            )
+        rows = rows.filter(rows["at"].is_valid()).sort_by(
+            [(name, "ascending") for name in ("doc_id", "lang", "digest")]
         )
-        vectors = [
-            (*weigh(counts, idf), languages.index(lang))
-            for _, lang, text in marked
-            if (counts := gram_counts(text)) is not None
+        marked = [
+            (np.array(at), np.array(values), lang)
+            for at, values, lang in zip(
+                rows["at"].to_pylist(), rows["weight"].to_pylist(), rows["lang"].to_pylist()
+            )
         ]
-        keep = [v for i, v in enumerate(vectors) if i % 5]
-        rest = vectors[::5]
+        keep = [v for i, v in enumerate(marked) if i % 5]
+        rest = marked[::5]
         weights = train(keep, len(languages))
         scores = np.array([v @ weights[at] for at, v, _ in rest]).reshape(
             -1, len(languages)
@@ -193,9 +216,15 @@ def fit(
             {"weights": pa.array([flat], pa.binary()), "temperature": pa.array([temperature])}
         )
 
-    # One bounded group: about PER_LANGUAGE texts of each language.
+    # One bounded group: about PER_LANGUAGE vectors of each language.
     row = (
-        sample.groupBy("part")
+        sample.select("doc_id", "lang", "text")
+        .mapInArrow(
+            vectors,
+            "doc_id bigint, lang bigint, digest bigint, at array<bigint>, weight array<double>",
+        )
+        .withColumn("part", F.lit(0))
+        .groupBy("part")
         .applyInArrow(train_one, "weights binary, temperature double")
         .first()
     )

@@ -45,6 +45,25 @@ def sample_ids(ids: DataFrame, by: Column, limit: int, seed: int) -> tuple[DataF
     return kept, counts
 
 
+def sample_rows(rows: DataFrame, by: str, limit: int, seed: int) -> tuple[DataFrame, dict]:
+    """About `limit` rows of each class of (doc_id, text, ...), written once; rows before.
+
+    As `sample_ids`, but a row is drawn by id and text and keeps its own class and text
+    whatever other rows have its id. Equal rows are drawn together and come once, so that
+    one row that fills much of the table does not fill the sample.
+    """
+    counts = {row[by]: row["count"] for row in rows.groupBy(by).count().collect()}
+    if not counts:
+        return rows, counts
+    share = F.lit(0.0)
+    for name, count in counts.items():
+        share = F.when(F.col(by) == name, min(1.0, limit / count)).otherwise(share)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
+    drawn = rows.where(draw < share).groupBy("doc_id", by, F.sha2("text", 256).alias("of"))
+    sample = drawn.agg(F.first("text").alias("text")).select("doc_id", by, "text")
+    return materialize(sample, "sample-rows"), counts
+
+
 def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The sampled rows with their texts, written once; repeated texts come once.
 
