@@ -1,8 +1,9 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 `CLASSIFIERS` numpy classifiers are trained in as many tasks, each on its own bounded
-sample: at most about `POSITIVES` confirmed toxic texts and `UNLABELLED` texts without a
-label. No confirmed clean text is used. With class prior p, the share of toxic rows among
+sample: at most about `POSITIVES` confirmed toxic texts, and `UNLABELLED` of all texts
+outside fold 0 with whatever labels they have left aside. No text counts as confirmed clean,
+and a table in which every row is labelled is learned from like any other. With class prior p, the share of toxic rows among
 all labelled training rows, each minimises
 
     p * R_p(+)  +  max(0, R_u(-) - p * R_p(-))
@@ -14,9 +15,10 @@ different words: a long clean text gathers chance hits, a toxic one gathers them
 A score is the mean of the classifiers' probabilities.
 
 Defined cases: null and empty texts have no feature and get the bias's score; null ids are
-scored and not held out; repeated rows are scored each; without toxic or unlabelled
-training texts every score is the prior (0 without labels); an empty table gives an empty
-one; other columns are not read.
+scored and not held out; a label holds for every row of its id; repeated rows are scored
+each; a very long text is scored whole, by its different words; equal scores are equal
+results, as nothing is ranked; without toxic training texts every score is the prior (0
+without labels); an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import fold, in_small_batches
-from labelloom.llm.learning import label_rows, sample_ids, texts_of
+from labelloom.llm.learning import label_rows, sample_ids, sample_rows, texts_of
 from labelloom.session import materialize
 
 CLASSIFIERS = 3
@@ -161,16 +163,17 @@ def fit(
     positive, _ = sample_ids(
         learned.where("label = 1").select("doc_id"), F.lit("p"), POSITIVES * CLASSIFIERS, 1
     )
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
-    free = ids.where(fold("doc_id", FOLDS) != 0).join(known, "doc_id", "left_anti")
-    unlabelled, _ = sample_ids(free, F.lit("u"), UNLABELLED * CLASSIFIERS, 2)
-    sample = texts_of(
-        positive.withColumn("toxic", F.lit(True))
-        .unionByName(unlabelled.withColumn("toxic", F.lit(False)))
-        .withColumn("classifier", member),
-        docs,
-        id_col,
-        text_col,
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.lit("u").alias("kind"),
+    ).where(F.col(id_col).isNotNull() & (fold(id_col, FOLDS) != 0))
+    unlabelled, _ = sample_rows(rows, "kind", UNLABELLED * CLASSIFIERS, 2)
+    confirmed = texts_of(positive, docs, id_col, text_col)
+    sample = (
+        confirmed.select("doc_id", "text", F.lit(True).alias("toxic"))
+        .unionByName(unlabelled.select("doc_id", "text", F.lit(False).alias("toxic")))
+        .withColumn("classifier", member)
     )
 
     def train_one(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
