@@ -442,46 +442,39 @@ def _with_sets(pairs: DataFrame, full: DataFrame, hot: DataFrame, end: str, othe
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id that has a link; the component is its least id.
 
-    Each round hands the least label over the links and then follows labels to labels,
-    so long chains shorten by more than half a round. Every round is written. The labels of
-    ids with many links, of which there are few, reach the links by broadcast.
+    Ids point to their least neighbour; followed to their ends, these pointers are labels.
+    Each round points the greater label of a link to the least one it meets and follows the
+    pointers again, so that chains shorten by more than half. Links whose ends have one label
+    are left behind. Every round is written. The labels of ids with many links, of which
+    there are few, reach the links by broadcast.
     """
     hot = F.broadcast(hot_ids(links).select("hot"))
-    both = links.select("a", "b").unionAll(
-        links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    edges = links.select("a", "b")
+    ends = F.array(*[F.struct(F.col(x).alias("id"), F.col(y).alias("to")) for x, y in ("ab", "ba")])
+    pointers = edges.select(F.inline(ends)).groupBy("id").agg(
+        F.least(F.col("id"), F.min("to")).alias("component")
     )
+    labels = _followed(materialize(pointers, "near-pointers"))
     for end in ("a", "b"):
-        both = both.join(
+        edges = edges.join(
             hot.select(F.col("hot").alias(end), F.lit(True).alias(f"hot_{end}")), end, "left"
         ).fillna(False, [f"hot_{end}"])
-    both = materialize(both, "near-both")
-    labels = materialize(
-        both.groupBy(F.col("a").alias("id")).agg(
-            F.least(F.col("id"), F.min("b")).alias("component")
-        ),
-        "near-labels",
-    )
     while True:
-        # Hooking: an id's old label learns of the least label among its neighbours.
-        over = _with_labels(_with_labels(both, labels, hot, "b"), labels, hot, "a")
-        hooks = over.where("of_b < of_a").select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("a").alias("id"), F.col("of_b").alias("to")),
-                    F.struct(F.col("of_a").alias("id"), F.col("of_b").alias("to")),
-                )
-            ).alias("h")
-        ).groupBy("h.id").agg(F.min("h.to").alias("to"))
-        hooks = materialize(hooks, "near-hooks")
-        if hooks.isEmpty():
-            return labels
-        hooked = materialize(
-            labels.join(hooks, "id", "left").select(
-                "id", F.least("component", "to").alias("component")
+        over = _with_labels(_with_labels(edges, labels, hot, "b"), labels, hot, "a")
+        apart = materialize(
+            over.where("of_a <> of_b").withColumns(
+                {"low": F.least("of_a", "of_b"), "high": F.greatest("of_a", "of_b")}
             ),
-            "near-hooked",
+            "near-apart",
         )
-        labels = materialize(_jumped(hooked), "near-labels")
+        if apart.isEmpty():
+            return labels
+        hooks = apart.groupBy(F.col("high").alias("id")).agg(F.min("low").alias("to"))
+        pointers = labels.join(hooks, "id", "left").select(
+            "id", F.least("component", "to").alias("component")
+        )
+        labels = _followed(materialize(pointers, "near-pointers"))
+        edges = apart.select("a", "b", "hot_a", "hot_b")
 
 
 def _with_labels(edges: DataFrame, labels: DataFrame, hot: DataFrame, end: str) -> DataFrame:
@@ -495,6 +488,16 @@ def _with_labels(edges: DataFrame, labels: DataFrame, hot: DataFrame, end: str)
     )
 
 
+def _followed(pointers: DataFrame) -> DataFrame:
+    """Pointers followed to their ends: ids that point to themselves."""
+    while True:
+        inner = pointers.where("id <> component")
+        ends = inner.select(F.col("id").alias("component"))
+        if inner.join(ends, "component", "left_semi").isEmpty():
+            return pointers
+        pointers = materialize(_jumped(pointers), "near-labels")
+
+
 def _jumped(labels: DataFrame) -> DataFrame:
     """Jumping: take over the label of the label. Labels of many ids are broadcast."""
     up = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
