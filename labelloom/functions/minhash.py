@@ -59,7 +59,7 @@ def gram_set(text: Column | str, n: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def hashes(texts: pa.Array) -> pa.Array:
-        sets = [_gram_set(value or "", n) for value in texts.to_pylist()]
+        sets = [gram_codes(value or "", n) for value in texts.to_pylist()]
         ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
         return pa.ListArray.from_arrays(
             pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))
@@ -68,7 +68,8 @@ def gram_set(text: Column | str, n: int) -> Column:
     return hashes.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
-def _gram_set(text: str, n: int) -> np.ndarray:
+def gram_codes(text: str, n: int) -> np.ndarray:
+    """The sorted set that `gram_set` makes of one text, as unsigned numbers."""
     points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     width = min(n, len(points))
     count = len(points) - width + 1

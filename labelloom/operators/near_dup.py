@@ -10,6 +10,10 @@ with the logarithm of the rows, whatever the buckets look like.
 
 Work is on (row, bucket) membership, never on pairs, so a bucket with a third of the
 table costs what its rows cost. Joins on the bucket split such hot buckets off.
+
+With `verify`, sharing a bucket is not enough: the exact similarity must reach the threshold.
+With `exact`, rows meet through the index of `similar` instead of through buckets, so that no
+similar row is missed. Both settle a block of rows of every bucket or list in a round.
 """
 
 from __future__ import annotations
@@ -24,7 +28,12 @@ from pyspark.sql import functions as F
 from labelloom.functions.ids import hash_order
 from labelloom.functions.minhash import gram_set, minhash_signature
 from labelloom.functions.text import jaccard
-from labelloom.operators.joins import join_splitting_hot_keys
+from labelloom.operators import similar
+from labelloom.operators.joins import (
+    hot_keys,
+    join_dealing_hot_keys,
+    join_splitting_hot_keys,
+)
 from labelloom.session import materialize
 
 
@@ -109,12 +118,11 @@ def first_neighbours(members: DataFrame) -> DataFrame:
 class NearDuplicates:
     """The outcome of the greedy rule for rows that met at least one other row."""
 
-    members: DataFrame  # (rank, bucket, degree) of those rows
-    decided: DataFrame  # (rank, kept)
-    total: int
+    decided: DataFrame  # (rank, kept, leader)
     rounds: int
-    grams: DataFrame | None = None
-    threshold: float = 0.0
+    # (rank, bucket, degree) where meeting in a bucket decides, and how many they are.
+    members: DataFrame | None = None
+    total: int = 0
 
     @property
     def dropped(self) -> DataFrame:
@@ -123,17 +131,17 @@ class NearDuplicates:
 
     def listing(self) -> DataFrame:
         """(dropped_id, kept_id): each dropped row with the first kept row it meets."""
-        kept = self.decided.where("kept").select("rank")
-        keepers = self.members.join(kept, "rank", "left_semi")
-        if self.grams is None:
-            # Unverified, a bucket holds at most one kept row.
+        if self.members is None:
+            meetings = self.decided.where(~F.col("kept")).select("rank", "leader")
+        else:
+            kept = self.decided.where("kept").select("rank")
+            keepers = self.members.join(kept, "rank", "left_semi")
+            # A bucket holds at most one kept row.
             sizes = self.members.groupBy("bucket").agg(F.count("*").alias("n"))
             keepers = keepers.select("bucket", F.col("rank").alias("leader"))
             meetings = join_splitting_hot_keys(
                 self.members, keepers.join(sizes, "bucket"), "bucket", self.total
             )
-        else:
-            meetings = self.decided.where(~F.col("kept")).select("rank", "leader")
         met = meetings.where(F.col("leader") < F.col("rank"))
         return met.groupBy("rank").agg(F.min("leader").alias("leader")).select(
             F.col("rank.row_id").alias("dropped_id"),
@@ -149,42 +157,56 @@ def find_near_duplicates(
     num_perm: int = 128,
     n_gram: int = 5,
     verify: bool = False,
+    exact: bool = False,
     seed: int = 42,
 ) -> NearDuplicates:
     """Decide every row of `df(row_id, priority, <text>)`; row_id must be unique.
 
     With `verify`, two rows of a bucket are neighbours only when the exact Jaccard
-    similarity of their n-gram sets reaches the threshold.
+    similarity of their n-gram sets reaches the threshold; with `exact`, any two rows are.
     """
     rank = visiting_rank(seed)
-    buckets = row_buckets(
-        df, text=text, rank=rank, threshold=threshold, num_perm=num_perm, n_gram=n_gram
-    )
-    grams = None
-    if verify:
-        grams = df.select(
-            rank.alias("rank"),
-            gram_set(text, n_gram).alias("grams"),
+    bands = {"threshold": threshold, "num_perm": num_perm, "n_gram": n_gram}
+    if not (verify or exact):
+        return greedy_keep(row_buckets(df, text=text, rank=rank, **bands))
+    ranked = similar.in_rank_order(df, rank, text)
+    alike = {"text": text, "threshold": threshold, "n_gram": n_gram}
+    if exact:
+        lists = similar.prefix_lists(ranked, **alike)
+    else:
+        nothing = F.lit(None).cast("int")
+        lists = row_buckets(ranked, text=text, rank=F.col("id"), **bands).select(
+            F.col("rank").alias("id"),
+            F.col("bucket").alias("list"),
+            F.lit(None).cast("boolean").alias("guest"),
+            nothing.alias("size"),
+            nothing.alias("place"),
         )
-    return greedy_keep(buckets, grams=grams, threshold=threshold)
+    settled = similar.settle_in_blocks(
+        lists, similar.by_jaccard(ranked, **alike), threshold=threshold
+    )
+    return NearDuplicates(_with_ranks(settled.decided, ranked), settled.rounds)
 
 
-def greedy_keep(
-    members: DataFrame,
-    *,
-    grams: DataFrame | None = None,
-    threshold: float = 0.0,
-) -> NearDuplicates:
+def _with_ranks(decided: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(rank, kept, leader) for (id, kept, leader) by number."""
+    of = ranked.select("id", "rank")
+    leaders = ranked.select(F.col("id").alias("leader"), F.col("rank").alias("leader_rank"))
+    decided = materialize(decided, "decided")
+    hot = hot_keys(decided, "leader")
+    return join_dealing_hot_keys(decided.join(of, "id"), leaders, "leader", "id", hot).select(
+        "rank", "kept", F.col("leader_rank").alias("leader")
+    )
+
+
+def greedy_keep(members: DataFrame) -> NearDuplicates:
     """The keep rule over (rank, bucket), in rounds until no row is undecided."""
     members = materialize(members, "buckets")
     total = members.count()
     shared = _shared_buckets(members, total)
-    if grams is not None:
-        ranks = shared.select("rank").distinct()
-        grams = materialize(grams.join(ranks, "rank"), "grams")
     undecided, rounds, outcomes = shared, 0, []
     while not undecided.isEmpty():
-        outcome = materialize(_decide(undecided, total, grams, threshold), "outcome")
+        outcome = materialize(_decide(undecided, total), "outcome")
         rest = undecided.join(outcome.select("rank"), "rank", "left_anti")
         undecided = materialize(rest, "undecided")
         outcomes.append(outcome)
@@ -192,9 +214,9 @@ def greedy_keep(
     decided = (
         functools.reduce(DataFrame.union, outcomes)
         if outcomes
-        else _decide(undecided, total, grams, threshold)
+        else _decide(undecided, total)
     )
-    return NearDuplicates(shared, decided, total, rounds, grams, threshold)
+    return NearDuplicates(decided, rounds, shared, total)
 
 
 def drop_near_duplicates(df: DataFrame, found: NearDuplicates) -> DataFrame:
@@ -232,9 +254,7 @@ def _shared_buckets(members: DataFrame, total: int) -> DataFrame:
     )
 
 
-def _decide(
-    undecided: DataFrame, total: int, grams: DataFrame | None, threshold: float
-) -> DataFrame:
+def _decide(undecided: DataFrame, total: int) -> DataFrame:
     """(rank, kept, leader) for the rows this round settles."""
     firsts = undecided.groupBy("bucket").agg(
         F.min(F.struct("rank", "degree")).alias("first"), F.count("*").alias("n")
@@ -247,25 +267,8 @@ def _decide(
         .select("leader", "won.*")
     )
     met = join_splitting_hot_keys(undecided, winners, "bucket", total).select("rank", "leader")
-    if grams is not None:
-        met = _similar(met.distinct(), grams, threshold)
     return (
         met.groupBy("rank")
         .agg(F.min("leader").alias("leader"))
         .select("rank", (F.col("rank") == F.col("leader")).alias("kept"), "leader")
     )
-
-
-def _similar(met: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """Meetings of a row with itself, or with a leader at least `threshold` alike."""
-    own = grams.select("rank", F.col("grams").alias("a"))
-    leaders = grams.select(F.col("rank").alias("leader"), F.col("grams").alias("b"))
-    # Gram arrays are too wide to broadcast: adaptive execution splits a hot leader.
-    return (
-        met.join(own, "rank")
-        .join(leaders, "leader")
-        .where(
-            (F.col("rank") == F.col("leader")) | (jaccard("a", "b") >= F.lit(threshold))
-        )
-        .select("rank", "leader")
-    )

@@ -28,6 +28,7 @@ class BuildSettings:
     num_perm: int = 128
     n_gram: int = 5
     verify: bool = False
+    exact: bool = False
     prefer_label: int | None = None
 
 
@@ -72,6 +73,8 @@ def deduplicated(raw: DataFrame, settings: BuildSettings = BuildSettings()) -> D
     kept = normalized(
         raw, min_len=settings.min_prompt_len, max_len=settings.max_prompt_len
     )
+    # Written once: who stays is decided on hashes, and the rows are found again by them.
+    kept = materialize(kept, "normalized")
     prioritised = with_priority(kept, prefer_label=settings.prefer_label)
     return exact_dedup(prioritised, copies="copies")
 
@@ -79,7 +82,7 @@ def deduplicated(raw: DataFrame, settings: BuildSettings = BuildSettings()) -> D
 def build_dataset(raw: DataFrame, settings: BuildSettings = BuildSettings()) -> BuildResult:
     """Normalise, filter, drop exact and near duplicates, check for leaks.
 
-    The text is shuffled once, by the exact dedup, whose result is written to the
+    The text is shuffled once at most, by the exact dedup, whose result is written to the
     shared folder; near duplicates are decided on narrow rows.
     """
     exact = materialize(deduplicated(raw, settings), "exact")
@@ -89,6 +92,7 @@ def build_dataset(raw: DataFrame, settings: BuildSettings = BuildSettings()) ->
         num_perm=settings.num_perm,
         n_gram=settings.n_gram,
         verify=settings.verify,
+        exact=settings.exact,
     )
     distinct = materialize(drop_near_duplicates(exact, near), "distinct")
     unified = drop_leaked(distinct).drop("prompt_norm", "priority", "copies")
@@ -138,6 +142,22 @@ def stage_funnel(
     return counts.select(F.inline(rows))
 
 
-def save_build(result: BuildResult, unified_path: str, statistics_path: str) -> None:
+def save_build(
+    result: BuildResult,
+    unified_path: str,
+    statistics_path: str,
+    *,
+    sketches_path: str | None = None,
+    digests_path: str | None = None,
+) -> None:
+    """Write the table and its statistics, and what later builds merge with.
+
+    Sketches are per source and label, digests per source; both tables are appended to, so
+    that they describe the union of all builds that wrote to them.
+    """
     write_table(result.unified, unified_path)
     write_document(result.statistics(), statistics_path)
+    if sketches_path is not None:
+        write_table(stats.length_sketches(result.unified), sketches_path, mode="append")
+    if digests_path is not None:
+        write_table(stats.digests(result.unified, ["source"]), digests_path, mode="append")

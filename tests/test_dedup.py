@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import near_dup
+from labelloom.operators import dedup, near_dup
 from labelloom.operators.dedup import drop_leaked, leaked_rows
 from labelloom.plans import BuildSettings, build_dataset, save_build
 from labelloom.plans.build import deduplicated, normalized
@@ -57,8 +57,8 @@ def test_leaks_before_dedup(labelled):
         + [("only safe", 0, "b", "safe")] * 3
     )
     rows = normalized(raw)
-    assert leaked_rows(rows, salts=4).count() == 20
-    left = drop_leaked(rows, salts=4).collect()
+    assert leaked_rows(rows).count() == 20
+    left = drop_leaked(rows).collect()
     assert sorted(r.y for r in left) == [0, 0, 0, 1]
 
 
@@ -211,3 +211,36 @@ def test_nothing_to_compare(labelled):
 @pytest.mark.parametrize("num_perm, bands", [(128, (9, 13)), (64, (5, 11))])
 def test_bands(num_perm, bands):
     assert near_dup.lsh_bands(0.8, num_perm) == bands
+
+
+def test_a_text_in_a_third_of_the_rows_is_not_shuffled_by_its_hash(spark, labelled):
+    """Safe rows no blocked row can match pass by; a hot conflict is met by broadcast."""
+    rows = [("both ways", 0, "s", "safe")] * 400 + [("both ways", 1, "b", "harmful")]
+    rows += [(f"safe text {i}", 0, "s", "safe") for i in range(800)]
+    rows += [(f"bad text {i}", 1, "b", "harmful") for i in range(30)] + [("bad text 3", 0, "s", "safe")]
+    df = labelled(rows).withColumnRenamed("prompt", "prompt_norm")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        leaked = dedup.leaked_rows(df)
+        assert leaked.count() == 401 and leaked.columns == df.columns
+        left = dedup.drop_leaked(df)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() == 800 + 31 and left.where("y = 0").count() == 800
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Filter on both sides and hot conflicts are broadcast, one join is shuffled.
+    assert plan.count("BroadcastHashJoin") >= 3
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 1
+
+
+def test_exact_dedup_sorts_no_text(labelled):
+    """Who stays is decided on hashes; rows equal in text and id leave one."""
+    rows = [(f"t{i % 7}", i % 2, "s", "safe") for i in range(60)]
+    df = labelled(rows).unionAll(labelled(rows[:3])).withColumnRenamed("prompt", "prompt_norm")
+    kept = dedup.exact_dedup(dedup.with_priority(df), copies="copies")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    found = {r.prompt_norm: (r.row_id, r.copies) for r in kept.collect()}
+    assert kept.count() == 7 and sum(n for _, n in found.values()) == 63
+    assert all(row_id == int(text[1:]) for text, (row_id, _) in found.items())
+    assert kept.columns == [*df.columns, "priority", "copies"]
+    assert "SortMergeJoin" not in plan

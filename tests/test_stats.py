@@ -49,3 +49,43 @@ def test_pivot_listing_and_errors(labelled):
     assert [r.preview for r in stats.first_of_source(df, "t", n=1, chars=3).collect()] == ["bbb"]
     scored = df.withColumns({"y_pred": F.lit(1), "y_prob": F.lit(0.1235)})
     assert [(r.row_id, r.p) for r in stats.error_listing(scored).collect()] == [(2, 0.124)]
+
+
+@pytest.mark.parametrize("rows", [300, 30_000])
+def test_merged_sketches_keep_their_error(spark, rows):
+    """Two builds, merged from what was stored, against the exact union."""
+    table = spark.range(rows).select(
+        F.concat(F.lit("s"), F.col("id") % 2).alias("source"),
+        F.lit(1).alias("y"),
+        F.expr("repeat('x', cast(1 + pow(id * 7919 % 1000 / 1000, 3) * 900 as int))").alias("prompt"),
+    )
+    builds = [table.where(F.col("source") == "s0"), table.where(F.col("source") == "s1")]
+    stored = stats.length_sketches(builds[0]).unionAll(stats.length_sketches(builds[1]))
+    merged = stats.merge_sketches(stored, ["y"])
+    got = stats.sketch_quantiles(merged, ["y"]).first()
+    lengths = np.sort([len(r.prompt) for r in table.collect()])
+    assert got.n == rows
+    for q in stats.QUANTILES:
+        value = got[f"p{round(q * 100)}"]
+        low, high = np.searchsorted(lengths, [value, value + 1]) / rows
+        slack = stats.sketch_error() + 1 / rows
+        assert low - slack <= q <= high + slack
+
+
+def test_digests_follow_appends_and_deletions(labelled):
+    rows = [(f"text {i}", i % 2, f"s{i % 3}", "x") for i in range(60)] + [(None, 0, "s0", "x")]
+    df = labelled(rows + rows[:5])
+    late = F.col("row_id") % 4 == 1
+    stored = stats.digests(df.where(~late), ["source"])
+    appended = stats.combined_digests(
+        stored.unionAll(stats.digests(df.where(late), ["source"])), ["source"]
+    )
+    whole = stats.fingerprint(df).first()[0]
+    assert stats.fingerprint_of(appended).first()[0] == whole
+    gone = stats.digests(df.where("source = 's1'"), ["source"])
+    left = stats.combined_digests(appended, ["source"], without=gone)
+    assert {r.source for r in left.collect()} == {"s0", "s2"}
+    want = stats.fingerprint(df.where("source <> 's1'")).first()[0]
+    assert stats.fingerprint_of(left).first()[0] == want != whole
+    nothing = stats.combined_digests(left, without=left)
+    assert stats.fingerprint_of(nothing).first()[0] == stats.fingerprint(df.limit(0)).first()[0]
