@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LABELLED_COLUMNS = ("prompt", "y", "source", "subtype")
 
@@ -36,3 +39,18 @@ def hash_order(
 
 def stratum_key(y: str = "y", source: str = "source") -> Column:
     return F.concat_ws("_", F.col(y).cast("string"), F.col(source))
+
+
+def double_order_key(value: Column | str) -> Column:
+    """A 64-bit integer that orders doubles as they compare; not a number comes last.
+
+    Positive doubles order as their bits do, negative ones the other way round.
+    """
+
+    @F.arrow_udf(T.LongType())
+    def key(values: pa.Array) -> pa.Array:
+        bits = np.asarray(values, dtype=np.float64).view(np.int64)
+        turned = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+        return pa.array(turned, mask=np.asarray(values.is_null()))
+
+    return key.asNondeterministic()(F.col(value) if isinstance(value, str) else value)

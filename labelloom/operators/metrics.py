@@ -10,17 +10,20 @@ import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions.ids import double_order_key
+from labelloom.operators.joins import broadcast_if_few
 from labelloom.session import materialize
 
 FPR_TARGET = 0.05
 FNR_TARGET = 0.10
 THRESHOLDS = 200  # steps of 0.005 from 0 to 1
-# Distinct scores are ranked in ranges of about this many.
+# Distinct scores are ranked in ranges of at most this many.
 RANGE_ROWS = 20_000
+# Bits by which a range with more is cut again.
+RANGE_BITS = 4
 
 
 def confusion(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -70,13 +73,11 @@ def ranking_metrics(
     """(by..., auroc, auprc), null when a group has one class only.
 
     AUROC counts ties half; AUPRC is step-wise average precision. Both need running
-    totals by falling score. Scores may be as many as rows, so they are spread over
-    ranges of about equal size: range totals are accumulated first, then each range
-    runs its own window from its starting total. The driver holds the range edges.
+    totals by falling score. Scores may be as many as rows, so they are spread over ranges
+    of at most `range_rows` scores (see `score_ranges`): range totals are accumulated
+    first, then each range runs its own window from its starting total.
     """
-    scores = materialize(score_counts(df, by), "scores")
-    ranges = math.ceil(scores.count() / range_rows)
-    ranged = _with_range(scores, ranges)
+    ranged = score_ranges(score_counts(df, by), by, range_rows=range_rows)
     totals = ranged.groupBy(*by, "range").agg(
         F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg")
     )
@@ -106,6 +107,42 @@ def ranking_metrics(
     )
 
 
+def score_ranges(
+    scores: DataFrame, by: Sequence[str] = (), *, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Add `range`, rising with `p`, so that no (by..., range) has over `range_rows` rows.
+
+    Scores are cut by prefixes of an integer that orders them as they compare. A range is
+    named after the least integer with its prefix. Only heavy prefixes are cut again, by
+    `RANGE_BITS` more, so that the table decides how deep it goes where: nothing about the
+    distribution comes to the driver, and what is joined is one row per heavy prefix.
+    """
+    scores = materialize(scores.withColumn("key", double_order_key("p")), "scores")
+    # Sign and exponent, and as much of the fraction as even ranges would need.
+    bits = 12 + max(0, math.ceil(math.log2(max(1, scores.count()) / range_rows)))
+
+    def start(depth: int) -> Column:
+        dropped = 64 - min(depth, 64)
+        shifted = F.shiftright("key", dropped)
+        return F.shiftleft(shifted, dropped) if dropped else F.col("key")
+
+    settled, waiting = [], scores
+    while True:
+        cut = waiting.withColumn("range", start(bits))
+        sizes = cut.groupBy(*by, "range").agg(F.count("*").alias("n"))
+        heavy = materialize(sizes.where(F.col("n") > range_rows).drop("n"), "heavy")
+        if bits >= 64 or heavy.isEmpty():
+            settled.append(cut)
+            break
+        heavy = broadcast_if_few(heavy)
+        settled.append(_equi_join(cut, heavy, [*by, "range"], "left_anti"))
+        waiting = materialize(
+            _equi_join(cut, heavy, [*by, "range"], "left_semi").drop("range"), "waiting"
+        )
+        bits += RANGE_BITS
+    return functools.reduce(DataFrame.unionByName, settled).drop("key")
+
+
 def threshold_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., k, tn, fp, fn, tp) predicting 1 when the score is at least k * 0.005.
 
@@ -177,10 +214,26 @@ def binary_report(
     fpr_target: float = FPR_TARGET,
     fnr_target: float = FNR_TARGET,
 ) -> DataFrame:
-    """One nested report row per group; `source_metrics` has the rows per source."""
-    counts = with_rates(confusion(df, by))
-    ranking = ranking_metrics(df, by)
-    best = threshold_at_fpr(df, by, fpr_target=fpr_target).select(
+    """One nested report row per group; `source_metrics` has the rows per source.
+
+    Labels and scores are written once, as several parts of the report read them: a row is
+    scored once, whatever makes its score.
+    """
+    written = materialize(df.select(*by, "y", "y_pred", "y_prob"), "scored")
+    return report_of(written, by, fpr_target=fpr_target, fnr_target=fnr_target)
+
+
+def report_of(
+    written: DataFrame,
+    by: Sequence[str] = (),
+    *,
+    fpr_target: float = FPR_TARGET,
+    fnr_target: float = FNR_TARGET,
+) -> DataFrame:
+    """`binary_report` of scores that are in a table already."""
+    counts = with_rates(confusion(written, by))
+    ranking = ranking_metrics(written, by)
+    best = threshold_at_fpr(written, by, fpr_target=fpr_target).select(
         *by,
         F.struct(
             F.lit(fpr_target).alias("fpr_target"), "threshold", "f1", "fnr"
@@ -273,17 +326,6 @@ def _checked_score() -> Column:
     )
 
 
-def _with_range(scores: DataFrame, ranges: int) -> DataFrame:
-    """Add `range`, rising with p; ranges hold about equally many distinct scores."""
-    if ranges < 2:
-        return scores.withColumn("range", F.lit(0.0))
-    fractions = [i / ranges for i in range(1, ranges)]
-    cuts = scores.agg(F.percentile_approx("p", fractions, 10 * ranges)).first()[0]
-    edges = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    bucketizer = Bucketizer(splits=edges, inputCol="p", outputCol="range")
-    return bucketizer.setHandleInvalid("keep").transform(scores)
-
-
 def _equi_join(
     left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner"
 ) -> DataFrame:

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import IDF, CountVectorizer, NGram
+from pyspark.ml.feature import NGram
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.operators import metrics
+from labelloom.operators.selection import byte_keys, first_rows
 from labelloom.operators.splits import fold_frames
 from labelloom.session import materialize
 
@@ -26,6 +31,10 @@ from labelloom.session import materialize
 WORD_PATTERN = r"(?U)\w\w+"
 
 
+# The least variance that naive Bayes takes a dimension to have.
+LEAST_VARIANCE = 1e-9
+
+
 @dataclass(frozen=True)
 class TfidfSettings:
     min_df: int = 3
@@ -68,29 +77,94 @@ def term_statistics(
         F.sum("tf").alias("tf"), F.sum("df").alias("df")
     )
     rows = df.agg(F.count("*")).scalar()
-    return (
-        totals.where(F.col("df") >= min_df)
-        .orderBy(F.desc("tf"), "term")
-        .limit(max_features)
-        .withColumn("idf", F.log((rows + 1) / (F.col("df") + 1)) + 1)
+    vocabulary = first_rows(
+        totals.where(F.col("df") >= min_df),
+        [-F.col("tf"), *byte_keys("term")],
+        max_features,
+        last="term",
     )
+    return vocabulary.withColumn("idf", F.log((rows + 1) / (F.col("df") + 1)) + 1)
 
 
 @dataclass(frozen=True)
 class TextFeatures:
-    """Fitted vocabulary and inverse document frequencies."""
+    """A vocabulary in order of its terms, and inverse document frequencies."""
 
-    pipeline: PipelineModel
-    sublinear_tf: bool
+    vocabulary: list[str] = field(repr=False)
+    idf: np.ndarray = field(repr=False)
+    sublinear_tf: bool = True
 
     def transform(self, df: DataFrame, *, text: str = "prompt") -> DataFrame:
-        """Add `features`: (1 + ln tf) * idf, scaled to unit length."""
-        counted = self.pipeline.transform(word_terms(df, text=text))
-        weigh = _tfidf_udf(self.pipeline.stages[-1].idf.toArray(), self.sublinear_tf)
-        return counted.withColumn("features", weigh("counts")).drop(
-            "terms", "counts", "weighted"
+        """Add `features`: (1 + ln tf) * idf, scaled to unit length.
+
+        Rows meet the vocabulary where they are: it is a broadcast table of at most
+        `max_features` terms, and no term of a row is shuffled.
+        """
+        shared = self._shared(df)
+        size, sublinear = len(self.vocabulary), self.sublinear_tf
+
+        @F.pandas_udf(VectorUDT())
+        def weigh(terms: pd.Series) -> pd.DataFrame:
+            """Sparse vectors as struct columns."""
+            row, term, values = _weights(terms, *shared.value, sublinear)
+            cuts = np.searchsorted(row, np.arange(1, len(terms)))
+            return pd.DataFrame(
+                {
+                    "type": np.zeros(len(terms), dtype=np.int8),
+                    "size": np.full(len(terms), size, dtype=np.int32),
+                    "indices": np.split(term.astype(np.int32), cuts),
+                    "values": np.split(values, cuts),
+                }
+            )
+
+        return word_terms(df, text=text).withColumn("features", weigh("terms")).drop("terms")
+
+    def weights(self, df: DataFrame, *, text: str = "prompt") -> DataFrame:
+        """(row_id, term, weight): the vectors of `transform`, a row for each entry."""
+        shared, names, sublinear = self._shared(df), self.vocabulary, self.sublinear_tf
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                terms = pd.Series(batch.column(1).to_pylist(), dtype=object)
+                row, term, values = _weights(terms, *shared.value, sublinear)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(row)),
+                        pa.array([names[i] for i in term.tolist()], pa.string()),
+                        pa.array(values, pa.float64()),
+                    ],
+                    names=["row_id", "term", "weight"],
+                )
+
+        row_id = df.schema["row_id"].dataType.simpleString()
+        return (
+            word_terms(df, text=text)
+            .select("row_id", "terms")
+            .mapInArrow(rows, f"row_id {row_id}, term string, weight double")
         )
 
+    def _shared(self, df: DataFrame) -> Broadcast:
+        places = {term: i for i, term in enumerate(self.vocabulary)}
+        return df.sparkSession.sparkContext.broadcast((places, self.idf))
+
+
+def _weights(
+    terms: pd.Series, places: dict[str, int], idf: np.ndarray, sublinear: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and weight of all entries of a batch of term lists, in order."""
+    lengths = terms.map(len).to_numpy(dtype=np.int64)
+    at = np.fromiter(
+        (places.get(t, -1) for t in chain.from_iterable(terms)), np.int64, lengths.sum()
+    )
+    size = max(1, len(places))
+    known = at >= 0
+    met = np.repeat(np.arange(len(terms)), lengths)[known] * size + at[known]
+    cells, tf = np.unique(met, return_counts=True)
+    row, term = cells // size, cells % size
+    values = (1.0 + np.log(tf) if sublinear else tf) * idf[term]
+    squares = np.bincount(row, values * values, minlength=len(terms))
+    return row, term, values / np.sqrt(squares)[row]
+
 
 def fit_text_features(
     df: DataFrame,
@@ -98,37 +172,14 @@ def fit_text_features(
     *,
     text: str = "prompt",
 ) -> TextFeatures:
-    """The driver holds the vocabulary only, which `max_features` bounds."""
-    stages = [
-        CountVectorizer(
-            inputCol="terms",
-            outputCol="counts",
-            minDF=float(settings.min_df),
-            vocabSize=settings.max_features,
-        ),
-        IDF(inputCol="counts", outputCol="weighted"),
-    ]
-    pipeline = Pipeline(stages=stages).fit(word_terms(df, text=text))
-    return TextFeatures(pipeline, settings.sublinear_tf)
-
-
-def _tfidf_udf(idf: np.ndarray, sublinear: bool):
-    # Spark's idf has no "+ 1", without which a term of every row would vanish.
-    weights = idf + 1.0
-
-    @F.pandas_udf(VectorUDT())
-    def weigh(counts: pd.DataFrame) -> pd.DataFrame:
-        """Sparse vectors as struct columns; all values of a batch at once."""
-        lengths = counts["values"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(counts)), lengths)
-        tf = np.concatenate([*counts["values"], np.zeros(0)])
-        terms = np.concatenate([*counts["indices"], np.zeros(0, dtype=np.int32)])
-        values = (1.0 + np.log(tf) if sublinear else tf) * weights[terms]
-        squares = np.bincount(row, values * values, minlength=len(counts))
-        values = values / np.sqrt(squares)[row]
-        return counts.assign(values=np.split(values, np.cumsum(lengths)[:-1]))
-
-    return weigh
+    """One pass over the terms; the driver holds the vocabulary, which is bounded."""
+    terms = term_statistics(
+        df, text=text, min_df=settings.min_df, max_features=settings.max_features
+    )
+    rows = sorted((r["term"], r["idf"]) for r in terms.select("term", "idf").collect())
+    return TextFeatures(
+        [term for term, _ in rows], np.array([idf for _, idf in rows]), settings.sublinear_tf
+    )
 
 
 def _training_rows(df: DataFrame) -> tuple[DataFrame, int]:
@@ -150,17 +201,64 @@ def with_balanced_weights(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", totals["n"] / (2 * of_class))
 
 
+def compressed(df: DataFrame, *, features: str = "features") -> DataFrame:
+    """(y, features, weight, n): equal rows as one, with the sum of their weights.
+
+    Rows are told apart by a 128-bit digest of the vector; tasks add up before they shuffle.
+    """
+    keyed = df.withColumn("_digest", _vector_digest(features))
+    return (
+        keyed.groupBy("y", "_digest")
+        .agg(
+            F.first(features).alias(features),
+            F.sum("weight").alias("weight"),
+            F.count("*").alias("n"),
+        )
+        .drop("_digest")
+    )
+
+
+@F.pandas_udf(T.BinaryType())
+def _vector_digest(vectors: pd.DataFrame) -> pd.Series:
+    """Of a vector's non-zero entries, so that dense and sparse forms agree."""
+
+    def digest(size, indices, values) -> bytes:
+        values = np.asarray(values, dtype=np.float64)
+        at = np.arange(len(values)) if indices is None else np.asarray(indices)
+        kept = values != 0
+        parts = np.int64(size or len(values)), at[kept].astype(np.int64), values[kept]
+        return hashlib.blake2b(b"".join(p.tobytes() for p in parts), digest_size=16).digest()
+
+    size = vectors["size"].astype(object).where(vectors["size"].notna(), None)
+    return pd.Series(
+        [digest(*row) for row in zip(size, vectors["indices"], vectors["values"])]
+    )
+
+
 def fit_logistic(
-    df: DataFrame, *, c: float = 1.0, max_iter: int = 1000, features: str = "features"
+    df: DataFrame,
+    *,
+    c: float = 1.0,
+    max_iter: int = 1000,
+    tol: float = 1e-6,
+    features: str = "features",
+    compress: bool = False,
 ):
-    """L2 logistic regression with balanced classes; the penalty is 1 / (C * rows)."""
+    """L2 logistic regression with balanced classes; the penalty is 1 / (C * rows).
+
+    With `compress`, rows with equal features and label become one weighted row first:
+    every step then costs what the different rows cost.
+    """
     train, rows = _training_rows(df.select("y", features))
     weighted = with_balanced_weights(train)
+    if compress:
+        weighted = materialize(compressed(weighted, features=features), "compressed")
     return LogisticRegression(
         featuresCol=features,
         labelCol="y",
         weightCol="weight",
         maxIter=max_iter,
+        tol=tol,
         standardization=False,
         elasticNetParam=0.0,
         regParam=1.0 / (c * rows),
@@ -245,7 +343,91 @@ def cross_validate(
     out_of_fold = scored[0]
     for frame in scored[1:]:
         out_of_fold = out_of_fold.unionByName(frame)
-    return metrics.binary_report(materialize(out_of_fold, "scored"), ["fold"])
+    return metrics.binary_report(out_of_fold, ["fold"])
+
+
+def fold_statistics(folded: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """(fold, y, dim, n, total, squares): all that Gaussian naive Bayes learns, in one scan.
+
+    Sums of parts add up and subtract, so that every training set is the total less its
+    fold. One row for each fold, label and dimension.
+    """
+    return (
+        folded.select("fold", "y", F.posexplode(embedding).alias("dim", "x"))
+        .withColumn("x", F.col("x").cast("double"))
+        .groupBy("fold", "y", "dim")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("x").alias("total"),
+            F.sum(F.col("x") * F.col("x")).alias("squares"),
+        )
+    )
+
+
+def naive_bayes_parameters(statistics: DataFrame, *, k: int = 5) -> DataFrame:
+    """(fold, terms): the model that learned from all other folds, one row a fold.
+
+    `terms` has the mean and the variance of both labels for each dimension.
+    """
+    statistics = materialize(statistics, "fold-statistics")
+    names = ("n", "total", "squares")
+    everything = statistics.groupBy("y", "dim").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
+    outside = (
+        everything.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        .join(statistics, ["fold", "y", "dim"], "left")
+        .select(
+            "fold",
+            "y",
+            "dim",
+            *[(F.col(f"all_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in names],
+        )
+    )
+    mean = F.col("total") / F.col("n")
+    of_label = F.struct(
+        mean.alias("mean"),
+        F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(LEAST_VARIANCE)).alias(
+            "variance"
+        ),
+    )
+
+    def given(y: int) -> Column:
+        return F.max(F.when(F.col("y") == y, of_label)).alias(f"y{y}")
+
+    by_dim = outside.where("n > 0").groupBy("fold", "dim").agg(given(0), given(1))
+    return by_dim.groupBy("fold").agg(
+        F.sort_array(F.collect_list(F.struct("dim", "y0", "y1"))).alias("terms")
+    )
+
+
+def naive_bayes_scores(
+    folded: DataFrame, parameters: DataFrame, embedding: str = "embedding"
+) -> DataFrame:
+    """y_pred and y_prob of each row by the model that did not learn from its fold.
+
+    Both labels count as equally likely, as in training on balanced classes. `parameters`
+    has one row a fold and is broadcast.
+    """
+
+    def likelihood(x: Column, of: Column) -> Column:
+        away = x - of["mean"]
+        return -(F.log(of["variance"]) + away * away / of["variance"]) / 2
+
+    odds = F.aggregate(
+        F.zip_with(
+            embedding,
+            "terms",
+            lambda x, t: likelihood(x.cast("double"), t["y1"])
+            - likelihood(x.cast("double"), t["y0"]),
+        ),
+        F.lit(0.0),
+        lambda total, x: total + x,
+    )
+    return (
+        folded.join(F.broadcast(parameters), "fold")
+        .withColumn("y_prob", 1 / (1 + F.exp(-odds)))
+        .withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
+        .drop("terms")
+    )
 
 
 def cv_summary(reports: DataFrame) -> DataFrame:
