@@ -17,7 +17,8 @@ OTHER_PRIORITY = 3
 
 # Fixed value: the characters that Unicode calls white space, and the separators 1c to 1f.
 WHITE_SPACE = (
-    r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # The Arrow UDFs below are marked non-deterministic so that a filter on their result is
@@ -49,7 +50,9 @@ def normalize_text(text: Column | str) -> Column:
 
 
 def _words(text: Column | str) -> Column:
-    return F.filter(F.split(_col(text), WHITE_SPACE), lambda word: word != "")
+    """Cut at single blanks, which needs no pattern, after all white space became blanks."""
+    blanked = F.translate(_col(text), WHITE_SPACE, " " * len(WHITE_SPACE))
+    return F.array_remove(F.split(blanked, " "), "")
 
 
 def word_count(text: Column | str) -> Column:

@@ -65,6 +65,12 @@ SCORED = """scored AS (
     CROSS JOIN (VALUES ('m1', 0::DOUBLE), ('m2', 0.25::DOUBLE), ('m3', 0.5::DOUBLE),
                        ('m4', 0.75::DOUBLE)) AS m(model, pull)))"""
 
+WHOLE_SCORES = """scored AS (
+  SELECT y, m.model, (('0x' || substr(md5(m.model || '|' || row_id), 1, 13))::BIGINT::DOUBLE
+           / 4503599627370496::DOUBLE + m.pull * y) / (1::DOUBLE + m.pull) AS y_prob
+  FROM raw CROSS JOIN (VALUES ('m1', 0::DOUBLE), ('m2', 0.25::DOUBLE), ('m3', 0.5::DOUBLE),
+                              ('m4', 0.75::DOUBLE)) AS m(model, pull))"""
+
 CONFUSION = """confusion AS (
   SELECT model, count(*) FILTER (y = 0 AND y_pred = 0) AS tn,
          count(*) FILTER (y = 0 AND y_pred = 1) AS fp,
@@ -161,6 +167,38 @@ jaccards AS (
          / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS jaccard
   FROM pairs JOIN gram_lists a ON a.row_id = earlier JOIN gram_lists b ON b.row_id = later)"""
 
+# Every similar pair, without bands: two sets that share four fifths of their grams have one
+# in common among the rarest fifth of each.
+ALL_ALIKE = """numbered AS MATERIALIZED (
+  SELECT row_id, regexp_extract_all(prompt_norm, '(?s).') AS c,
+         row_number() OVER (ORDER BY priority, turn, row_id) AS place
+  FROM exact),
+points AS (SELECT place, unnest(c) AS p, generate_subscripts(c, 1) AS i FROM numbered),
+grams AS (
+  SELECT DISTINCT place, gram FROM (
+    SELECT place, p || lead(p, 1) OVER w || lead(p, 2) OVER w || lead(p, 3) OVER w
+                    || lead(p, 4) OVER w AS gram
+    FROM points WINDOW w AS (PARTITION BY place ORDER BY i))
+  WHERE gram IS NOT NULL),
+sized AS MATERIALIZED (
+  SELECT place, gram, count(*) OVER (PARTITION BY place) AS n,
+         count(*) OVER (PARTITION BY gram) AS rows FROM grams),
+rarest AS MATERIALIZED (
+  SELECT place, n, gram FROM (
+    SELECT *, row_number() OVER (PARTITION BY place ORDER BY rows, gram) AS r FROM sized)
+  WHERE r <= n - ceil(0.8 * n) + 1),
+met AS MATERIALIZED (
+  SELECT DISTINCT a.place AS earlier, b.place AS later, a.n + b.n AS total
+  FROM rarest a JOIN rarest b ON a.gram = b.gram AND a.place < b.place
+   AND 10 * a.n >= 8 * b.n AND 10 * b.n >= 8 * a.n),
+alike AS MATERIALIZED (
+  SELECT x.row_id AS earlier, y.row_id AS later
+  FROM (SELECT earlier, later, any_value(total) AS total, count(*) AS shared
+        FROM met JOIN sized a ON a.place = earlier
+        JOIN sized b ON b.place = later AND b.gram = a.gram GROUP BY earlier, later)
+  JOIN numbered x ON x.place = earlier JOIN numbered y ON y.place = later
+  WHERE shared::DOUBLE / (total - shared) >= 0.8)"""
+
 WALK = """nodes AS (
   SELECT row_number() OVER (ORDER BY priority, turn, row_id) AS i, row_id, before
   FROM (SELECT later AS row_id, list(earlier) AS before FROM {pairs} GROUP BY later)
@@ -314,6 +352,26 @@ terms AS (
   SELECT row_id, unnest([w[i] || ' ' || w[i+1] FOR i IN range(1, len(w))]) FROM words)"""
 
 
+EMBEDDED = """raw AS (
+  SELECT vec_id AS row_id, (label < 5)::INTEGER AS y, 'embeddings' AS source, embedding
+  FROM embeddings)"""
+
+# Means and variances of the other folds, and the odds of each row by them.
+NAIVE_BAYES = """entries AS (
+  SELECT row_id, fold, y, unnest(embedding)::DOUBLE AS x,
+         generate_subscripts(embedding, 1) AS dim FROM folded),
+learned AS (
+  SELECT f AS fold, y, dim, avg(x) AS mean,
+         greatest(sum(x * x) / count(*) - avg(x) * avg(x), 1e-9) AS variance
+  FROM entries JOIN range(5) AS t(f) ON fold <> f GROUP BY f, y, dim),
+scored AS (
+  SELECT e.row_id, e.fold AS model, any_value(e.y) AS y,
+         1 / (1 + exp(-sum(CASE l.y WHEN 1 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END
+             * (ln(l.variance) + (x - l.mean) * (x - l.mean) / l.variance)))) AS y_prob
+  FROM entries e JOIN learned l ON e.fold = l.fold AND e.dim = l.dim
+  GROUP BY e.row_id, e.fold)"""
+
+
 def oracle_sql() -> dict[str, str]:
     scored = _with(SCORED)
     confusion = _with(SCORED, CONFUSION)
@@ -324,6 +382,8 @@ def oracle_sql() -> dict[str, str]:
   HAVING min(y) = 0 AND max(y) = 1)"""
     return {
         "load_all_counts": f"{_with(SOURCES)} SELECT source, y, subtype, count(*) AS n FROM raw GROUP BY ALL",
+        "load_staged_status": """SELECT 'whole' AS source, 'loaded' AS status, count(*) AS n
+FROM documents WHERE length(text) > 0 UNION ALL SELECT 'broken', 'failed', 0""",
         "load_status": f"""{_with(SOURCES)} SELECT s.source, s.status, count(raw.source) AS n
 FROM (VALUES ('benchmark', 'loaded'), ('labelled', 'loaded'), ('unlabelled', 'loaded'),
   ('turns', 'loaded'), ('languages', 'loaded'), ('absent', 'failed')) AS s(source, status)
@@ -358,6 +418,8 @@ met AS (SELECT row_id, first, count(*) AS shared FROM buckets JOIN firsts USING
 SELECT row_id, min((first, shared))[1][2] AS neighbour_id, min((first, shared))[2] AS shared
 FROM met GROUP BY row_id""",
         "near_dup_keep": f"""{_with(BUILT, recursive=True)}
+SELECT row_id, source, y FROM exact WHERE row_id NOT IN (SELECT row_id FROM gone)""",
+        "similar_keep": f"""{_with(RAW, NORMED, EXACT, ALL_ALIKE, WALK.format(pairs="alike"), recursive=True)}
 SELECT row_id, source, y FROM exact WHERE row_id NOT IN (SELECT row_id FROM gone)""",
         "near_dup_keep_verified": f"""{_with(RAW, NORMED, EXACT, BUCKETS, PAIRS, SIMILAR,
   "alike AS (SELECT earlier, later FROM jaccards WHERE jaccard >= 0.8)",
@@ -391,6 +453,10 @@ SELECT y, count(*) AS count, round(avg(w), 6) AS mean, round(stddev_samp(w), 6)
   min(w) AS min, round(quantile_cont(w, 0.25), 6) AS p25, round(quantile_cont(w, 0.5), 6) AS p50,
   round(quantile_cont(w, 0.75), 6) AS p75, max(w) AS max FROM words GROUP BY y""",
         "content_fingerprint": f"{raw} SELECT {_fingerprint('raw')} AS content_hash",
+        "length_sketches": f"""{raw} SELECT source, y, count(*) AS n, true AS near FROM raw
+GROUP BY source, y""",
+        "stored_digests": f"""{raw}, left_over AS (SELECT * FROM raw WHERE source <> 'src3')
+SELECT {_fingerprint('left_over')} AS content_hash""",
         "top_long": f"""{raw} SELECT row_id, source, length(prompt)::INTEGER AS char_len FROM raw
 WHERE y = 1 AND length(prompt) > 3000 ORDER BY char_len DESC, row_id LIMIT 10""",
         "long_count": f"{raw} SELECT count(*) AS n FROM raw WHERE y = 1 AND length(prompt) > 3000",
@@ -437,6 +503,8 @@ QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY {_order(42, 'subsample'
   round({ACCURACY}, 6) AS accuracy, round({FPR}, 6) AS fpr, round({FNR}, 6) AS fnr FROM confusion""",
         "ranking_by_model": f"""{_with(SCORED, RANKING)} SELECT model, round(auroc, 6) AS auroc,
   round(auprc, 6) AS auprc FROM roc JOIN pr USING (model)""",
+        "ranking_exact_scores": f"""{_with(RAW, WHOLE_SCORES, RANKING)} SELECT model,
+  round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM roc JOIN pr USING (model)""",
         "threshold_scan": f"""{_with(SCORED, GRID, BEST)} SELECT model, round(threshold, 6) AS threshold,
   round(f1, 6) AS f1, round(fnr, 6) AS fnr FROM best""",
         "threshold_table": f"{_with(SCORED, GRID)} SELECT * FROM grid",
@@ -445,13 +513,13 @@ QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY {_order(42, 'subsample'
     count(*) FILTER (y = 0 AND y_pred = 1) AS fp, count(*) FILTER (y = 1 AND y_pred = 0) AS fn,
     count(*) FILTER (y = 1 AND y_pred = 1) AS tp FROM scored GROUP BY model, source)
 SELECT model, source, n, round({F1}, 6) AS f1, round({FPR}, 6) AS fpr, round({FNR}, 6) AS fnr FROM c""",
-        "report": f"""{_with(SCORED, CONFUSION, RANKING, GRID, BEST)} SELECT round({F1}, 6) AS f1,
+        "report": f"""{_with(SCORED, CONFUSION, RANKING, GRID, BEST)} SELECT model, round({F1}, 6) AS f1,
   round({PRECISION}, 6) AS precision, round({RECALL}, 6) AS recall,
   round({ACCURACY}, 6) AS accuracy, round({FPR}, 6) AS fpr, round({FNR}, 6) AS fnr,
   round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, tp, fp, tn, fn,
   round(threshold, 6) AS threshold, {FPR} <= 0.05 AS fpr_ok, {FNR} <= 0.10 AS fnr_ok
 FROM confusion JOIN roc USING (model) JOIN pr USING (model)
-JOIN (SELECT model, threshold FROM best) USING (model) WHERE model = 'm2'""",
+JOIN (SELECT model, threshold FROM best) USING (model)""",
         "model_comparison": f"{_with(SCORED, CONFUSION, RANKING)} {COMPARED}",
         "comparison_series": f"""{_with(SCORED, CONFUSION, RANKING)}, c AS ({COMPARED})
 SELECT 'f1' AS metric, model, f1 AS value, NULL::DOUBLE AS target FROM c
@@ -473,6 +541,12 @@ FROM confusion JOIN roc USING (model)""",
   FROM (SELECT *, length(prompt) % 97 >= 48 AS p FROM raw) GROUP BY source)
 SELECT 'length' AS model, source, n, round({F1}, 6) AS f1, round({FPR}, 6) AS fpr,
   round({FNR}, 6) AS fnr FROM counts""",
+        "committed_runs": f"""{raw}, scored AS (
+  SELECT y, source, (length(prompt) % 97 >= 48)::INTEGER AS y_pred FROM raw)
+SELECT 'length' AS model, count(*) FILTER (y = 1 AND y_pred = 1) AS tp,
+  count(*) FILTER (y = 0 AND y_pred = 1) AS fp, count(*) FILTER (y = 0 AND y_pred = 0) AS tn,
+  count(*) FILTER (y = 1 AND y_pred = 0) AS fn, count(*) AS rows,
+  count(DISTINCT source) AS sources FROM scored""",
         "external_scores": f"""{raw}, counts AS (
   SELECT count(*) FILTER (y = 0 AND NOT p) AS tn, count(*) FILTER (y = 0 AND p) AS fp,
          count(*) FILTER (y = 1 AND NOT p) AS fn, count(*) FILTER (y = 1 AND p) AS tp
@@ -490,9 +564,38 @@ SELECT {_fingerprint('raw')} AS content_hash, train, val, test,
 counts AS (SELECT term, count(*) AS tf, count(DISTINCT row_id) AS df FROM terms GROUP BY term)
 SELECT term, tf, df, round(ln(((SELECT count(*) FROM raw) + 1)::DOUBLE / (df + 1)) + 1, 6) AS idf
 FROM counts WHERE df >= 3 ORDER BY tf DESC, term LIMIT 200000""",
+        "tfidf_vectors": f"""{_with(RAW, TERMS)},
+counts AS (SELECT term, count(*) AS tf, count(DISTINCT row_id) AS df FROM terms GROUP BY term),
+vocabulary AS (
+  SELECT term, ln(((SELECT count(*) FROM raw) + 1)::DOUBLE / (df + 1)) + 1 AS idf
+  FROM counts WHERE df >= 3 ORDER BY tf DESC, term LIMIT 2000),
+entries AS (
+  SELECT row_id, term, (1 + ln(count(*))) * any_value(idf) AS w
+  FROM terms JOIN vocabulary USING (term) GROUP BY row_id, term)
+SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight
+FROM entries""",
+        "logistic_saturated": """WITH t AS (
+  SELECT coalesce(lang, '') AS lang, coalesce((toxic = 1)::INTEGER, 0) AS y
+  FROM documents LEFT JOIN labels USING (doc_id)),
+shares AS (
+  SELECT lang, sum(y)::DOUBLE / (SELECT sum(y) FROM t) AS ones,
+         sum(1 - y)::DOUBLE / (SELECT sum(1 - y) FROM t) AS zeros FROM t GROUP BY lang)
+SELECT lang, round(ones / (ones + zeros), 3) AS p FROM shares""",
+        "cv_closed_form": f"""{_with(EMBEDDED, _folds('raw', 'folded'), NAIVE_BAYES)},
+counts AS (
+  SELECT model AS fold, count(*) FILTER (y = 1 AND y_prob >= 0.5) AS tp,
+         count(*) FILTER (y = 0 AND y_prob >= 0.5) AS fp,
+         count(*) FILTER (y = 0 AND y_prob < 0.5) AS tn,
+         count(*) FILTER (y = 1 AND y_prob < 0.5) AS fn FROM scored GROUP BY model),
+{RANKING}
+SELECT fold, tp, fp, tn, fn, round({F1}, 6) AS f1, round(auroc, 6) AS auroc
+FROM counts JOIN roc ON fold = model""",
         "embed_cache": f"""{raw} SELECT row_id, length(prompt)::BIGINT AS chars,
   (length(prompt) - length(replace(prompt, ' ', '')))::BIGINT AS spaces,
   (length(prompt) - length(replace(prompt, 'e', '')))::BIGINT AS letter_e FROM raw""",
+        "embed_reuse": f"""{raw} SELECT 1 AS run, count(DISTINCT prompt) FILTER (y = 1) AS encoded FROM raw
+UNION ALL SELECT 2, count(DISTINCT prompt) - count(DISTINCT prompt) FILTER (y = 1) FROM raw
+UNION ALL SELECT 3, 0""",
         "class_weights": f"""{raw} SELECT y, round((SELECT count(*) FROM raw)::DOUBLE / (2 * count(*)), 6) AS weight
 FROM raw GROUP BY y""",
     }

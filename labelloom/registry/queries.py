@@ -6,6 +6,8 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,10 +90,15 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hash_score(model: str) -> Column:
+    return F.floor(_whole_score(model, 6) * 1000) / 1000.0
+
+
+def _whole_score(model: str, digits: int = 13) -> Column:
+    """Noise of so many hexadecimal digits, pulled towards the label."""
     digest = F.md5(F.concat_ws("|", F.lit(model), F.col("row_id").cast("string")))
-    noise = F.conv(F.substring(digest, 1, 6), 16, 10).cast("double") / 16777216.0
+    noise = F.conv(F.substring(digest, 1, digits), 16, 10).cast("double") / 16.0**digits
     pull = MODELS[model]
-    return F.floor((noise + pull * F.col("y")) / (1.0 + pull) * 1000) / 1000.0
+    return (noise + pull * F.col("y")) / (1.0 + pull)
 
 
 def _sources(spark: SparkSession, sf_dir: str, *, spread: bool = False) -> LoadResult:
@@ -178,6 +185,33 @@ def load_status(spark, sf_dir):
     )
 
 
+@_query
+def load_staged_status(spark, sf_dir):
+    """A source that breaks off while it is read: reported and left out, others whole."""
+    documents = _table(spark, sf_dir, "documents")
+    last = documents.agg(F.max("doc_id")).first()[0]
+    broken = F.when(F.col("doc_id") < last, F.col("text")).otherwise(
+        F.raise_error(F.lit("the rest of the file cannot be read"))
+    )
+
+    def source(name: str, text: Column) -> Callable[[], DataFrame]:
+        rows = documents.withColumn("text", text)
+        return lambda: constant_source(
+            rows, y=0, source=name, subtype="safe", candidates=("text",), row_id="doc_id"
+        )
+
+    loaded = load_all(
+        spark,
+        {"whole": source("whole", F.col("text")), "broken": source("broken", broken)},
+        staged=True,
+    )
+    return (
+        loaded.status.select("source", "status")
+        .join(loaded.counts(), "source", "left")
+        .fillna(0, ["n"])
+    )
+
+
 @_query
 def normalized_texts(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents")
@@ -243,7 +277,7 @@ def exact_dedup_all_sources(spark, sf_dir):
 
 @_query
 def exact_dedup_prefer_label(spark, sf_dir):
-    rows = normalized(_sources(spark, sf_dir, spread=True).table)
+    rows = materialize(normalized(_sources(spark, sf_dir, spread=True).table), "normalized")
     kept = dedup.exact_dedup(dedup.with_priority(rows, prefer_label=1))
     return kept.select("row_id", "source", "y", "subtype")
 
@@ -292,6 +326,14 @@ def near_dup_keep_verified(spark, sf_dir):
     return near_dup.drop_near_duplicates(exact, found).select("row_id", "source", "y")
 
 
+@_query
+def similar_keep(spark, sf_dir):
+    """The keep rule over all similar rows, whether or not they share a band."""
+    exact = materialize(_exact(spark, sf_dir), "exact")
+    found = near_dup.find_near_duplicates(exact, exact=True)
+    return near_dup.drop_near_duplicates(exact, found).select("row_id", "source", "y")
+
+
 @_query
 def near_dup_listing(spark, sf_dir):
     exact = materialize(_exact(spark, sf_dir), "exact")
@@ -330,6 +372,35 @@ def length_quantiles(spark, sf_dir):
     return quantiles.select(*[F.round(c, 6).alias(c) for c in quantiles.columns])
 
 
+@_query
+def length_sketches(spark, sf_dir):
+    """Sketches of two builds, merged: are their estimates as near as they claim to be?"""
+    rows = _labelled_documents(spark, sf_dir).withColumn("length", F.length("prompt"))
+    half = F.pmod(F.xxhash64("row_id"), F.lit(2))
+    path = scratch_path(spark, "sketches")
+    for build in range(2):
+        sketches = stats.length_sketches(rows.where(half == build))
+        write_table(sketches, path, mode="append")
+    merged = stats.merge_sketches(read_table(spark, path), ["source", "y"])
+    estimates = stats.sketch_quantiles(merged, ["source", "y"])
+    names = estimates.columns[3:]
+    met = rows.select("source", "y", "length").join(estimates, ["source", "y"])
+    ranks = [
+        (F.avg((F.col("length") < F.col(c)).cast("double")), F.avg((F.col("length") <= F.col(c)).cast("double")))
+        for c in names
+    ]
+    # Where quantiles fall between two rows, either is right.
+    slack = F.lit(stats.sketch_error()) + 1 / F.count("*")
+    near = functools.reduce(
+        Column.__and__,
+        [
+            (below <= q + slack) & (upto >= q - slack)
+            for q, (below, upto) in zip(stats.QUANTILES, ranks)
+        ],
+    )
+    return met.groupBy("source", "y").agg(F.first("n").alias("n"), near.alias("near"))
+
+
 @_query
 def length_histogram(spark, sf_dir):
     bins = stats.length_histogram(_labelled_documents(spark, sf_dir))
@@ -351,6 +422,20 @@ def content_fingerprint(spark, sf_dir):
     return stats.fingerprint(_labelled_documents(spark, sf_dir))
 
 
+@_query
+def stored_digests(spark, sf_dir):
+    """The fingerprint from digests per source that followed an append and a deletion."""
+    rows = _labelled_documents(spark, sf_dir)
+    late = F.pmod(F.col("row_id").cast("bigint"), F.lit(10)) == 3
+    stored = stats.digests(rows.where(~late), ["source"])
+    stored = stats.combined_digests(
+        stored.unionByName(stats.digests(rows.where(late), ["source"])), ["source"]
+    )
+    gone = stats.digests(rows.where("source = 'src3'"), ["source"])
+    left = stats.combined_digests(stored, ["source"], without=gone)
+    return stats.fingerprint_of(left)
+
+
 @_query
 def top_long(spark, sf_dir):
     return stats.longest(_labelled_documents(spark, sf_dir))
@@ -487,6 +572,15 @@ def ranking_by_model(spark, sf_dir):
     return ranked.select("model", *_rounded("auroc", "auprc"))
 
 
+@_query
+def ranking_exact_scores(spark, sf_dir):
+    """Scores that are not rounded, of all documents, so that many ranges are crossed."""
+    rows = _labelled_documents(spark, sf_dir).select("row_id", "y")
+    scored = scoring.model_scores(rows, list(MODELS), _whole_score)
+    ranked = metrics.ranking_metrics(scored, ["model"], range_rows=200)
+    return ranked.select("model", *_rounded("auroc", "auprc"))
+
+
 @_query
 def threshold_scan(spark, sf_dir):
     best = metrics.threshold_at_fpr(_scored(spark, sf_dir), ["model"])
@@ -506,9 +600,9 @@ def per_source_by_model(spark, sf_dir):
 
 @_query
 def report(spark, sf_dir):
-    scored = _scored(spark, sf_dir).where("model = 'm2'")
-    made = metrics.binary_report(scored)
+    made = metrics.binary_report(_scored(spark, sf_dir), ["model"])
     return made.select(
+        "model",
         *_rounded("f1", "precision", "recall", "accuracy", "fpr", "fnr", "auroc", "auprc"),
         "tp",
         "fp",
@@ -623,6 +717,26 @@ def stored_source_metrics(spark, sf_dir):
     return latest.select("model", "source", "n", *_rounded("f1", "fpr", "fnr"))
 
 
+@_query
+def committed_runs(spark, sf_dir):
+    """Reports and rates per source of finished runs only; a run that broke off between
+    its two tables has left rows in one of them."""
+    reports, rates, log = (scratch_path(spark, n) for n in ("reports", "rates", "log"))
+    rows = _labelled_documents(spark, sf_dir)
+    scoring.evaluate(
+        rows, _length_score, model="length", reports=reports, source_reports=rates, log=log
+    )
+    broken_off = spark.read.parquet(rates).withColumn("run_id", F.lit("unfinished"))
+    write_table(materialize(broken_off, "broken-off"), rates, mode="append")
+    finished = spark.read.parquet(log)
+    totals = scoring.committed(spark.read.parquet(rates), finished).groupBy("run_id").agg(
+        F.sum("n").alias("rows"), F.count("*").alias("sources")
+    )
+    return scoring.committed(spark.read.parquet(reports), finished).join(
+        totals, "run_id"
+    ).select("model", "tp", "fp", "tn", "fn", "rows", "sources")
+
+
 @_query
 def external_scores(spark, sf_dir):
     """Scores made elsewhere, matched to the test rows by id, and their report."""
@@ -680,6 +794,28 @@ def embed_cache(spark, sf_dir):
     )
 
 
+@_query
+def embed_reuse(spark, sf_dir):
+    """Texts that each of three runs had to encode: the first, all of them, and all again."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        return np.array([[len(t)] for t in texts], dtype=np.float32)
+
+    cache = scratch_path(spark, "embeddings")
+    rows = _labelled_documents(spark, sf_dir).select("row_id", "y", "prompt")
+    runs = []
+    for number, part in enumerate((rows.where("y = 1"), rows, rows), 1):
+        scoring.embed_with_cache(part, encode, cache=cache, model="length")
+        entries = spark.read.parquet(f"{cache}/model=length")
+        upto = entries.agg(F.lit(number).alias("run"), F.count("*").alias("upto"))
+        runs.append(materialize(upto, "upto"))
+    totals = functools.reduce(DataFrame.unionAll, runs)
+    before = totals.select((F.col("run") + 1).alias("run"), F.col("upto").alias("known"))
+    return totals.join(before, "run", "left").select(
+        "run", (F.col("upto") - F.coalesce("known", F.lit(0))).alias("encoded")
+    )
+
+
 @_query
 def class_weights(spark, sf_dir):
     weighted = models.with_balanced_weights(_labelled_documents(spark, sf_dir))
@@ -695,13 +831,55 @@ def tfidf_lr(spark, sf_dir):
     return metrics.binary_report(model.score(made.where("split = 'test'")))
 
 
+@_query
+def tfidf_vectors(spark, sf_dir):
+    """The entries of the vectors that the model reads, with a limit that binds."""
+    rows = _labelled_documents(spark, sf_dir, spread=True)
+    features = models.fit_text_features(rows, models.TfidfSettings(max_features=2000))
+    return features.weights(rows).withColumn("weight", F.round("weight", 6))
+
+
+@_query
+def logistic_saturated(spark, sf_dir):
+    """One indicator for each language and no penalty to speak of: the fitted chance is the
+    weighted share of toxic documents. The rows of a language train as two rows."""
+    rows = _table(spark, sf_dir, "documents").join(
+        _table(spark, sf_dir, "labels"), "doc_id", "left"
+    )
+    rows = rows.select(
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0)).alias("y"),
+    )
+    indexer = StringIndexer(inputCol="lang", outputCol="place", stringOrderType="alphabetAsc")
+    encoder = OneHotEncoder(inputCol="place", outputCol="features", dropLast=False)
+    made = Pipeline(stages=[indexer, encoder]).fit(rows).transform(rows)
+    model = models.fit_logistic(made, c=1e9, tol=1e-12, compress=True)
+    kinds = made.groupBy("lang").agg(F.first("features").alias("features"))
+    return models.predictions(model, kinds).select("lang", F.round("y_prob", 3).alias("p"))
+
+
+@_query
+def cv_closed_form(spark, sf_dir):
+    """Naive Bayes on embeddings: five models from the statistics of one scan."""
+    rows = _embedding_rows(spark, sf_dir).withColumn("source", F.lit("embeddings"))
+    folded = materialize(splits.assign_folds(rows, k=5), "folded")
+    parameters = models.naive_bayes_parameters(models.fold_statistics(folded), k=5)
+    scored = models.naive_bayes_scores(folded, parameters)
+    made = metrics.binary_report(scored, ["fold"])
+    return made.select("fold", "tp", "fp", "tn", "fn", *_rounded("f1", "auroc"))
+
+
 @_query
 def mlp_head(spark, sf_dir):
+    """The head's report on every fold, each held out once."""
     rows = _embedding_rows(spark, sf_dir)
     folded = splits.assign_folds(rows, k=5, stratum=F.col("y").cast("string"))
-    train, held_out = splits.fold_frames(folded, 0)
-    head = models.fit_embedding_head(train)
-    return metrics.binary_report(models.predictions(head, models.with_vector(held_out)))
+
+    def fit(train: DataFrame):
+        head = models.fit_embedding_head(train)
+        return lambda held_out: models.predictions(head, models.with_vector(held_out))
+
+    return models.cross_validate(folded, fit, k=5)
 
 
 @_query

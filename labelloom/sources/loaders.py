@@ -6,12 +6,14 @@ import functools
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.functions.ids import with_row_id
+from labelloom.session import materialize
 
 LABELLED_SCHEMA = T.StructType(
     [
@@ -127,21 +129,29 @@ class LoadResult:
 
 
 def load_all(
-    spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]]
+    spark: SparkSession,
+    sources: Mapping[str, Callable[[], DataFrame]],
+    *,
+    staged: bool = False,
 ) -> LoadResult:
     """Union of the sources that can be resolved; the others are reported.
 
     A source fails here when its table or a needed column is missing, or when it does
     not have the columns and types of the union: those of a labelled table and, if any
-    source names row ids, a string `row_id`, which the others then get from content. An
-    error while reading rows fails the job instead: dropping half-read data is unsafe.
+    source names row ids, a string `row_id`, which the others then get from content.
+
+    An error while rows are read fails the job that reads them, unless `staged` is set: then
+    every source is read here and written to the shared folder on its own, and one that
+    breaks off is reported and left out whole. What was written of it is never read.
     """
     frames, status = [], []
     for name, load in sources.items():
         try:
             frame = load()
             _check_columns(frame)
-        except (PySparkException, ValueError, OSError, RuntimeError) as error:
+            if staged:
+                frame = materialize(frame, f"source-{len(status)}")
+        except (PySparkException, Py4JError, ValueError, OSError, RuntimeError) as error:
             status.append((name, "failed", str(error).split("\n")[0]))
         else:
             frames.append(frame)

@@ -153,3 +153,28 @@ def test_sinks(spark, tmp_path, labelled):
     write_table(build(), path, mode="append")
     write_document(build().agg(F.count("*").alias("n")), str(tmp_path / "doc"))
     assert spark.read.json(str(tmp_path / "doc")).first().n == 2
+
+
+def test_a_truncated_file_fails_its_source_alone(spark, tmp_path):
+    """One of two files of a table is cut short: none of its rows may come through."""
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    rows = spark.range(400).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    rows.repartition(2).write.parquet(good)
+    rows.repartition(2).write.parquet(bad)
+    victim = sorted((tmp_path / "bad").glob("part-*.parquet"))[0]
+    data = victim.read_bytes()
+    victim.write_bytes(data[:100] + b"\0" * (len(data) - 200) + data[-100:])
+
+    def source(name, path):
+        return lambda: constant_source(
+            spark.read.schema("id bigint, text string").parquet(path),
+            y=0, source=name, subtype="safe", candidates=("text",),
+        )
+
+    loaded = load_all(
+        spark, {"good": source("good", good), "bad": source("bad", bad)}, staged=True
+    )
+    assert {r.source: r.status for r in loaded.status.collect()} == {
+        "good": "loaded", "bad": "failed"
+    }
+    assert {r.source: r.n for r in loaded.counts().collect()} == {"good": 400}
