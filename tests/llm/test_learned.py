@@ -1,12 +1,13 @@
 """Toxicity, language and quality: held-out accuracy on fixtures, and what is learned from."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from labelloom.llm import language, quality_knn, toxicity
+from labelloom.llm import language, learning, quality_knn, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string"
 WORDS = {
@@ -184,3 +185,114 @@ def test_clashing_columns_are_left_aside(spark):
     assert toxicity.score_toxicity(docs, labels).count() == 2
     assert quality_knn.score_quality(docs, labels).count() == 2
     assert language.identify_languages(docs).count() == 2
+
+
+def worded(seed, n=600):
+    """Texts of one shape, whose words alone tell whether they are good or toxic."""
+    rng = random.Random(seed)
+    good = ["lemon", "cedar", "amber", "ivory", "olive"]
+    bad = ["nolem", "racde", "merba", "royvi", "vileo"]
+    docs, labels = [], []
+    for i in range(n):
+        label = i % 3 > 0
+        words = [rng.choice(good if label else bad) for _ in range(30)]
+        docs.append((i, " ".join(words) + ".", "en", "s"))
+        labels.append((i, int(label), int(not label)))
+    return docs, labels
+
+
+def test_quality_that_only_words_show(spark):
+    docs, labels = worded(1)
+    rows = quality_knn.score_quality(
+        spark.createDataFrame(docs, DOCS),
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"),
+    ).collect()
+    truth = {i: q for i, q, _ in labels}
+    held = [r for r in rows if r["held_out"]]
+    assert np.mean([(r["score"] > 0.5) == truth[r["doc_id"]] for r in held]) > 0.97
+
+
+def test_toxicity_where_every_row_is_labelled(spark):
+    """No text is without a label: the sample of all texts still makes a classifier."""
+    docs, labels = worded(2)
+    rows = toxicity.score_toxicity(
+        spark.createDataFrame(docs, DOCS),
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"),
+    ).collect()
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in rows if r["held_out"]]
+    least = min(r["score"] for r in held if truth[r["doc_id"]])
+    most = max(r["score"] for r in held if not truth[r["doc_id"]])
+    assert least > most and least > 0.5
+
+
+def test_rows_of_one_id_teach_their_own_language(spark):
+    rows = [(3, "das haus", None), (3, "the house", "en"), (4, "der fluß", "de"), (4, "le fleuve", "fr")]
+    rows += [(4, "le fleuve", "fr")] * 5 + [(6, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known = df.where("lang IS NOT NULL").fillna("", ["text"])
+    sample, counts = learning.sample_rows(known.select("doc_id", "lang", "text"), "lang", 100, 3)
+    assert sorted(map(tuple, sample.collect())) == [
+        (3, "en", "the house"), (4, "de", "der fluß"), (4, "fr", "le fleuve"), (6, "en", "")
+    ]
+    assert counts == {"en": 2, "de": 1, "fr": 6}
+
+
+def test_predictions_equal_a_dense_computation(spark, corpus):
+    """The scores of a fitted language model, from all buckets at once."""
+    docs = [r for r in corpus[0] if r[1] and r[0] is not None][:200]
+    model = language.fit(spark.createDataFrame(docs, DOCS))
+    got = language.predict(spark.createDataFrame(docs, DOCS).repartition(3), model).collect()
+    texts = {}
+    for r in docs:
+        texts.setdefault(r[0], []).append(r[1])
+    for row in got:
+        found = []
+        for text in texts[row["doc_id"]]:
+            counts = language.gram_counts(text)
+            if counts is None:
+                found.append(("und", 0.0))
+                continue
+            values = np.log1p(counts) * model["idf"]
+            scores = values / np.linalg.norm(values) @ model["weights"] / model["temperature"]
+            p = np.exp(scores - scores.max())
+            p /= p.sum()
+            found.append((model["languages"][int(p.argmax())], pytest.approx(p.max())))
+        assert (row["lang_pred"], row["score"]) in found
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark):
+    """The mean of the classifiers' chances, from features spelt out one by one."""
+    models = [
+        {"": -2.0, "grob*": 3.0, "flegel": 2.5}, {"": -1.0, "gro*": 1.5, "rowdy": 2.0, "row*": 0.5}
+    ]
+    texts = ["Ein Grobian und ein Flegel", "rowdy rowdy, rowdies", "ganz still", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, models, 0.1).collect()}
+    for i, text in enumerate(texts):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        features = words | {w[:k] + "*" for w in words for k in range(3, 8) if len(w) > k}
+        chances = [
+            1 / (1 + np.exp(-(m[""] + sum(m.get(f, 0) for f in features if f) * toxicity.scale(len(words)))))
+            for m in models
+        ]
+        assert got[i] == pytest.approx(np.mean(chances))
+
+
+def test_equally_near_neighbours_vote_by_their_order():
+    """More neighbours at one cosine than may vote: the first ones do, in any block."""
+    near = quality_knn._unit(np.array([[1.0, 0.0]] * 40 + [[0.0, 1.0]] * 5))
+    model = {"vectors": near, "labels": np.array([0.0] * 10 + [1.0] * 35), "votes": np.ones(45)}
+    queries = quality_knn._unit(np.array([[1.0, 0.2], [1.0, 0.1], [1.0, 0.0]]))
+    together = quality_knn.vote(queries, model)
+    assert together == pytest.approx([5 / 15] * 3)
+    assert [quality_knn.vote(q[None], model)[0] for q in queries] == together.tolist()
+
+
+def test_the_decomposition_equals_the_exact_one():
+    rng = np.random.default_rng(3)
+    matrix = (rng.normal(size=(300, 20)) @ rng.normal(size=(20, 500))).astype(np.float32)
+    basis = quality_knn.decompose(matrix)
+    _, _, exact = np.linalg.svd(matrix, full_matrices=False)
+    assert np.allclose(matrix @ basis @ basis.T, matrix, atol=1e-2)
+    assert np.abs(np.abs(np.sum(basis[:, :5] * exact[:5].T, axis=0)) - 1).max() < 1e-3
