@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -31,6 +31,8 @@ from labelloom.session import materialize
 WORD_PATTERN = r"(?U)\w\w+"
 
 
+# Terms of lists that are looked up at one time.
+SLICE_TERMS = 1 << 18
 # The least variance that naive Bayes takes a dimension to have.
 LEAST_VARIANCE = 1e-9
 
@@ -103,38 +105,47 @@ class TextFeatures:
         shared = self._shared(df)
         size, sublinear = len(self.vocabulary), self.sublinear_tf
 
-        @F.pandas_udf(VectorUDT())
-        def weigh(terms: pd.Series) -> pd.DataFrame:
-            """Sparse vectors as struct columns."""
-            row, term, values = _weights(terms, *shared.value, sublinear)
-            cuts = np.searchsorted(row, np.arange(1, len(terms)))
-            return pd.DataFrame(
-                {
-                    "type": np.zeros(len(terms), dtype=np.int8),
-                    "size": np.full(len(terms), size, dtype=np.int32),
-                    "indices": np.split(term.astype(np.int32), cuts),
-                    "values": np.split(values, cuts),
-                }
+        @F.arrow_udf(VectorUDT())
+        def weigh(terms: pa.Array) -> pa.Array:
+            """Sparse vectors as structs."""
+            ends, places, values = [np.zeros(1, np.int64)], [], []
+            for part in _in_slices(terms):
+                row, term, weight = _weights(part, *shared.value, sublinear)
+                ends.append(np.bincount(row, minlength=len(part)))
+                places.append(pa.array(term.astype(np.int32)))
+                values.append(pa.array(weight))
+            ends = pa.array(np.cumsum(np.concatenate(ends)).astype(np.int32))
+            return pa.StructArray.from_arrays(
+                [
+                    pa.array(np.zeros(len(terms), dtype=np.int8)),
+                    pa.array(np.full(len(terms), size, dtype=np.int32)),
+                    pa.ListArray.from_arrays(ends, _joined(places, pa.int32())),
+                    pa.ListArray.from_arrays(ends, _joined(values, pa.float64())),
+                ],
+                names=["type", "size", "indices", "values"],
             )
 
         return word_terms(df, text=text).withColumn("features", weigh("terms")).drop("terms")
 
     def weights(self, df: DataFrame, *, text: str = "prompt") -> DataFrame:
         """(row_id, term, weight): the vectors of `transform`, a row for each entry."""
-        shared, names, sublinear = self._shared(df), self.vocabulary, self.sublinear_tf
+        shared, sublinear = self._shared(df), self.sublinear_tf
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, idf = shared.value
             for batch in batches:
-                terms = pd.Series(batch.column(1).to_pylist(), dtype=object)
-                row, term, values = _weights(terms, *shared.value, sublinear)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(row)),
-                        pa.array([names[i] for i in term.tolist()], pa.string()),
-                        pa.array(values, pa.float64()),
-                    ],
-                    names=["row_id", "term", "weight"],
-                )
+                at = 0
+                for part in _in_slices(batch.column(1)):
+                    row, term, values = _weights(part, vocabulary, idf, sublinear)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(row + at)),
+                            vocabulary.take(pa.array(term)),
+                            pa.array(values),
+                        ],
+                        names=["row_id", "term", "weight"],
+                    )
+                    at += len(part)
 
         row_id = df.schema["row_id"].dataType.simpleString()
         return (
@@ -144,19 +155,35 @@ class TextFeatures:
         )
 
     def _shared(self, df: DataFrame) -> Broadcast:
-        places = {term: i for i, term in enumerate(self.vocabulary)}
-        return df.sparkSession.sparkContext.broadcast((places, self.idf))
+        vocabulary = pa.array(self.vocabulary, pa.string())
+        return df.sparkSession.sparkContext.broadcast((vocabulary, self.idf))
+
+
+def _in_slices(terms: pa.Array) -> Iterator[pa.Array]:
+    """Lists of terms in slices of about SLICE_TERMS; a longer list is one of its own."""
+    ends = np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    start, before = 0, 0
+    while start < len(terms):
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_TERMS, "right")))
+        yield terms.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])
+
+
+def _joined(parts: list[pa.Array], of: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], of)
 
 
 def _weights(
-    terms: pd.Series, places: dict[str, int], idf: np.ndarray, sublinear: bool
+    terms: pa.Array, vocabulary: pa.Array, idf: np.ndarray, sublinear: bool
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place and weight of all entries of a batch of term lists, in order."""
-    lengths = terms.map(len).to_numpy(dtype=np.int64)
-    at = np.fromiter(
-        (places.get(t, -1) for t in chain.from_iterable(terms)), np.int64, lengths.sum()
-    )
-    size = max(1, len(places))
+    """Row, place and weight of all entries of a batch of term lists, in order.
+
+    Terms are looked up as Arrow holds them: no term becomes a Python string.
+    """
+    lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+    found = pc.index_in(terms.flatten(), value_set=vocabulary)
+    at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = max(1, len(vocabulary))
     known = at >= 0
     met = np.repeat(np.arange(len(terms)), lengths)[known] * size + at[known]
     cells, tf = np.unique(met, return_counts=True)

@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -343,3 +345,28 @@ def test_closed_form_folds_learn_from_the_others(spark):
                 assert own.variance == pytest.approx(x[:, t.dim].var())
     scored = models.naive_bayes_scores(folded, models.naive_bayes_parameters(statistics, k=3))
     assert metrics.binary_report(scored).first().f1 > 0.9
+
+
+def test_terms_are_looked_up_without_python_strings():
+    names = sorted(f"term{i:04d}" for i in range(500))
+    lists = [[names[(i * 7 + j * j) % 500] for j in range(i % 900)] + ["unknown"] for i in range(3000)]
+    terms, vocabulary = pa.array(lists), pa.array(names)
+    idf = np.linspace(1, 3, 500)
+    assert pa.concat_arrays(list(models._in_slices(terms))).equals(terms)
+    tracemalloc.start()
+    at = 0
+    for part in models._in_slices(terms):
+        row, term, weight = models._weights(part, vocabulary, idf, True)
+        found = {}
+        for r, t, w in zip(row.tolist()[:800], term.tolist(), weight.tolist()):
+            found.setdefault(r, {})[names[t]] = w
+        for r in sorted(found)[:-1]:
+            own = lists[at + r][:-1]
+            raw = {t: (1 + math.log(own.count(t))) * idf[names.index(t)] for t in set(own)}
+            norm = math.sqrt(sum(v * v for v in raw.values()))
+            assert found[r] == pytest.approx({t: v / norm for t, v in raw.items()})
+        at += len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The strings and numbers of all lists at once took over 100 MB.
+    assert peak < 60 << 20
