@@ -10,6 +10,7 @@ The hash family is small integer arithmetic, so an SQL engine can reproduce it:
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelloom.functions.text import in_slices
+
 PRIME = 2**31 - 1
 BASE = 1_000_003
 SET_BASE = 0x9E3779B97F4A7C15  # odd 64-bit base for gram_set
@@ -46,7 +49,8 @@ def minhash_signature(
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def signature(texts: pa.Array) -> pa.Array:
         rows = np.empty((len(texts), num_perm), dtype=np.int64)
-        for i, value in enumerate(texts.to_pylist()):
+        values = chain.from_iterable(part.to_pylist() for part in in_slices(texts))
+        for i, value in enumerate(values):
             rows[i] = _signature(value or "", n, multipliers, offsets)
         ends = np.arange(len(texts) + 1, dtype=np.int32) * num_perm
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
@@ -59,7 +63,8 @@ def gram_set(text: Column | str, n: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def hashes(texts: pa.Array) -> pa.Array:
-        sets = [gram_codes(value or "", n) for value in texts.to_pylist()]
+        values = chain.from_iterable(part.to_pylist() for part in in_slices(texts))
+        sets = [gram_codes(value or "", n) for value in values]
         ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
         return pa.ListArray.from_arrays(
             pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,17 +23,38 @@ WHITE_SPACE = (
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Bytes of texts that are Python objects at one time.
+SLICE_BYTES = 1 << 20
+
 # The Arrow UDFs below are marked non-deterministic so that a filter on their result is
 # not pushed below the projection, which would run them once per use.
 
 
+def in_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of about SLICE_BYTES; a longer one is a slice of its own.
+
+    A batch has up to 10000 texts, whatever their length: as Python objects, with what is
+    made of them, they would take several times the batch.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start, before = 0, 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield texts.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])
+
+
 def _per_text(result_type: T.DataType, function: Callable[[str], object]):
+    arrow_type = to_arrow_type(result_type)
+
     @F.arrow_udf(result_type)
     def apply(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [None if text is None else function(text) for text in texts.to_pylist()],
-            to_arrow_type(result_type),
-        )
+        parts = [
+            pa.array([None if t is None else function(t) for t in part.to_pylist()], arrow_type)
+            for part in in_slices(texts)
+        ]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow_type)
 
     return apply.asNondeterministic()
 

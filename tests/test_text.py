@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.functions import (
     char_ngrams,
@@ -16,7 +19,7 @@ from labelloom.functions import (
     word_count,
 )
 from labelloom.functions.minhash import BASE, PRIME, gram_set, lanes
-from labelloom.functions.text import jaccard
+from labelloom.functions.text import SLICE_BYTES, _per_text, in_slices, jaccard
 
 TEXTS = [
     "ＡＢＣ１２ x",
@@ -120,3 +123,19 @@ def test_exact_jaccard(spark):
 def test_gram_set_is_a_set(spark):
     got = values(one_column(spark, ["aaaaaaaa", "ab", ""]).select("i", F.size(gram_set("t", 5))))
     assert got == [1, 1, 1]
+
+
+def test_texts_of_a_batch_are_python_objects_a_slice_at_a_time():
+    batch = pa.array(["é" * 20_000, None, "", "é" * 1_000_000, *["ö" * 10_000] * 2000])
+    parts = list(in_slices(batch))
+    assert pa.concat_arrays(parts).equals(batch)
+    assert all(len(p) == 1 or p.nbytes < 2 * SLICE_BYTES for p in parts)
+    udf = _per_text(T.StringType(), str.upper)
+    tracemalloc.start()
+    made = udf.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.to_pylist()[-1] == "Ö" * 10_000
+    assert udf.func(batch.slice(0, 0)).to_pylist() == []
+    # All of them at once took over 40 MB.
+    assert peak < 20 << 20
