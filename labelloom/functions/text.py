@@ -90,19 +90,9 @@ def head_tokens(text: Column | str, n: int = 512) -> Column:
 
 def char_ngrams(text: Column | str, n: int) -> Column:
     """Character n-grams by code point, stride 1; empty for a text shorter than n."""
-    text = _col(text)
-    # The outer transform binds the characters once, not once per gram.
-    grams = F.transform(
-        F.array(F.split(text, "")),
-        lambda chars: F.transform(
-            F.sequence(F.lit(1), F.size(chars) - (n - 1)),
-            lambda start: F.array_join(F.slice(chars, start, n), ""),
-        ),
-    )[0]
-    # A descending sequence() would otherwise appear for short texts.
-    return F.when(F.length(text) >= n, grams).otherwise(
-        F.array().cast("array<string>")
-    )
+    # One walk over the text: every match takes one character and looks n ahead.
+    grams = F.regexp_extract_all(_col(text), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return F.coalesce(grams, F.array().cast("array<string>"))
 
 
 def jaccard(left: Column | str, right: Column | str) -> Column:
