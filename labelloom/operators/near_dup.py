@@ -12,8 +12,8 @@ Work is on (row, bucket) membership, never on pairs, so a bucket with a third of
 table costs what its rows cost. Joins on the bucket split such hot buckets off.
 
 With `verify`, sharing a bucket is not enough: the exact similarity must reach the threshold.
-With `exact`, rows meet through the index of `similar` instead of through buckets, so that no
-similar row is missed. Both settle a block of rows of every bucket or list in a round.
+With `exact`, rows meet by size and parities (see `similar`) instead of through buckets, so
+that no similar row is missed. Both settle a block of rows of every bucket or list in a round.
 """
 
 from __future__ import annotations
@@ -171,8 +171,12 @@ def find_near_duplicates(
         return greedy_keep(row_buckets(df, text=text, rank=rank, **bands))
     ranked = similar.in_rank_order(df, rank, text)
     alike = {"text": text, "threshold": threshold, "n_gram": n_gram}
+    options = {}
     if exact:
-        lists = similar.prefix_lists(ranked, **alike)
+        sized = similar.sized(ranked, **alike)
+        lists = similar.size_lists(sized)
+        options["meetings"] = similar.by_parities(sized, threshold=threshold)
+        options["block"] = similar.SIZE_BLOCK
     else:
         nothing = F.lit(None).cast("int")
         lists = row_buckets(ranked, text=text, rank=F.col("id"), **bands).select(
@@ -183,7 +187,7 @@ def find_near_duplicates(
             nothing.alias("place"),
         )
     settled = similar.settle_in_blocks(
-        lists, similar.by_jaccard(ranked, **alike), threshold=threshold
+        lists, similar.by_jaccard(ranked, **alike), threshold=threshold, **options
     )
     return NearDuplicates(_with_ranks(settled.decided, ranked), settled.rounds)
 

@@ -1,12 +1,15 @@
 """Exact set similarity among texts: a join without buckets, and a keep rule in blocks.
 
-*Who meets.* Grams have one order, rare ones first. Of two sets with a Jaccard similarity of
-at least t, each of n grams, the first n - ceil(t n) + 1 grams hold a common one (Chaudhuri,
-Ganti, Kaushik 2006; Xiao et al. 2008), so an inverted index on these prefixes loses no link,
-unlike bands of a MinHash signature. Its lists are split by size class: a class ends where a
-set one gram larger could no longer reach t with the class's least, so that similar sets are
-of one class or of neighbouring ones. A set is at home in its own class and a guest in the
-next one. Sizes and the places of the common gram then bound the overlap before any set moves.
+*Who meets.* Sets are dealt by size: a class ends where a set one gram larger could no longer
+reach the threshold with the class's least, so that similar sets are of one class or of
+neighbouring ones. A set is at home in its own class and a guest in the next one. Sets of two
+sizes that are similar differ in a bounded number of grams (Arasu, Ganti, Kaushik 2006). The
+parities of the numbers of grams in each of 2^k places differ at most as often, so they rule
+pairs out and lose no link, unlike bands of a MinHash signature. They are as long as the set
+has grams, one to two bits each, and are compared in cells of a few thousand rows by as many,
+which Spark deals to its tasks. No gram and no text is shuffled for a pair that they rule out,
+and nothing that grows with the grams is written. Comparing is quadratic in the rows of a
+class, at some words of 64 bits a pair.
 
 *Who stays.* The rule of `near_dup`: by rank, a row is dropped when it is similar to a row
 kept before it. A round takes the first `block` undecided rows of every list. A row that is
@@ -15,8 +18,8 @@ none of them. Undecided rows similar to one that stays are dropped, with that ro
 link. Only pairs with one of these rows are looked at, the block doubles every round, and a
 list of n rows that are all unlike one another is settled in log2(n / block) rounds.
 
-Sets are made for the rows that met someone only, once, and rows with many meetings are
-dealt to many tasks.
+Texts are written once more for the rows that met someone only, and rows with many meetings
+are dealt to many tasks; gram sets are made where two texts have come together.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import functools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.functions.minhash import gram_codes, gram_set
-from labelloom.functions.text import jaccard
+from labelloom.functions.minhash import gram_codes
+from labelloom.functions.text import in_slices
 from labelloom.operators.joins import (
     broadcast_if_few,
     hot_keys,
@@ -42,14 +46,20 @@ from labelloom.operators.joins import (
 )
 from labelloom.session import materialize
 
-# Rows whose grams decide the order. Any order gives the same links; a good one, few meetings.
-ORDER_ROWS = 5_000
-GRAM_BINS = 1 << 18
+# Least number of parities of a set, and of a cell's rows and parities on one side the most.
+LEAST_BITS = 256
+CELL_ROWS, CELL_BITS = 4096, 1 << 27
+# Words of parities that are compared at one time.
+_WORDS = 1 << 20
 # First undecided rows of a list that the first round looks at.
 BLOCK = 64
+# The same where rows meet by size: lists are long, and parities are cheap to compare.
+SIZE_BLOCK = 512
 
 # Pairs (id, leader) to those of them that are similar.
 Similar = Callable[[DataFrame], DataFrame]
+# Memberships of rows and of leaders, and their number, to pairs (id, leader) of a list.
+Meetings = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -76,115 +86,214 @@ def size_classes(threshold: float, largest: int = 1 << 31) -> list[int]:
     return starts
 
 
-def gram_order(df: DataFrame, text: str, n_gram: int) -> np.ndarray:
-    """Frequencies of grams by hash bin, over about ORDER_ROWS rows drawn by id."""
-    share = min(1.0, ORDER_ROWS / max(1, df.count()))
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 31)) / float(1 << 31)
-    grams = df.where(draw < share).select(F.explode(gram_set(text, n_gram)).alias("gram"))
-    counted = grams.groupBy(
-        F.pmod("gram", F.lit(GRAM_BINS)).cast("int").alias("bin")
-    ).count()
-    frequencies = np.zeros(GRAM_BINS, dtype=np.int64)
-    for row in counted.collect():  # at most GRAM_BINS rows
-        frequencies[row["bin"]] = row["count"]
-    return frequencies
+def _class_bits(starts: list[int]) -> np.ndarray:
+    """Parities of the sets of each class, a power of two that never falls."""
+    return np.array([max(LEAST_BITS, 1 << (start - 1).bit_length()) for start in starts])
 
 
-def prefix_lists(
-    df: DataFrame, *, text: str, threshold: float, n_gram: int
-) -> DataFrame:
-    """(id, list, guest, size, place): where each row of (id, text) stands in the index."""
-    frequencies = gram_order(df, text, n_gram)
+def parities(grams: np.ndarray, bits: int) -> bytes:
+    """Whether the number of grams is odd, in each of `bits` places.
+
+    Folding the halves onto one another gives the parities in half as many places.
+    """
+    mixed = (grams ^ (grams >> np.uint64(31))) * _MIX
+    at = (mixed >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+_MIX = np.uint64(0x9E6C63D0676A9A99)
+_SKETCHED = T.StructType(
+    [
+        T.StructField("size", T.IntegerType()),
+        T.StructField("size_class", T.IntegerType()),
+        T.StructField("bits", T.BinaryType()),
+    ]
+)
+
+
+def sized(df: DataFrame, *, text: str, threshold: float, n_gram: int) -> DataFrame:
+    """(id, size, size_class, bits) of (id, text), written once.
+
+    `bits` has as many parities as the next class up compares.
+    """
     starts = size_classes(threshold)
-    # Both travel with the function: 2 MB, whatever the table's size.
-    made = T.StructType(
-        [
-            T.StructField("size", T.IntegerType()),
-            T.StructField("size_class", T.IntegerType()),
-            T.StructField("prefix", T.ArrayType(T.LongType())),
-        ]
-    )
+    class_bits = _class_bits([*starts, starts[-1] + 1])
 
-    @F.arrow_udf(made)
-    def prefixes(texts: pa.Array) -> pa.Array:
-        sizes, prefixes = [], []
-        for value in texts.to_pylist():
+    @F.arrow_udf(_SKETCHED)
+    def sketch(texts: pa.Array) -> pa.Array:
+        sizes, classes, bits = [], [], []
+        for value in chain.from_iterable(part.to_pylist() for part in in_slices(texts)):
             grams = gram_codes(value or "", n_gram)
-            bins = (grams % np.uint64(GRAM_BINS)).astype(np.int64)
-            ordered = grams[np.lexsort((grams, frequencies[bins]))]
-            kept = len(grams) - math.ceil(threshold * len(grams) - 1e-9) + 1
+            own = int(np.searchsorted(starts, len(grams), "right"))
             sizes.append(len(grams))
-            prefixes.append(ordered[:kept].view(np.int64))
-        ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-        classes = np.searchsorted(starts, sizes, "right").astype(np.int32)
+            classes.append(own)
+            # Class numbers begin at 1: this is the next class.
+            bits.append(parities(grams, int(class_bits[own])))
         return pa.StructArray.from_arrays(
-            [
-                pa.array(sizes, pa.int32()),
-                pa.array(classes),
-                pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))
-                ),
-            ],
-            fields=[pa.field(f.name, t) for f, t in zip(made, _ARROW)],
+            [pa.array(sizes, pa.int32()), pa.array(classes, pa.int32()), pa.array(bits, pa.binary())],
+            names=["size", "size_class", "bits"],
         )
 
-    rows = df.select("id", prefixes.asNondeterministic()(F.col(text)).alias("made"))
-    posted = rows.select(
-        "id", "made.size", "made.size_class", F.posexplode("made.prefix").alias("place", "gram")
-    )
+    made = df.select("id", sketch.asNondeterministic()(F.col(text)).alias("made"))
+    return materialize(made.select("id", "made.*"), "sized")
+
+
+def size_lists(sized_rows: DataFrame) -> DataFrame:
+    """(id, list, guest, size, place): each row in its own class and in the next one."""
     stays = F.array(
         *[
-            F.struct((F.col("size_class") + k).alias("size_class"), F.lit(bool(k)).alias("guest"))
+            F.struct((F.col("size_class") + k).alias("list"), F.lit(bool(k)).alias("guest"))
             for k in (0, 1)
         ]
     )
-    return posted.withColumn("stay", F.explode(stays)).select(
-        "id",
-        F.struct("gram", "stay.size_class").alias("list"),
-        "stay.guest",
-        "size",
-        "place",
+    return sized_rows.withColumn("stay", F.explode(stays)).select(
+        "id", "stay.list", "stay.guest", "size", F.lit(None).cast("int").alias("place")
     )
 
 
-_ARROW = (pa.int32(), pa.int32(), pa.list_(pa.int64()))
+def by_parities(sized_rows: DataFrame, *, threshold: float) -> Meetings:
+    """Meetings of rows whose sizes and parities allow that they are similar."""
+    class_bits = _class_bits(size_classes(threshold))
+    bits_of = sized_rows.select("id", "bits")
+    apart = (1 - threshold) / (1 + threshold)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, leaders = [], []
+        if left.num_rows and right.num_rows:
+            bits = int(class_bits[left["list"][0].as_py() - 1])
+            a, b = _matrix(left["bits"], bits), _matrix(right["bits"], bits)
+            id_a, id_b = left["id"].to_numpy(), right["id"].to_numpy()
+            size_a, size_b = left["size"].to_numpy(), right["size"].to_numpy()
+            guest_a, guest_b = (x["guest"].to_numpy() for x in (left, right))
+            step = max(1, _WORDS // a.size)
+            for k in range(0, len(b), step):
+                part = slice(k, k + step)
+                both = size_a[:, None] + size_b[None, part]
+                far = np.bitwise_count(a[:, None, :] ^ b[None, part, :]).sum(
+                    axis=2, dtype=np.int32
+                )
+                close = (far <= both * apart + 1e-6) & (id_a[:, None] > id_b[None, part])
+                i, j = np.nonzero(close & ~(guest_a[:, None] & guest_b[None, part]))
+                ids.append(id_a[i])
+                leaders.append(id_b[part][j])
+        made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, leaders)]
+        return pa.table({"id": made[0], "leader": made[1]})
+
+    def meetings(rows: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
+        rows, leaders = materialize(rows, "rows"), materialize(leaders, "met")
+        numbers = {}
+        for side in (rows, leaders):  # a row for each size class
+            for row in side.groupBy("list").count().collect():
+                numbers.setdefault(row["list"], []).append(row["count"])
+        parts = {}
+        for name, counts in numbers.items():
+            most = min(CELL_ROWS, max(1, CELL_BITS // int(class_bits[name - 1])))
+            if len(counts) == 2:
+                parts[name] = [-(-n // most) for n in counts]
+        if not parts:
+            return rows.select("id", F.col("id").alias("leader")).limit(0)
+        spark = rows.sparkSession
+        lists = F.broadcast(
+            spark.createDataFrame(
+                [(name, *counts) for name, counts in parts.items()],
+                "list int, row_parts int, leader_parts int",
+            )
+        )
+        cells = min(
+            sum(a * b for a, b in parts.values()), 8 * spark.sparkContext.defaultParallelism
+        )
+
+        def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+            columns = ("list", "row_part", "leader_part")
+            return (
+                side.join(lists, "list")
+                .join(bits_of.toDF("id", "bits"), "id")
+                .withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+                .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+                .select("id", "guest", "size", "bits", *columns)
+                .repartition(cells, *columns)
+                .groupBy(*columns)
+            )
+
+        left = dealt(rows, "row_parts", "leader_parts", "row_part", "leader_part")
+        right = dealt(leaders, "leader_parts", "row_parts", "leader_part", "row_part")
+        return left.cogroup(right).applyInArrow(compare, "id bigint, leader bigint").distinct()
+
+    return meetings
+
+
+def _matrix(blobs: pa.ChunkedArray, bits: int) -> np.ndarray:
+    """Parities as rows of 64-bit words, folded to `bits` where they are more."""
+    held = blobs.to_pylist()
+    rows = np.zeros((len(held), bits // 8), dtype=np.uint8)
+    for i, blob in enumerate(held):
+        rows[i] = np.bitwise_xor.reduce(
+            np.frombuffer(blob, np.uint8).reshape(-1, bits // 8), axis=0
+        )
+    return rows.view(np.uint64)
 
 
 def by_jaccard(texts: DataFrame, *, text: str, threshold: float, n_gram: int) -> Similar:
     """Compares pairs of rows of (id, text) on their whole gram sets."""
     made: list[DataFrame] = []
 
+    @F.arrow_udf(T.BooleanType())
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        found, start = [], 0
+        for part in in_slices(left):
+            others = right.slice(start, len(part)).to_pylist()
+            start += len(part)
+            known: dict[str, np.ndarray] = {}
+            for pair in zip(part.to_pylist(), others):
+                for value in pair:
+                    if value not in known:
+                        known[value] = gram_codes(value or "", n_gram)
+                a, b = (known[value] for value in pair)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                found.append(shared / (len(a) + len(b) - shared) >= threshold)
+                if len(known) > _KNOWN:
+                    known.clear()
+        return pa.array(found, pa.bool_())
+
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
         for known in made:
             wanted = wanted.join(known.select("id"), "id", "left_anti")
         wanted = materialize(wanted, "wanted")
-        sets = texts.join(broadcast_if_few(wanted), "id", "left_semi").select(
-            "id", gram_set(text, n_gram).alias("grams")
-        )
-        made.append(materialize(sets, "sets"))
-        grams = functools.reduce(DataFrame.unionAll, made)
-        left = grams.select("id", F.col("grams").alias("a"))
-        right = grams.select(F.col("id").alias("leader"), F.col("grams").alias("b"))
+        met = texts.join(broadcast_if_few(wanted), "id", "left_semi").select("id", text)
+        made.append(materialize(met, "met-texts"))
+        of = functools.reduce(DataFrame.unionAll, made)
+        left = of.select("id", F.col(text).alias("a"))
+        right = of.select(F.col("id").alias("leader"), F.col(text).alias("b"))
         both = join_dealing_hot_keys(pairs, left, "id", "leader", hot_keys(pairs, "id"))
         both = join_dealing_hot_keys(
             both, right, "leader", "id", hot_keys(pairs, "leader")
         )
-        alike = both.where(jaccard("a", "b") >= F.lit(threshold))
-        return materialize(alike.select("id", "leader"), "alike")
+        compared = both.select("id", "leader", alike.asNondeterministic()("a", "b").alias("alike"))
+        return materialize(compared.where("alike").select("id", "leader"), "alike")
 
     return similar
 
 
+# Gram sets that are kept while a slice of pairs is compared.
+_KNOWN = 64
+
+
 def settle_in_blocks(
-    lists: DataFrame, similar: Similar, *, threshold: float, block: int = BLOCK
+    lists: DataFrame,
+    similar: Similar,
+    *,
+    threshold: float,
+    block: int = BLOCK,
+    meetings: Meetings | None = None,
 ) -> Settled:
     """The keep rule over (id, list, guest, size, place), in rounds until all is decided.
 
-    `guest`, `size` and `place` may be null: such rows meet everyone in their lists.
+    `guest`, `size` and `place` may be null: such rows meet everyone in their lists, unless
+    `meetings` picks out who does.
     """
-    meetings = functools.partial(_meetings, threshold=threshold)
+    meetings = meetings or functools.partial(_meetings, threshold=threshold)
     lists = materialize(lists, "lists")
     sizes = lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     shared = join_splitting_hot_keys(lists, sizes, "list", lists.count()).drop("n")
@@ -210,7 +319,7 @@ def _settle_block(
     undecided: DataFrame,
     degrees: DataFrame,
     similar: Similar,
-    meetings: Callable[[DataFrame, DataFrame, int], DataFrame],
+    meetings: Meetings,
     block: int,
     total: int,
 ) -> DataFrame:

@@ -166,3 +166,21 @@ def test_ids_rise_with_the_rank(spark):
 def test_empty_table(spark):
     found = near_dup.find_near_duplicates(spark.createDataFrame([], TEXTS), exact=True)
     assert found.dropped.count() == 0 and found.rounds == 0
+
+
+def test_parities_rule_out_unlike_rows_and_no_similar_one(spark):
+    """Texts of the same few words share most lists of an index of grams, and none is alike."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(120)]
+    texts += [t[: len(t) - rng.randrange(80)] + "xyz" for t in texts[:30]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, t string")
+    sized = similar.sized(df, text="t", threshold=0.8, n_gram=5)
+    assert max(len(r["bits"]) * 8 for r in sized.collect()) <= 2048
+    lists = similar.size_lists(sized)
+    met = similar.by_parities(sized, threshold=0.8)(lists, lists, 0)
+    pairs = {(r["id"], r["leader"]) for r in met.collect()}
+    sets = [grams(t, 5) for t in texts]
+    links = {(a, b) for a in range(150) for b in range(a) if alike(sets[a], sets[b], 0.8)}
+    assert links and links <= pairs
+    assert len(pairs) <= 2 * len(links)
