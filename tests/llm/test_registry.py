@@ -5,10 +5,11 @@ import re
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import public_tokenizers
-from labelloom.llm import oracle, queries
+from labelloom.llm import oracle, queries, sentencepiece_codec
 from tests.check_oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -73,5 +74,23 @@ def test_piece_query_equals_the_library(spark, database):
         assert row["decoded_sha256"] == digest(library.decode(ids))
 
 
+def test_piece_query_aligns_every_piece(spark, tmp_path):
+    texts = ["naïve  café", "", None, "\u00e9\U0001F600 x\n\ty"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        codec = sentencepiece_codec.codec(file.read())
+    rows = []
+    for doc_id, text in enumerate(texts):
+        _, starts, ends = codec.encode(text or "")
+        rows.append((doc_id, starts.tolist(), ends.tolist()))
+    spans = spark.createDataFrame(rows, "doc_id bigint, starts array<int>, ends array<int>")
+    want = spans.select("doc_id", F.xxhash64("starts", "ends").alias("h"))
+    got = OWN["op7_sentencepiece"](spark, str(tmp_path))
+    assert {(r["doc_id"], r["spans_hash"]) for r in got.collect()} == {
+        (r["doc_id"], r["h"]) for r in want.collect()
+    }
+
+
 def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
