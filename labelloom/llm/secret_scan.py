@@ -13,8 +13,9 @@
    sets the temperature of the softmax and, for each kind, the highest threshold that keeps
    `RECALL` of the held-out findings (never below even odds).
 
-The sample is bounded: findings of about `SAMPLE_DOCS` documents, at most `PER_KIND` of each
-kind and `NEGATIVES` others. All weights are multiples of 1/1024, so that sums are the same
+`find_secrets` learns from every finding of every document, in parts whose weights are
+averaged (`fit_all`). `fit` learns in one task, from the bounded sample of `label_findings`:
+about `SAMPLE_DOCS` documents, at most `PER_KIND` of each kind and `NEGATIVES` others. All weights are multiples of 1/1024, so that sums are the same
 in any order and a score depends on nothing but its window.
 
 Defined cases: a null text is the empty one and has no findings; null and repeated ids and
@@ -54,6 +55,12 @@ FILTERS, REACH = 16, 5
 _STEP = 1024.0
 _EPOCHS, _BATCH, _RATE, _SHRINK = 10, 128, 0.01, 1e-4
 _HELD_OUT = 4
+_TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0)
+# Findings that one task learns from at a time, and rounds of averaging if there are more.
+PART_ROWS = 8192
+_ROUNDS, _ROUND_EPOCHS = 5, 4
+# Weights and losses are summed in whole numbers of this unit.
+_UNITS = float(1 << 20)
 _LEAST_HELD = 5
 # What is drawn over the limits, so that drawing by hash seldom falls short of them.
 _MARGIN = 1.1
@@ -233,15 +240,27 @@ class Network:
             "bias": slope.sum(axis=0),
         }
 
-    def fit(self, codes: np.ndarray, labels: np.ndarray, seed: int = 4) -> None:
-        """Adam over shuffled batches; every class has the same weight in sum."""
+    def fit(
+        self,
+        codes: np.ndarray,
+        labels: np.ndarray,
+        seed: int = 4,
+        *,
+        epochs: int = _EPOCHS,
+        shares: np.ndarray | None = None,
+    ) -> None:
+        """Adam over shuffled batches; every class has the same weight in sum.
+
+        `shares` are the rows of each class, where these are a part of them.
+        """
         rng = np.random.default_rng(seed)
-        shares = np.bincount(labels, minlength=1 + len(RULES))
+        if shares is None:
+            shares = np.bincount(labels, minlength=1 + len(RULES))
         weigh = (len(labels) / np.maximum(shares, 1) / np.count_nonzero(shares))[labels]
         moment = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
-        for _ in range(_EPOCHS):
+        for _ in range(epochs):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), _BATCH):
                 rows = order[at : at + _BATCH]
@@ -312,7 +331,7 @@ def train(codes: np.ndarray, labels: np.ndarray, held_out: np.ndarray) -> Scorer
     z, y = network.logits(codes[held_out]), labels[held_out]
     rows = np.arange(len(y))
     temperature = min(
-        (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0),
+        _TEMPERATURES,
         key=lambda t: -np.log(np.maximum(softmax(z / t)[rows, y], 1e-12)).mean(),
     )
     scorer = Scorer(network, temperature, [])
@@ -421,12 +440,10 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int):
             yield part, _Slice([t or b"" for t in texts])
 
 
-def label_findings(
+def all_findings(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(label, codes) of a bounded sample of documents, each different window once."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 31)) / float(1 << 31)
+    """(label, codes) of all documents, each different window once, written once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in _slices(batches, 0):
@@ -442,14 +459,22 @@ def label_findings(
                 )
                 at += len(codes)
 
-    windows = materialize(
-        docs.where(draw < share)
-        .select(F.col(text_col).alias("text"))
+    return materialize(
+        docs.select(F.col(text_col).alias("text"))
         .mapInArrow(rows, "label int, codes binary")
         .groupBy("codes")
         .agg(F.max("label").alias("label")),
         "windows",
     )
+
+
+def label_findings(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(label, codes) of a bounded sample of documents, for `fit`: one task learns them."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 31)) / float(1 << 31)
+    windows = all_findings(docs.where(draw < share), id_col=id_col, text_col=text_col)
     kept = F.lit(0.0)
     for row in windows.groupBy("label").count().collect():
         part = _limit(row["label"]) * _MARGIN / row["count"]
@@ -493,6 +518,151 @@ def fit(findings: DataFrame) -> Scorer | None:
     return Scorer.loads(trained[0]["model"]) if trained else None
 
 
+def fit_all(windows: DataFrame) -> Scorer | None:
+    """A scorer from every row of `all_findings`: no row is left out and no task has all.
+
+    Rows are dealt by hash to parts of about `PART_ROWS`. In a round every part goes on from
+    the same weights, and their average, weighted by rows, is the next round's start. The
+    temperature and the thresholds come from the held-out findings of all parts. Sums are of
+    whole numbers, so that reruns agree.
+    """
+    total = windows.count()
+    parts = max(1, -(-total // PART_ROWS))
+    place = F.pmod(F.xxhash64("codes"), F.lit(parts)).cast("int")
+    held = F.pmod(F.xxhash64("codes", F.lit(9)), F.lit(_HELD_OUT)) == 0
+    dealt = materialize(
+        windows.select("label", "codes", held.alias("held"), place.alias("part")), "dealt"
+    )
+    counts = {
+        (row["held"], row["label"] > 0): row["count"]
+        for row in dealt.groupBy("held", (F.col("label") > 0).alias("label")).count().collect()
+    }
+    if not all(k in counts for k in ((False, False), (False, True), (True, True))):
+        return None
+    shares = np.zeros(1 + len(RULES))
+    for row in dealt.where("NOT held").groupBy("label").count().collect():
+        # Found runs come a second time, behind another context.
+        shares[row["label"]] = row["count"] * (2 if row["label"] else 1)
+    rounds, epochs = (1, _EPOCHS) if parts == 1 else (_ROUNDS, _ROUND_EPOCHS)
+    network = Network()
+    for number in range(rounds):
+        network = _averaged(dealt, network, shares, epochs, seed=4 + number)
+    return _calibrated(dealt, network.rounded())
+
+
+def _part_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, labels and held-out marks of a part, in the order of their codes, and moved."""
+    rows = rows.sort_by("codes")
+    codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+    labels = rows["label"].to_numpy().astype(np.int64)
+    return _moved(codes, labels, rows["held"].to_numpy())
+
+
+_SUMMED = {"place": np.int32, "weight": np.int64, "n": np.int64}
+
+
+def _averaged(
+    dealt: DataFrame, network: Network, shares: np.ndarray, epochs: int, seed: int
+) -> Network:
+    """The average of what the parts make of the network in some epochs."""
+    start = network.weights
+
+    def one(rows: pa.Table) -> pa.Table:
+        codes, labels, held = _part_of(rows)
+        codes, labels = codes[~held], labels[~held]
+        if not len(labels):
+            return pa.table({name: np.zeros(0, kind) for name, kind in _SUMMED.items()})
+        own = Network()
+        own.weights = {name: values.copy() for name, values in start.items()}
+        own.fit(codes, labels, seed, epochs=epochs, shares=shares)
+        flat = np.concatenate([own.weights[name].ravel() for name in sorted(start)])
+        weight = np.round(flat.astype(np.float64) * _UNITS).astype(np.int64) * len(labels)
+        return pa.table(
+            {
+                "place": np.arange(len(flat), dtype=np.int32),
+                "weight": weight,
+                "n": np.full(len(flat), len(labels), dtype=np.int64),
+            }
+        )
+
+    made = dealt.groupBy("part").applyInArrow(one, "place int, weight bigint, n bigint")
+    totals = made.groupBy("place").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+    rows = sorted(totals.collect())  # a row for each weight, whatever the table holds
+    flat = np.array([row["weight"] / row["n"] / _UNITS for row in rows])
+    other, at = Network(), 0
+    for name in sorted(start):
+        shape = start[name].shape
+        size = int(np.prod(shape))
+        other.weights[name] = flat[at : at + size].reshape(shape).astype(np.float32)
+        at += size
+    return other
+
+
+def _calibrated(dealt: DataFrame, network: Network) -> Scorer:
+    """The temperature and the thresholds from all held-out findings."""
+
+    def losses(rows: pa.Table) -> pa.Table:
+        codes, labels, held = _part_of(rows)
+        z, y = network.logits(codes[held]), labels[held]
+        at = np.arange(len(y))
+        sums = [
+            -np.log(np.maximum(softmax(z / t)[at, y], 1e-12)) * _UNITS if len(y) else np.zeros(0)
+            for t in _TEMPERATURES
+        ]
+        return pa.table(
+            {
+                "place": np.arange(len(sums), dtype=np.int32),
+                "loss": np.array([np.round(x).astype(np.int64).sum() for x in sums], np.int64),
+            }
+        )
+
+    by_part = dealt.groupBy("part").applyInArrow(losses, "place int, loss bigint")
+    summed = by_part.groupBy("place").agg(F.sum("loss").alias("loss")).collect()
+    best = min(summed, key=lambda row: (row["loss"], row["place"]))["place"]
+    scorer = Scorer(network, _TEMPERATURES[best], [])
+    model = scorer.dumps()
+
+    def scores(rows: pa.Table) -> pa.Table:
+        codes, labels, held = _part_of(rows)
+        found = held & (labels > 0)
+        values, _ = Scorer.loads(model).score(codes[found])
+        return pa.table(
+            {
+                "label": labels[found],
+                "score": np.round(values * 1e6).astype(np.int64),
+            }
+        )
+
+    scored = materialize(
+        dealt.groupBy("part").applyInArrow(scores, "label bigint, score bigint"), "scores"
+    )
+    numbers = {row["label"]: row["count"] for row in scored.groupBy("label").count().collect()}
+    for kind in range(1, 1 + len(RULES)):
+        own, n = scored.where(F.col("label") == kind), numbers.get(kind, 0)
+        if n < _LEAST_HELD:
+            own, n = scored, sum(numbers.values())
+        scorer.thresholds.append(max(0.5, _nth(own, int((1 - RECALL) * n)) / 1e6))
+    return scorer
+
+
+def _nth(scored: DataFrame, n: int) -> int:
+    """The score with n scores before it: the thousandth it is in, then the score itself."""
+    bound, low, high = n, 0, 1_000_001
+    for width in (1000, 1):
+        bins = (
+            scored.where(F.col("score").between(low, high - 1))
+            .groupBy(F.expr(f"score div {width}").alias("bin"))
+            .count()
+            .collect()  # at most 1001 rows
+        )
+        for row in sorted(bins):
+            if bound < row["count"]:
+                break
+            bound -= row["count"]
+        low, high = row["bin"] * width, (row["bin"] + 1) * width
+    return low
+
+
 def scan(
     docs: DataFrame, scorer: Scorer | None, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -514,4 +684,4 @@ def scan(
 
 def find_secrets(docs: DataFrame, **columns: str) -> DataFrame:
     """doc_id and findings: those of the rules, and the network's, trained on `docs`."""
-    return scan(docs, fit(label_findings(docs, **columns)), **columns)
+    return scan(docs, fit_all(all_findings(docs, **columns)), **columns)

@@ -237,3 +237,33 @@ def test_query_equals_the_rules_on_whole_tables(spark):
         assert [s for s in spans if not s.startswith("model")] == joined.split(",") * bool(found)
         order = [(int(s.split(":")[1]), [*RULES, "model"].index(s.split(":")[0])) for s in spans]
         assert order == sorted(order)
+
+
+def test_all_findings_are_learned_in_parts(spark, monkeypatch):
+    """No limit of the sample holds, the parts agree on a network, and reruns on its weights."""
+    for name in ("SAMPLE_DOCS", "PER_KIND", "NEGATIVES"):
+        monkeypatch.setattr(secret_scan, name, 3)
+    monkeypatch.setattr(secret_scan, "PART_ROWS", 3000)
+    rows = [(k, text, "x", "y") for k, (text, _) in enumerate(corpus(6, 2100))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    windows = secret_scan.all_findings(docs)
+    each = _Slice([text.encode() for _, text, _, _ in rows])
+    want = {code.tobytes() for block in each.windows.blocks() for code in block}
+    assert {r["codes"] for r in windows.select("codes").collect()} == want
+    first = secret_scan.fit_all(windows)
+    assert first.dumps() == secret_scan.fit_all(windows.repartition(3)).dumps()
+    unseen = corpus(7, hide=True)
+    found = run([t for t, _ in unseen], first)
+    hidden = [(f, t, h) for f, (t, h) in zip(found, unseen) if h is not None]
+    hits = sum(
+        any(t[f["start"] : f["end"]] == h for f in own if f["kind"] == "model")
+        for own, t, h in hidden
+    )
+    assert hits >= 0.8 * len(hidden)
+
+
+def test_the_nth_score_is_found_in_two_looks(spark):
+    values = [random.Random(k).randrange(1_000_001) for k in range(300)] + [1_000_000] * 5
+    scored = spark.createDataFrame([(v,) for v in values], "score bigint")
+    for n in (0, 1, 77, 299, 304):
+        assert secret_scan._nth(scored, n) == sorted(values)[n]
