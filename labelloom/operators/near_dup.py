@@ -164,30 +164,36 @@ def find_near_duplicates(
 
     With `verify`, two rows of a bucket are neighbours only when the exact Jaccard
     similarity of their n-gram sets reaches the threshold; with `exact`, any two rows are.
+    Both read texts several times and write them once, unless `df` is a table that
+    `similar.numbered` has written.
     """
     rank = visiting_rank(seed)
     bands = {"threshold": threshold, "num_perm": num_perm, "n_gram": n_gram}
     if not (verify or exact):
         return greedy_keep(row_buckets(df, text=text, rank=rank, **bands))
-    ranked = similar.in_rank_order(df, rank, text)
+    if similar.NUMBER not in df.columns:
+        df = similar.numbered(df.select("row_id", "priority", text), "texts")
+    ranked = similar.in_rank_order(df, rank, similar.NUMBER)
     alike = {"text": text, "threshold": threshold, "n_gram": n_gram}
     options = {}
     if exact:
-        sized = similar.sized(ranked, **alike)
+        sized = similar.sized(df, ranked=ranked, **alike)
         lists = similar.size_lists(sized)
         options["meetings"] = similar.by_parities(sized, threshold=threshold)
         options["block"] = similar.SIZE_BLOCK
     else:
         nothing = F.lit(None).cast("int")
-        lists = row_buckets(ranked, text=text, rank=F.col("id"), **bands).select(
-            F.col("rank").alias("id"),
-            F.col("bucket").alias("list"),
+        buckets = row_buckets(df, text=text, rank=F.col(similar.NUMBER), **bands)
+        shared = similar.in_shared_lists(buckets.toDF(similar.NUMBER, "list"))
+        lists = shared.join(ranked, similar.NUMBER).select(
+            "id",
+            "list",
             F.lit(None).cast("boolean").alias("guest"),
             nothing.alias("size"),
             nothing.alias("place"),
         )
     settled = similar.settle_in_blocks(
-        lists, similar.by_jaccard(ranked, **alike), threshold=threshold, **options
+        lists, similar.by_jaccard(df, ranked, **alike), threshold=threshold, **options
     )
     return NearDuplicates(_with_ranks(settled.decided, ranked), settled.rounds)
 

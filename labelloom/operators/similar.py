@@ -18,8 +18,10 @@ none of them. Undecided rows similar to one that stays are dropped, with that ro
 link. Only pairs with one of these rows are looked at, the block doubles every round, and a
 list of n rows that are all unlike one another is settled in log2(n / block) rounds.
 
-Texts are written once more for the rows that met someone only, and rows with many meetings
-are dealt to many tasks; gram sets are made where two texts have come together.
+Only narrow rows are put in order of rank; texts stay where they were written, and are
+written once more for the rows that met someone. A round moves the texts of its own pairs and
+no others. Rows with many meetings are dealt to many tasks; gram sets are made where two texts
+have come together.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from pyspark.sql import types as T
 from labelloom.functions.minhash import gram_codes
 from labelloom.functions.text import in_slices
 from labelloom.operators.joins import (
+    FEW_ROWS,
     broadcast_if_few,
     hot_keys,
     join_dealing_hot_keys,
@@ -56,6 +59,9 @@ BLOCK = 64
 # The same where rows meet by size: lists are long, and parities are cheap to compare.
 SIZE_BLOCK = 512
 
+# The column by which a row that has been written is found again.
+NUMBER = "_number"
+
 # Pairs (id, leader) to those of them that are similar.
 Similar = Callable[[DataFrame], DataFrame]
 # Memberships of rows and of leaders, and their number, to pairs (id, leader) of a list.
@@ -70,8 +76,16 @@ class Settled:
     rounds: int
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The frame with a distinct NUMBER for each row, written once where the rows are."""
+    return materialize(df.withColumn(NUMBER, F.monotonically_increasing_id()), name)
+
+
 def in_rank_order(df: DataFrame, rank: Column, *columns: str) -> DataFrame:
-    """(id, rank, columns): ids that rise with the rank, written once."""
+    """(id, rank, columns): ids that rise with the rank, written once.
+
+    Everything is sorted: `columns` should be narrow.
+    """
     ranked = df.select(rank.alias("rank"), *columns).orderBy("rank")
     return materialize(
         ranked.select(F.monotonically_increasing_id().alias("id"), "*"), "ranked"
@@ -111,10 +125,18 @@ _SKETCHED = T.StructType(
 )
 
 
-def sized(df: DataFrame, *, text: str, threshold: float, n_gram: int) -> DataFrame:
+def sized(
+    df: DataFrame,
+    *,
+    text: str,
+    threshold: float,
+    n_gram: int,
+    ranked: DataFrame | None = None,
+) -> DataFrame:
     """(id, size, size_class, bits) of (id, text), written once.
 
-    `bits` has as many parities as the next class up compares.
+    `bits` has as many parities as the next class up compares. With `ranked`, which has id and
+    NUMBER, the rows are (NUMBER, text) and get their id from there.
     """
     starts = size_classes(threshold)
     class_bits = _class_bits([*starts, starts[-1] + 1])
@@ -134,7 +156,10 @@ def sized(df: DataFrame, *, text: str, threshold: float, n_gram: int) -> DataFra
             names=["size", "size_class", "bits"],
         )
 
-    made = df.select("id", sketch.asNondeterministic()(F.col(text)).alias("made"))
+    key = "id" if ranked is None else NUMBER
+    made = df.select(key, sketch.asNondeterministic()(F.col(text)).alias("made"))
+    if ranked is not None:
+        made = made.join(ranked.select("id", NUMBER), NUMBER)
     return materialize(made.select("id", "made.*"), "sized")
 
 
@@ -233,8 +258,13 @@ def _matrix(blobs: pa.ChunkedArray, bits: int) -> np.ndarray:
     return rows.view(np.uint64)
 
 
-def by_jaccard(texts: DataFrame, *, text: str, threshold: float, n_gram: int) -> Similar:
-    """Compares pairs of rows of (id, text) on their whole gram sets."""
+def by_jaccard(
+    texts: DataFrame, ranked: DataFrame, *, text: str, threshold: float, n_gram: int
+) -> Similar:
+    """Compares pairs of rows on their whole gram sets.
+
+    `texts` has NUMBER and the text, `ranked` the id of each NUMBER.
+    """
     made: list[DataFrame] = []
 
     @F.arrow_udf(T.BooleanType())
@@ -255,17 +285,35 @@ def by_jaccard(texts: DataFrame, *, text: str, threshold: float, n_gram: int) ->
                     known.clear()
         return pa.array(found, pa.bool_())
 
+    def texts_of(wanted: DataFrame, leads: bool) -> DataFrame:
+        """(id, text) of one side of the pairs; where they are many, the join picks them out."""
+        of = functools.reduce(DataFrame.unionAll, made).select("id", text)
+        if wanted.count() > FEW_ROWS:
+            return of
+        ids = wanted.where(F.col("leads") == leads).select("id")
+        return of.join(F.broadcast(ids), "id", "left_semi")
+
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
-        for known in made:
-            wanted = wanted.join(known.select("id"), "id", "left_anti")
-        wanted = materialize(wanted, "wanted")
-        met = texts.join(broadcast_if_few(wanted), "id", "left_semi").select("id", text)
+        if pairs.isEmpty():
+            return pairs
+        sides = F.array(
+            F.struct("id", F.lit(False).alias("leads")),
+            F.struct(F.col("leader").alias("id"), F.lit(True).alias("leads")),
+        )
+        wanted = materialize(pairs.select(F.inline(sides)).distinct(), "wanted")
+        fresh = wanted.select("id").distinct()
+        if made:
+            known = functools.reduce(DataFrame.unionAll, made).select("id")
+            fresh = fresh.join(known, "id", "left_anti")
+        fresh = ranked.select("id", NUMBER).join(
+            broadcast_if_few(materialize(fresh, "fresh")), "id"
+        )
+        fresh = materialize(fresh, "fresh-numbers")
+        met = texts.join(broadcast_if_few(fresh), NUMBER).select("id", text)
         made.append(materialize(met, "met-texts"))
-        of = functools.reduce(DataFrame.unionAll, made)
-        left = of.select("id", F.col(text).alias("a"))
-        right = of.select(F.col("id").alias("leader"), F.col(text).alias("b"))
+        left = texts_of(wanted, False).withColumnRenamed(text, "a")
+        right = texts_of(wanted, True).toDF("leader", "b")
         both = join_dealing_hot_keys(pairs, left, "id", "leader", hot_keys(pairs, "id"))
         both = join_dealing_hot_keys(
             both, right, "leader", "id", hot_keys(pairs, "leader")
@@ -280,6 +328,14 @@ def by_jaccard(texts: DataFrame, *, text: str, threshold: float, n_gram: int) ->
 _KNOWN = 64
 
 
+def in_shared_lists(lists: DataFrame) -> DataFrame:
+    """The memberships in lists of two rows or more, written once."""
+    lists = materialize(lists, "lists")
+    sizes = lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    shared = join_splitting_hot_keys(lists, sizes, "list", lists.count()).drop("n")
+    return materialize(shared, "shared")
+
+
 def settle_in_blocks(
     lists: DataFrame,
     similar: Similar,
@@ -294,10 +350,7 @@ def settle_in_blocks(
     `meetings` picks out who does.
     """
     meetings = meetings or functools.partial(_meetings, threshold=threshold)
-    lists = materialize(lists, "lists")
-    sizes = lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    shared = join_splitting_hot_keys(lists, sizes, "list", lists.count()).drop("n")
-    undecided = materialize(shared, "shared")
+    undecided = in_shared_lists(lists)
     total = undecided.count()
     # Memberships of a row; they stay the same until the row is decided.
     degrees = materialize(undecided.groupBy("id").agg(F.count("*").alias("degree")), "degrees")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.ids import with_row_id
 from labelloom.functions.text import length_between, normalize_text
-from labelloom.operators import stats
+from labelloom.operators import similar, stats
 from labelloom.operators.dedup import drop_leaked, exact_dedup, with_priority
 from labelloom.operators.near_dup import (
     NearDuplicates,
@@ -68,11 +68,18 @@ def normalized(
     return named.where(length_between("prompt_norm", min_len, max_len))
 
 
-def deduplicated(raw: DataFrame, settings: BuildSettings = BuildSettings()) -> DataFrame:
-    """Normalised rows, one per text, with `priority` and the group size `copies`."""
+def deduplicated(
+    raw: DataFrame, settings: BuildSettings = BuildSettings(), *, prompt: bool = True
+) -> DataFrame:
+    """Normalised rows, one per text, with `priority` and the group size `copies`.
+
+    Without `prompt`, the text as it came is left out once it is normalised.
+    """
     kept = normalized(
         raw, min_len=settings.min_prompt_len, max_len=settings.max_prompt_len
     )
+    if not prompt:
+        kept = kept.drop("prompt")
     # Written once: who stays is decided on hashes, and the rows are found again by them.
     kept = materialize(kept, "normalized")
     prioritised = with_priority(kept, prefer_label=settings.prefer_label)
@@ -85,7 +92,7 @@ def build_dataset(raw: DataFrame, settings: BuildSettings = BuildSettings()) ->
     The text is shuffled once at most, by the exact dedup, whose result is written to the
     shared folder; near duplicates are decided on narrow rows.
     """
-    exact = materialize(deduplicated(raw, settings), "exact")
+    exact = similar.numbered(deduplicated(raw, settings), "exact")
     near = find_near_duplicates(
         exact,
         threshold=settings.threshold,
@@ -95,7 +102,9 @@ def build_dataset(raw: DataFrame, settings: BuildSettings = BuildSettings()) ->
         exact=settings.exact,
     )
     distinct = materialize(drop_near_duplicates(exact, near), "distinct")
-    unified = drop_leaked(distinct).drop("prompt_norm", "priority", "copies")
+    unified = drop_leaked(distinct).drop(
+        "prompt_norm", "priority", "copies", similar.NUMBER
+    )
     # Written once: the statistics and the saved table both read it.
     unified = materialize(unified, "unified")
     return BuildResult(unified, stage_funnel(raw, exact, distinct, unified), near)

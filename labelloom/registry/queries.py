@@ -22,7 +22,16 @@ from labelloom.functions.text import (
     subtype_priority,
     word_count,
 )
-from labelloom.operators import dedup, metrics, models, near_dup, scoring, splits, stats
+from labelloom.operators import (
+    dedup,
+    metrics,
+    models,
+    near_dup,
+    scoring,
+    similar,
+    splits,
+    stats,
+)
 from labelloom.plans.build import build_dataset, deduplicated, normalized
 from labelloom.plans.split import save_splits
 from labelloom.session import materialize, scratch_path
@@ -73,8 +82,9 @@ def _labelled_documents(
     )
 
 
-def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(_labelled_documents(spark, sf_dir, spread=True))
+def _exact(spark: SparkSession, sf_dir: str, *, prompt: bool = False) -> DataFrame:
+    """One row per text, in most queries without the text as it came."""
+    return deduplicated(_labelled_documents(spark, sf_dir, spread=True), prompt=prompt)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +331,7 @@ def near_dup_keep(spark, sf_dir):
 
 @_query
 def near_dup_keep_verified(spark, sf_dir):
-    exact = materialize(_exact(spark, sf_dir), "exact")
+    exact = similar.numbered(_exact(spark, sf_dir), "exact")
     found = near_dup.find_near_duplicates(exact, verify=True)
     return near_dup.drop_near_duplicates(exact, found).select("row_id", "source", "y")
 
@@ -329,7 +339,7 @@ def near_dup_keep_verified(spark, sf_dir):
 @_query
 def similar_keep(spark, sf_dir):
     """The keep rule over all similar rows, whether or not they share a band."""
-    exact = materialize(_exact(spark, sf_dir), "exact")
+    exact = similar.numbered(_exact(spark, sf_dir), "exact")
     found = near_dup.find_near_duplicates(exact, exact=True)
     return near_dup.drop_near_duplicates(exact, found).select("row_id", "source", "y")
 
@@ -368,7 +378,7 @@ def source_pivot(spark, sf_dir):
 
 @_query
 def length_quantiles(spark, sf_dir):
-    quantiles = stats.length_quantiles(_exact(spark, sf_dir))
+    quantiles = stats.length_quantiles(_exact(spark, sf_dir, prompt=True))
     return quantiles.select(*[F.round(c, 6).alias(c) for c in quantiles.columns])
 
 

@@ -184,3 +184,52 @@ def test_parities_rule_out_unlike_rows_and_no_similar_one(spark):
     links = {(a, b) for a in range(150) for b in range(a) if alike(sets[a], sets[b], 0.8)}
     assert links and links <= pairs
     assert len(pairs) <= 2 * len(links)
+
+
+def test_a_round_moves_the_texts_of_its_own_pairs(spark, monkeypatch):
+    """Several rounds in one bucket: no text is sorted, and none moves without a pair."""
+    texts = [t for t in dict.fromkeys(families(3, 2, 130, length=60))]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], TEXTS)
+    settings = {"threshold": 0.8, "n_gram": 3, "num_perm": 8}
+    moved, written = [], []
+    join, write = similar.join_dealing_hot_keys, similar.materialize
+
+    def watched_join(left, right, key, other, hot):
+        moved.append((right.count(), left.select(key).distinct().count()))
+        return join(left, right, key, other, hot)
+
+    def watched_write(frame, name):
+        if "prompt_norm" in frame.columns:
+            written.append(name)
+        return write(frame, name)
+
+    monkeypatch.setattr(similar, "join_dealing_hot_keys", watched_join)
+    monkeypatch.setattr(similar, "materialize", watched_write)
+    exact = similar.numbered(df, "exact")
+    found = near_dup.find_near_duplicates(exact, verify=True, **settings)
+    assert found.rounds >= 2 and len(moved) > 2
+    assert all(texts == keys for texts, keys in moved)
+    assert set(written) == {"exact", "met-texts"}
+
+    buckets = {}
+    for r in near_dup.row_buckets(df, **settings).select("rank.row_id", "bucket").collect():
+        buckets.setdefault(r["row_id"], set()).add(r["bucket"])
+    rows = by_rank(df)
+    sets = {r["row_id"]: grams(r["prompt_norm"], 3) for r in rows}
+    links = sequential(
+        [r["row_id"] for r in rows],
+        lambda a, b: buckets[a] & buckets[b] and alike(sets[a], sets[b], 0.8),
+    )
+    assert {r["row_id"] for r in found.dropped.collect()} == set(links) and links
+
+
+def test_rows_that_share_a_row_id_are_compared_as_rows(spark):
+    """Rows are found again by number, so that ids that repeat or are null mix up no texts."""
+    base = "".join(chr(97 + i * i % 26) for i in range(300))
+    rows = [(7, 0, base), (7, 0, "unlike " * 30), (8, 0, base + "x"), (None, 0, "q" * 90)]
+    df = spark.createDataFrame(rows, TEXTS)
+    for how in ({"verify": True}, {"exact": True}):
+        found = near_dup.find_near_duplicates(df, **how)
+        decided = [r for r in found.decided.collect() if not r["kept"]]
+        assert len(decided) == 1
+        assert {decided[0]["rank"]["row_id"], decided[0]["leader"]["row_id"]} == {7, 8}
