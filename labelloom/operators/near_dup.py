@@ -175,12 +175,11 @@ def find_near_duplicates(
         df = similar.numbered(df.select("row_id", "priority", text), "texts")
     ranked = similar.in_rank_order(df, rank, similar.NUMBER)
     alike = {"text": text, "threshold": threshold, "n_gram": n_gram}
-    options = {}
+    by_jaccard = similar.by_jaccard(df, ranked, **alike)
     if exact:
         sized = similar.sized(df, ranked=ranked, **alike)
-        lists = similar.size_lists(sized)
-        options["meetings"] = similar.by_parities(sized, threshold=threshold)
-        options["block"] = similar.SIZE_BLOCK
+        meetings = similar.by_parities(sized, threshold=threshold)
+        settled = similar.settle_in_windows(similar.size_lists(sized), by_jaccard, meetings)
     else:
         nothing = F.lit(None).cast("int")
         buckets = row_buckets(df, text=text, rank=F.col(similar.NUMBER), **bands)
@@ -192,9 +191,7 @@ def find_near_duplicates(
             nothing.alias("size"),
             nothing.alias("place"),
         )
-    settled = similar.settle_in_blocks(
-        lists, similar.by_jaccard(df, ranked, **alike), threshold=threshold, **options
-    )
+        settled = similar.settle_in_blocks(lists, by_jaccard, threshold=threshold)
     return NearDuplicates(_with_ranks(settled.decided, ranked), settled.rounds)
 
 

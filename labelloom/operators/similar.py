@@ -1,22 +1,33 @@
 """Exact set similarity among texts: a join without buckets, and a keep rule in blocks.
 
-*Who meets.* Sets are dealt by size: a class ends where a set one gram larger could no longer
-reach the threshold with the class's least, so that similar sets are of one class or of
-neighbouring ones. A set is at home in its own class and a guest in the next one. Sets of two
-sizes that are similar differ in a bounded number of grams (Arasu, Ganti, Kaushik 2006). The
-parities of the numbers of grams in each of 2^k places differ at most as often, so they rule
-pairs out and lose no link, unlike bands of a MinHash signature. They are as long as the set
-has grams, one to two bits each, and are compared in cells of a few thousand rows by as many,
-which Spark deals to its tasks. No gram and no text is shuffled for a pair that they rule out,
-and nothing that grows with the grams is written. Comparing is quadratic in the rows of a
-class, at some words of 64 bits a pair.
+*Who meets.* Sets are dealt to classes by size: a class ends where a set one gram larger
+could no longer reach the threshold with the class's least, so that similar sets are of one
+class or of neighbouring ones. Sets of two sizes that are similar differ in a bounded number
+of grams (Arasu, Ganti, Kaushik 2006). The parities of the numbers of grams in each of 2^k
+places differ at most as often, so they rule pairs out and lose no link, unlike bands of a
+MinHash signature. They are as long as the set has grams, one to two bits each. Rows are cut
+into blocks by size; two blocks whose sizes can be similar are a cell, which Spark deals to a
+task. There a part of the places, as long as the cell's own distances ask for, is compared by
+a product of matrices, and all places for the pairs that are left. No gram and no text is
+shuffled for a pair that they rule out, and nothing that grows with the grams is written.
+Comparing is quadratic in the rows of a class; blocks grow with the rows, so that parities are
+sent to a number of cells that stays the same until blocks are as large as they may be.
 
 *Who stays.* The rule of `near_dup`: by rank, a row is dropped when it is similar to a row
-kept before it. A round takes the first `block` undecided rows of every list. A row that is
-among them in all its lists has met everyone before it there: it stays if it is similar to
-none of them. Undecided rows similar to one that stays are dropped, with that row as their
-link. Only pairs with one of these rows are looked at, the block doubles every round, and a
-list of n rows that are all unlike one another is settled in log2(n / block) rounds.
+kept before it. Undecided rows similar to one that stays are dropped, with that row as their
+link.
+
+In lists (`settle_in_blocks`), a round takes the first `block` undecided rows of every list. A
+row that is among them in all its lists has met everyone before it there: it stays if it is
+similar to none of them. Only pairs with one of these rows are looked at, the block doubles
+every round, and a list of n rows that are all unlike one another is settled in
+log2(n / block) rounds.
+
+Where all rows may meet (`settle_in_windows`), a round takes the first undecided rows of all.
+Each is compared with the few first rows before it that it may be similar to: it stays if it
+is similar to none, and waits for a later round if there are more of them than were looked at.
+So copies of one text are never listed in pairs, and every pair of rows that stay is compared
+once.
 
 Only narrow rows are put in order of rank; texts stay where they were written, and are
 written once more for the rows that met someone. A round moves the texts of its own pairs and
@@ -28,13 +39,13 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,15 +60,21 @@ from labelloom.operators.joins import (
 )
 from labelloom.session import materialize
 
-# Least number of parities of a set, and of a cell's rows and parities on one side the most.
+# Least number of parities of a set.
 LEAST_BITS = 256
-CELL_ROWS, CELL_BITS = 4096, 1 << 27
-# Words of parities that are compared at one time.
-_WORDS = 1 << 20
+# Of a block's rows and parities the most; blocks are smaller where cells would be too few.
+CELL_ROWS, CELL_BITS = 1 << 16, 1 << 27
+LEAST_CELL_ROWS, CELLS_PER_CORE = 2048, 6
+# Pairs of rows for which a task is worth starting.
+TASK_PAIRS = 1 << 22
+# Rows by leaders that are compared at one time, and pairs.
+_ROWS, _LEADERS, _PAIRS = 1024, 2048, 1 << 16
 # First undecided rows of a list that the first round looks at.
 BLOCK = 64
-# The same where rows meet by size: lists are long, and parities are cheap to compare.
-SIZE_BLOCK = 512
+# First undecided rows of all, where rows meet by size, and how fast they grow by the round.
+WINDOW, GROWTH = 1 << 16, 8
+# Earlier rows of a block that a row of the window is compared with in one round.
+EARLIEST = 4
 
 # The column by which a row that has been written is found again.
 NUMBER = "_number"
@@ -65,7 +82,7 @@ NUMBER = "_number"
 # Pairs (id, leader) to those of them that are similar.
 Similar = Callable[[DataFrame], DataFrame]
 # Memberships of rows and of leaders, and their number, to pairs (id, leader) of a list.
-Meetings = Callable[[DataFrame, DataFrame, int], DataFrame]
+Meetings = Callable[..., DataFrame]
 
 
 @dataclass(frozen=True)
@@ -176,86 +193,277 @@ def size_lists(sized_rows: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class _Block:
+    """Rows of one size class that go to a cell together."""
+
+    least: int  # sizes
+    most: int
+    rows: int
+
+
+def _bands(rows: DataFrame) -> DataFrame:
+    """Adds `band`, the size cut to its five leading bits."""
+    step = F.expr("shiftleft(1, greatest(length(bin(size)) - 5, 0))")
+    return rows.withColumn("band", F.col("size") - F.col("size") % step)
+
+
+def _blocks(
+    counted: list[Row], class_bits: np.ndarray, side: int
+) -> tuple[list[_Block], list[tuple[int, int, int, int]]]:
+    """Blocks of at most `side` rows, and (size_class, band, first block, blocks).
+
+    A band with more rows than a block is dealt to several blocks.
+    """
+    blocks: list[_Block] = []
+    places = []
+    before = None
+    for row in sorted(counted, key=lambda r: (r["size_class"], r["band"])):
+        most = min(side, max(1, CELL_BITS // int(class_bits[row["size_class"]])))
+        parts = -(-row["n"] // most)
+        last = blocks[-1] if blocks and before == row["size_class"] else None
+        if parts == 1 and last and last.rows + row["n"] <= most:
+            blocks[-1] = _Block(last.least, row["most"], last.rows + row["n"])
+            places.append((row["size_class"], row["band"], len(blocks) - 1, 1))
+        else:
+            places.append((row["size_class"], row["band"], len(blocks), parts))
+            blocks += [_Block(row["least"], row["most"], -(-row["n"] // parts))] * parts
+        before = row["size_class"]
+    return blocks, places
+
+
+def _cells(
+    blocks: list[_Block], others: list[_Block], threshold: float, same: bool
+) -> list[tuple[int, int]]:
+    """The numbers of two blocks whose sizes can be similar; once if both sides are the same."""
+    cells = []
+    for i, one in enumerate(blocks):
+        for j, other in enumerate(others[: i + 1] if same else others):
+            reach = min(one.most - threshold * other.least, other.most - threshold * one.least)
+            if reach >= -1e-6:
+                cells.append((i, j))
+    return cells
+
+
 def by_parities(sized_rows: DataFrame, *, threshold: float) -> Meetings:
-    """Meetings of rows whose sizes and parities allow that they are similar."""
-    class_bits = _class_bits(size_classes(threshold))
-    bits_of = sized_rows.select("id", "bits")
+    """Meetings of rows whose sizes and parities allow that they are similar.
+
+    Of `rows` and `leaders` only the id is used. With `most`, a row gets so many of the first
+    leaders of a block, and the leader -1 besides if there are more.
+    """
+    class_bits = _class_bits([*(starts := size_classes(threshold)), starts[-1] + 1])
     apart = (1 - threshold) / (1 + threshold)
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, leaders = [], []
+    def compare(left: pa.Table, right: pa.Table, same: bool, most: int) -> pa.Table:
+        found = _Found(most)
         if left.num_rows and right.num_rows:
-            bits = int(class_bits[left["list"][0].as_py() - 1])
-            a, b = _matrix(left["bits"], bits), _matrix(right["bits"], bits)
-            id_a, id_b = left["id"].to_numpy(), right["id"].to_numpy()
-            size_a, size_b = left["size"].to_numpy(), right["size"].to_numpy()
-            guest_a, guest_b = (x["guest"].to_numpy() for x in (left, right))
-            step = max(1, _WORDS // a.size)
-            for k in range(0, len(b), step):
-                part = slice(k, k + step)
-                both = size_a[:, None] + size_b[None, part]
-                far = np.bitwise_count(a[:, None, :] ^ b[None, part, :]).sum(
-                    axis=2, dtype=np.int32
-                )
-                close = (far <= both * apart + 1e-6) & (id_a[:, None] > id_b[None, part])
-                i, j = np.nonzero(close & ~(guest_a[:, None] & guest_b[None, part]))
-                ids.append(id_a[i])
-                leaders.append(id_b[part][j])
-        made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, leaders)]
-        return pa.table({"id": made[0], "leader": made[1]})
-
-    def meetings(rows: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
-        rows, leaders = materialize(rows, "rows"), materialize(leaders, "met")
-        numbers = {}
-        for side in (rows, leaders):  # a row for each size class
-            for row in side.groupBy("list").count().collect():
-                numbers.setdefault(row["list"], []).append(row["count"])
-        parts = {}
-        for name, counts in numbers.items():
-            most = min(CELL_ROWS, max(1, CELL_BITS // int(class_bits[name - 1])))
-            if len(counts) == 2:
-                parts[name] = [-(-n // most) for n in counts]
-        if not parts:
-            return rows.select("id", F.col("id").alias("leader")).limit(0)
-        spark = rows.sparkSession
-        lists = F.broadcast(
-            spark.createDataFrame(
-                [(name, *counts) for name, counts in parts.items()],
-                "list int, row_parts int, leader_parts int",
+            a, b = _Side.of(left), _Side.of(right)
+            bits = min(a.bits, b.bits, 1 << (max(a.size.max(), b.size.max()) - 1).item().bit_length())
+            a, b = a.folded(max(bits, LEAST_BITS)), b.folded(max(bits, LEAST_BITS))
+            # Two blocks of the same rows are compared once, whichever row is the first.
+            either = same and not np.array_equal(a.id, b.id)
+            for i, j in _close(a, b, apart, either):
+                small, large = np.minimum(a.size[i], b.size[j]), np.maximum(a.size[i], b.size[j])
+                ok = small >= threshold * large - 1e-6
+                ids, leaders = a.id[i[ok]], b.id[j[ok]]
+                if either:
+                    ids, leaders = np.maximum(ids, leaders), np.minimum(ids, leaders)
+                found.add(ids, leaders)
+        return found.table()
+
+    def meetings(
+        rows: DataFrame, leaders: DataFrame, total: int, most: int = 0
+    ) -> DataFrame:
+        spark, same = rows.sparkSession, rows is leaders
+
+        def side(frame: DataFrame) -> tuple[DataFrame, list[Row]]:
+            ids = broadcast_if_few(materialize(frame.select("id").distinct(), "ids"))
+            banded = _bands(sized_rows.join(ids, "id"))
+            counted = banded.groupBy("size_class", "band").agg(
+                F.count("*").alias("n"),
+                F.min("size").alias("least"),
+                F.max("size").alias("most"),
             )
-        )
-        cells = min(
-            sum(a * b for a, b in parts.values()), 8 * spark.sparkContext.defaultParallelism
-        )
+            return banded, counted.collect()  # some rows for each size class
+
+        left, left_counts = side(rows)
+        right, right_counts = (left, left_counts) if same else side(leaders)
+        cores, largest = spark.sparkContext.defaultParallelism, CELL_ROWS
+        while True:
+            blocks, places = _blocks(left_counts, class_bits, largest)
+            others, other_places = _blocks(right_counts, class_bits, largest)
+            cells = _cells(blocks, others, threshold, same)
+            if len(cells) >= CELLS_PER_CORE * cores or largest <= LEAST_CELL_ROWS:
+                break
+            largest //= 2
+        if not cells:
+            return rows.select("id", F.col("id").alias("leader")).limit(0)
+
+        pairs = sum(blocks[i].rows * others[j].rows for i, j in cells)
+        tasks = min(len(cells), 8 * cores, 1 + pairs // TASK_PAIRS)
 
-        def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-            columns = ("list", "row_part", "leader_part")
+        def dealt(frame: DataFrame, places: list, column: int) -> DataFrame:
+            of: dict[int, list[int]] = {}
+            for cell, numbers in enumerate(cells):
+                of.setdefault(numbers[column], []).append(cell)
+            place = spark.createDataFrame(
+                places, "size_class int, band int, first int, parts int"
+            )
+            cells_of = spark.createDataFrame(list(of.items()), "block int, cells array<int>")
+            part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
             return (
-                side.join(lists, "list")
-                .join(bits_of.toDF("id", "bits"), "id")
-                .withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-                .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-                .select("id", "guest", "size", "bits", *columns)
-                .repartition(cells, *columns)
-                .groupBy(*columns)
+                frame.join(F.broadcast(place), ["size_class", "band"])
+                .withColumn("block", F.col("first") + part)
+                .join(F.broadcast(cells_of), "block")
+                .select("id", "size", "bits", F.explode("cells"))
+                .toDF("id", "size", "bits", "cell")
+                .repartition(tasks, "cell")
+                .groupBy("cell")
             )
 
-        left = dealt(rows, "row_parts", "leader_parts", "row_part", "leader_part")
-        right = dealt(leaders, "leader_parts", "row_parts", "leader_part", "row_part")
-        return left.cogroup(right).applyInArrow(compare, "id bigint, leader bigint").distinct()
+        met = dealt(left, places, 0).cogroup(dealt(right, other_places, 1))
+        return met.applyInArrow(
+            lambda a, b: compare(a, b, same, most), "id bigint, leader bigint"
+        )
 
     return meetings
 
 
-def _matrix(blobs: pa.ChunkedArray, bits: int) -> np.ndarray:
-    """Parities as rows of 64-bit words, folded to `bits` where they are more."""
-    held = blobs.to_pylist()
-    rows = np.zeros((len(held), bits // 8), dtype=np.uint8)
-    for i, blob in enumerate(held):
-        rows[i] = np.bitwise_xor.reduce(
-            np.frombuffer(blob, np.uint8).reshape(-1, bits // 8), axis=0
+@dataclass(frozen=True)
+class _Side:
+    """The rows of a block by id, with parities in words of 64 bits."""
+
+    id: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Side:
+        blobs = table["bits"].combine_chunks()
+        blobs = blobs.chunk(0) if isinstance(blobs, pa.ChunkedArray) else blobs
+        ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset :][: len(blobs) + 1]
+        held = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        # Rows of one size class have parities in as many places.
+        words = held.reshape(len(blobs), -1)
+        ids = table["id"].to_numpy()
+        order = np.argsort(ids)
+        words = np.ascontiguousarray(words[order]).view(np.uint64)
+        return cls(ids[order], table["size"].to_numpy()[order].astype(np.int64), words)
+
+    @property
+    def bits(self) -> int:
+        return self.words.shape[1] * 64
+
+    def folded(self, bits: int) -> _Side:
+        halves = self.words.reshape(len(self.words), -1, bits // 64)
+        return _Side(self.id, self.size, np.bitwise_xor.reduce(halves, axis=1))
+
+    def signs(self, rows: slice, bits: int, *more: np.ndarray | float) -> np.ndarray:
+        """1 and -1 for the parities in the first places, and further columns."""
+        words = np.ascontiguousarray(self.words[rows, : -(-bits // 64)])
+        made = np.empty((len(words), bits + len(more)), np.float32)
+        made[:, :bits] = np.unpackbits(words.view(np.uint8), axis=1, count=bits)
+        made[:, :bits] *= 2
+        made[:, :bits] -= 1
+        for k, column in enumerate(more):
+            made[:, bits + k] = column
+        return made
+
+
+class _Found:
+    """Pairs (id, leader), of each id at most the `most` first leaders if it is not 0."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.pairs = [np.zeros((2, 0), np.int64)]
+        self.held, self.limit = 0, _PAIRS
+        self.more = np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, leaders: np.ndarray) -> None:
+        self.pairs.append(np.stack([ids, leaders]))
+        self.held += len(ids)
+        if self.most and self.held > self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        ids, leaders = np.concatenate(self.pairs, axis=1)
+        order = np.lexsort((leaders, ids))
+        ids, leaders = ids[order], leaders[order]
+        turn = np.arange(len(ids)) - np.searchsorted(ids, ids)
+        few = turn < self.most
+        self.more = np.union1d(self.more, ids[~few])
+        self.pairs = [np.stack([ids[few], leaders[few]])]
+        self.held = int(few.sum())
+        self.limit = max(_PAIRS, 2 * self.held)
+
+    def table(self) -> pa.Table:
+        if self.most:
+            self.cut()
+        ids, leaders = np.concatenate(self.pairs, axis=1)
+        none = np.full(len(self.more), -1)
+        return pa.table(
+            {
+                "id": np.concatenate([ids, self.more]),
+                "leader": np.concatenate([leaders, none]),
+            }
         )
-    return rows.view(np.uint64)
+
+
+def _close(
+    a: _Side, b: _Side, apart: float, either: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of rows that differ in no more places than similar ones of their sizes can.
+
+    Unless `either` of them may be the first, the row of `b` is.
+    """
+    few_a, few_b, bits = _screen(a, b, apart)
+    # The product of two rows with their last columns is what the distance lacks, twice.
+    slack = 0.5 + 1e-6 * (bits + a.size.max() + b.size.max())
+    product = np.empty((_ROWS, _LEADERS), np.float32)
+    left = np.empty(product.shape, bool)
+    for k in range(0, len(b.id), _LEADERS):
+        leaders = few_b.signs(slice(k, k + _LEADERS), bits, 1, 2 * apart * b.size[k : k + _LEADERS])
+        for n in range(0, len(a.id), _ROWS):
+            if not either and a.id[n : n + _ROWS][-1] <= b.id[k]:
+                continue
+            rows = few_a.signs(slice(n, n + _ROWS), bits, 2 * apart * a.size[n : n + _ROWS], 1)
+            shape = len(rows), len(leaders)
+            sums = np.matmul(rows, leaders.T, out=product.ravel()[: shape[0] * shape[1]].reshape(shape))
+            near = np.greater_equal(sums, bits - slack, out=left.ravel()[: sums.size].reshape(shape))
+            for at in _slices(np.flatnonzero(near)):
+                i, j = np.divmod(at, shape[1])
+                i, j = i + n, j + k
+                if not either:
+                    after = a.id[i] > b.id[j]
+                    i, j = i[after], j[after]
+                far = np.bitwise_count(a.words[i] ^ b.words[j]).sum(axis=1, dtype=np.int64)
+                ok = far <= (a.size[i] + b.size[j]) * apart + 1e-6
+                yield i[ok], j[ok]
+
+
+def _slices(found: np.ndarray) -> Iterator[np.ndarray]:
+    for start in range(0, len(found), _PAIRS):
+        yield found[start : start + _PAIRS]
+
+
+def _screen(a: _Side, b: _Side, apart: float) -> tuple[_Side, _Side, int]:
+    """Both sides folded, and how many places at least tell most unlike rows apart.
+
+    Found from pairs of the two blocks: it decides the time it takes, not what is found.
+    """
+    limit = apart * int(a.size.max() + b.size.max())
+    best = a, b, a.bits
+    while True:
+        some_a, some_b = (x.words[:: -(-len(x.words) // 64)] for x in (a, b))
+        far = np.bitwise_count(some_a[:, None] ^ some_b[None]).sum(axis=2, dtype=np.int64)
+        share = float(np.quantile(far, 0.05)) / a.bits
+        places = np.arange(32, a.bits, 32)
+        enough = places * share - 3.3 * np.sqrt(places * share * (1 - share)) >= limit
+        if enough.any() and places[enough.argmax()] < best[2]:
+            best = a, b, int(places[enough.argmax()])
+        if a.bits <= LEAST_BITS:
+            return best
+        a, b = a.folded(a.bits // 2), b.folded(b.bits // 2)
 
 
 def by_jaccard(
@@ -368,6 +576,50 @@ def settle_in_blocks(
     return Settled(functools.reduce(DataFrame.unionAll, outcomes), rounds)
 
 
+def settle_in_windows(
+    lists: DataFrame, similar: Similar, meetings: Meetings, *, window: int = WINDOW
+) -> Settled:
+    """The keep rule over all rows that share a list, whatever lists they are in."""
+    undecided = materialize(in_shared_lists(lists).select("id").distinct(), "undecided")
+    left = undecided.count()
+    outcomes, rounds = [], 0
+    while left:
+        outcome = _settle_window(undecided, left, similar, meetings, window)
+        rest = undecided.join(outcome.select("id"), "id", "left_anti")
+        undecided = materialize(rest, "undecided")
+        left = undecided.count()
+        outcomes.append(outcome)
+        window *= GROWTH
+        rounds += 1
+    if not outcomes:
+        empty = undecided.select("id", F.lit(True).alias("kept"), F.col("id").alias("leader"))
+        return Settled(empty, 0)
+    return Settled(functools.reduce(DataFrame.unionAll, outcomes), rounds)
+
+
+def _settle_window(
+    undecided: DataFrame, left: int, similar: Similar, meetings: Meetings, window: int
+) -> DataFrame:
+    """(id, kept, leader) of the rows that this round decides; the first row is one."""
+    first = undecided
+    if left > window:
+        cut = undecided.agg(F.percentile_approx("id", window / left, 10000)).first()[0]
+        first = materialize(undecided.where(F.col("id") <= cut), "first")
+    met = materialize(meetings(first, first, left, EARLIEST), "met")
+    before = similar(met.where("leader >= 0"))
+    # A row with more rows before it than it was compared with is not settled yet.
+    waiting = before.select("id").unionAll(met.where("leader < 0").select("id")).distinct()
+    kept = materialize(first.join(waiting, "id", "left_anti"), "kept")
+    links = similar(meetings(undecided.join(kept, "id", "left_anti"), kept, left))
+    dropped = links.groupBy("id").agg(F.min("leader").alias("leader"))
+    return materialize(
+        kept.select("id", F.lit(True).alias("kept"), F.col("id").alias("leader")).unionAll(
+            dropped.select("id", F.lit(False).alias("kept"), "leader")
+        ),
+        "outcome",
+    )
+
+
 def _settle_block(
     undecided: DataFrame,
     degrees: DataFrame,

@@ -233,3 +233,79 @@ def test_rows_that_share_a_row_id_are_compared_as_rows(spark):
         decided = [r for r in found.decided.collect() if not r["kept"]]
         assert len(decided) == 1
         assert {decided[0]["rank"]["row_id"], decided[0]["leader"]["row_id"]} == {7, 8}
+
+
+def test_rows_meet_in_one_round_and_copies_with_few_others(spark, monkeypatch):
+    """400 copies among 1000 rows of one size: no listing of their pairs, and no round a block."""
+    rng = random.Random(4)
+    base = [rng.choice("abcdefgh ") for _ in range(300)]
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(600)]
+    for i in range(400):
+        texts.append("".join([*base[: i % 300], chr(0x4E00 + i), *base[i % 300 + 1 :]]))
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], TEXTS)
+    asked, by_jaccard = [], similar.by_jaccard
+
+    def watched(*args, **settings):
+        whole = by_jaccard(*args, **settings)
+
+        def compared(pairs):
+            asked.append(pairs.count())
+            return whole(pairs)
+
+        return compared
+
+    monkeypatch.setattr(similar, "by_jaccard", watched)
+    found = near_dup.find_near_duplicates(df, exact=True)
+    rows = [r["row_id"] for r in by_rank(df)]
+    first = next(r for r in rows if r >= 600)
+    assert {r["dropped_id"]: r["kept_id"] for r in found.listing().collect()} == {
+        r: first for r in range(600, 1000) if r != first
+    }
+    assert found.rounds == 1
+    assert sum(asked) <= (similar.EARLIEST + 1) * 400
+
+
+def test_rows_with_more_rows_before_them_than_are_compared_wait(spark):
+    """One place in the order after another is decided, whatever the others turn out to be."""
+    n = 40
+    lists = frame(spark, {i: {0} for i in range(n)})
+
+    def all_meet(rows, leaders, total, most=0):
+        ids = sorted(r["id"] for r in rows.select("id").collect())
+        others = sorted(r["id"] for r in leaders.select("id").collect())
+        pairs = []
+        for i in ids:
+            before = [j for j in others if j < i]
+            pairs += [(i, j) for j in (before[:most] if most else before)]
+            pairs += [(i, -1)] if most and len(before) > most else []
+        return spark.createDataFrame(pairs, "id bigint, leader bigint")
+
+    def alike(pairs):
+        return pairs.where((F.col("id") - F.col("leader")) % 7 == 0)
+
+    settled = similar.settle_in_windows(lists, alike, all_meet, window=8)
+    got = {r["id"]: r["leader"] for r in settled.decided.collect() if not r["kept"]}
+    assert got == {i: i % 7 for i in range(7, n)}
+    assert settled.decided.where("kept").count() == 7
+
+
+def test_blocks_cut_by_size_meet_all_similar_rows(spark, monkeypatch):
+    """Blocks of a few rows, and bands of more rows than a block: every link is met once."""
+    monkeypatch.setattr(similar, "CELL_ROWS", 16)
+    texts = list(dict.fromkeys(families(7, 20, 9) + families(8, 8, 9, length=40)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, t string")
+    sized = similar.sized(df, text="t", threshold=0.8, n_gram=3)
+    lists = similar.size_lists(sized)
+    meet = similar.by_parities(sized, threshold=0.8)
+    sets = [grams(t, 3) for t in texts]
+    n = len(texts)
+    links = {(a, b) for a in range(n) for b in range(a) if alike(sets[a], sets[b], 0.8)}
+    every = [(r["id"], r["leader"]) for r in meet(lists, lists, 0).collect()]
+    assert links <= set(every) and len(every) == len(set(every))
+    even = meet(lists.where("id % 2 = 1"), lists.where("id % 2 = 0"), 0)
+    some = [(r["id"], r["leader"]) for r in even.collect()]
+    assert {(a, b) for a, b in links if a % 2 and not b % 2} <= set(some)
+    assert all(a > b and a % 2 and not b % 2 for a, b in some) and len(some) == len(set(some))
+    few = [(r["id"], r["leader"]) for r in meet(lists, lists, 0, 2).collect()]
+    cut = {a for a, b in few if b < 0}
+    assert {(a, b) for a, b in every if a not in cut} <= set(few)
