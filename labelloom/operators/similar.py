@@ -6,12 +6,16 @@ class or of neighbouring ones. Sets of two sizes that are similar differ in a bo
 of grams (Arasu, Ganti, Kaushik 2006). The parities of the numbers of grams in each of 2^k
 places differ at most as often, so they rule pairs out and lose no link, unlike bands of a
 MinHash signature. They are as long as the set has grams, one to two bits each. Rows are cut
-into blocks by size; two blocks whose sizes can be similar are a cell, which Spark deals to a
-task. There a part of the places, as long as the cell's own distances ask for, is compared by
-a product of matrices, and all places for the pairs that are left. No gram and no text is
-shuffled for a pair that they rule out, and nothing that grows with the grams is written.
-Comparing is quadratic in the rows of a class; blocks grow with the rows, so that parities are
-sent to a number of cells that stays the same until blocks are as large as they may be.
+into blocks by size and leanings; two blocks in which these allow a similar pair are a cell,
+which Spark deals to a task. A leaning is a sum over the grams of +1 or -1, so that similar
+sets differ as little in it as in their grams. Which grams lean which way is learned from a
+bounded sample (`leanings`), so that rows of another language or kind lie far apart; how
+well it is learned decides how many blocks meet, and never what is found. In a cell a part
+of the places, as long as the cell's own distances ask for, is compared by a product of
+matrices, and all places for the pairs that are left. No gram and no text is shuffled for a
+pair that they rule out, and nothing that grows with the grams is written. Comparing is
+quadratic in the rows of a class; blocks grow with the rows, so that parities are sent to a
+number of cells that stays the same until blocks are as large as they may be.
 
 *Who stays.* The rule of `near_dup`: by rank, a row is dropped when it is similar to a row
 kept before it. Undecided rows similar to one that stays are dropped, with that row as their
@@ -65,6 +69,9 @@ LEAST_BITS = 256
 # Of a block's rows and parities the most; blocks are smaller where cells would be too few.
 CELL_ROWS, CELL_BITS = 1 << 16, 1 << 27
 LEAST_CELL_ROWS, CELLS_PER_CORE = 2048, 6
+# Leanings of a set, the places of its grams that they are sums over, and the rows that tell
+# which way a place leans.
+LEANINGS, LEAN_PLACES, LEAN_SAMPLE = 4, 1 << 14, 512
 # Pairs of rows for which a task is worth starting.
 TASK_PAIRS = 1 << 22
 # Rows by leaders that are compared at one time, and pairs.
@@ -132,12 +139,38 @@ def parities(grams: np.ndarray, bits: int) -> bytes:
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1 == 1).tobytes()
 
 
+def _lean_places(grams: np.ndarray) -> np.ndarray:
+    mixed = (grams ^ (grams >> np.uint64(29))) * _MIX
+    return ((mixed >> np.uint64(24)) & np.uint64(LEAN_PLACES - 1)).astype(np.int64)
+
+
+def leanings(df: DataFrame, *, text: str, n_gram: int) -> np.ndarray:
+    """+1 or -1 for each place by leaning: the signs of the sample's principal components.
+
+    The sample is of at most LEAN_SAMPLE texts, of which the first characters are read.
+    """
+    share = LEAN_SAMPLE / max(1, df.count())
+    order = F.xxhash64(F.lit(3), text)
+    some = df.where(F.pmod(order, F.lit(1 << 20)) < F.lit(min(1.0, 2 * share) * (1 << 20)))
+    texts = some.orderBy(order).limit(LEAN_SAMPLE).select(F.substring(text, 1, 20000)).collect()
+    rows = np.zeros((max(1, len(texts)), LEAN_PLACES), dtype=np.float32)
+    for i, (value,) in enumerate(texts):
+        rows[i] = np.bincount(_lean_places(gram_codes(value or "", n_gram)), minlength=LEAN_PLACES)
+        rows[i] /= np.linalg.norm(rows[i])
+    rows -= rows.mean(axis=0)
+    _, vectors = np.linalg.eigh((rows @ rows.T).astype(np.float64))
+    made = vectors[:, ::-1][:, :LEANINGS].T.astype(np.float32) @ rows
+    made = np.vstack([made, np.zeros((LEANINGS - len(made), LEAN_PLACES), np.float32)])
+    return np.where(made < 0, -1, 1).astype(np.int8)
+
+
 _MIX = np.uint64(0x9E6C63D0676A9A99)
 _SKETCHED = T.StructType(
     [
         T.StructField("size", T.IntegerType()),
         T.StructField("size_class", T.IntegerType()),
         T.StructField("bits", T.BinaryType()),
+        T.StructField("lean", T.ArrayType(T.IntegerType())),
     ]
 )
 
@@ -150,17 +183,18 @@ def sized(
     n_gram: int,
     ranked: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, size, size_class, bits) of (id, text), written once.
+    """(id, size, size_class, bits, lean) of (id, text), written once.
 
     `bits` has as many parities as the next class up compares. With `ranked`, which has id and
     NUMBER, the rows are (NUMBER, text) and get their id from there.
     """
     starts = size_classes(threshold)
     class_bits = _class_bits([*starts, starts[-1] + 1])
+    signs = leanings(df, text=text, n_gram=n_gram)
 
     @F.arrow_udf(_SKETCHED)
     def sketch(texts: pa.Array) -> pa.Array:
-        sizes, classes, bits = [], [], []
+        sizes, classes, bits, lean = [], [], [], []
         for value in chain.from_iterable(part.to_pylist() for part in in_slices(texts)):
             grams = gram_codes(value or "", n_gram)
             own = int(np.searchsorted(starts, len(grams), "right"))
@@ -168,9 +202,15 @@ def sized(
             classes.append(own)
             # Class numbers begin at 1: this is the next class.
             bits.append(parities(grams, int(class_bits[own])))
+            lean.append(signs[:, _lean_places(grams)].sum(axis=1, dtype=np.int32))
         return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int32()), pa.array(classes, pa.int32()), pa.array(bits, pa.binary())],
-            names=["size", "size_class", "bits"],
+            [
+                pa.array(sizes, pa.int32()),
+                pa.array(classes, pa.int32()),
+                pa.array(bits, pa.binary()),
+                pa.array(lean, pa.list_(pa.int32())),
+            ],
+            names=["size", "size_class", "bits", "lean"],
         )
 
     key = "id" if ranked is None else NUMBER
@@ -199,54 +239,81 @@ class _Block:
 
     least: int  # sizes
     most: int
+    low: np.ndarray  # leanings
+    high: np.ndarray
     rows: int
 
 
-def _bands(rows: DataFrame) -> DataFrame:
-    """Adds `band`, the size cut to its five leading bits."""
+def _banded(rows: DataFrame, apart: float) -> DataFrame:
+    """Adds `band`: the size cut to its five leading bits, and leanings in steps of that size."""
     step = F.expr("shiftleft(1, greatest(length(bin(size)) - 5, 0))")
-    return rows.withColumn("band", F.col("size") - F.col("size") % step)
+    cut = F.col("size") - F.col("size") % step
+    wide = F.greatest(F.lit(1.0), cut * F.lit(3 * apart))
+    steps = F.transform("lean", lambda x: F.round(x / wide).cast("int").cast("string"))
+    return rows.withColumn(
+        "band", F.concat_ws("/", steps, F.lpad(cut.cast("string"), 10, "0"))
+    )
 
 
 def _blocks(
     counted: list[Row], class_bits: np.ndarray, side: int
-) -> tuple[list[_Block], list[tuple[int, int, int, int]]]:
+) -> tuple[list[_Block], list[tuple[int, str, int, int]]]:
     """Blocks of at most `side` rows, and (size_class, band, first block, blocks).
 
-    A band with more rows than a block is dealt to several blocks.
+    A band with more rows than a block is dealt to several blocks. Bands of other leanings
+    only share a block if it stays small.
     """
     blocks: list[_Block] = []
     places = []
     before = None
     for row in sorted(counted, key=lambda r: (r["size_class"], r["band"])):
         most = min(side, max(1, CELL_BITS // int(class_bits[row["size_class"]])))
+        kind = row["size_class"], row["band"].rpartition("/")[0]
+        low, high = np.array(row["low"]), np.array(row["high"])
+        least, largest = row["least"], row["most"]
         parts = -(-row["n"] // most)
-        last = blocks[-1] if blocks and before == row["size_class"] else None
-        if parts == 1 and last and last.rows + row["n"] <= most:
-            blocks[-1] = _Block(last.least, row["most"], last.rows + row["n"])
-            places.append((row["size_class"], row["band"], len(blocks) - 1, 1))
-        else:
-            places.append((row["size_class"], row["band"], len(blocks), parts))
-            blocks += [_Block(row["least"], row["most"], -(-row["n"] // parts))] * parts
-        before = row["size_class"]
+        number = len(blocks)
+        if parts == 1 and before and before[0] == kind[0]:
+            last = blocks[-1]
+            if last.rows + row["n"] <= (most if before == kind else min(most, LEAST_CELL_ROWS)):
+                number -= 1
+                least, largest = min(least, last.least), max(largest, last.most)
+                low, high = np.minimum(low, last.low), np.maximum(high, last.high)
+                row_count = last.rows + row["n"]
+                blocks[-1] = _Block(least, largest, low, high, row_count)
+        if number == len(blocks):
+            blocks += [_Block(least, largest, low, high, -(-row["n"] // parts))] * parts
+        places.append((row["size_class"], row["band"], number, parts))
+        before = kind
     return blocks, places
 
 
 def _cells(
     blocks: list[_Block], others: list[_Block], threshold: float, same: bool
 ) -> list[tuple[int, int]]:
-    """The numbers of two blocks whose sizes can be similar; once if both sides are the same."""
+    """The numbers of two blocks in which sizes and leanings allow a similar pair.
+
+    Once for two blocks if both sides are the same.
+    """
+    if not blocks or not others:
+        return []
+    apart = (1 - threshold) / (1 + threshold)
+    least, most, low, high = (
+        np.array([getattr(b, name) for b in others]) for name in ("least", "most", "low", "high")
+    )
     cells = []
     for i, one in enumerate(blocks):
-        for j, other in enumerate(others[: i + 1] if same else others):
-            reach = min(one.most - threshold * other.least, other.most - threshold * one.least)
-            if reach >= -1e-6:
-                cells.append((i, j))
+        meet = (one.most >= threshold * least - 1e-6) & (most >= threshold * one.least - 1e-6)
+        gap = np.maximum(one.low - high, low - one.high).max(axis=1)
+        meet &= gap <= apart * (one.most + most) + 1e-6
+        if same:
+            meet[i + 1 :] = False
+        cells += [(i, int(j)) for j in np.flatnonzero(meet)]
     return cells
 
 
 def by_parities(sized_rows: DataFrame, *, threshold: float) -> Meetings:
-    """Meetings of rows whose sizes and parities allow that they are similar.
+    """Meetings of rows whose sizes, leanings and parities allow that they are similar.
 
     Of `rows` and `leaders` only the id is used. With `most`, a row gets so many of the first
     leaders of a block, and the leader -1 besides if there are more.
@@ -258,8 +325,9 @@ def by_parities(sized_rows: DataFrame, *, threshold: float) -> Meetings:
         found = _Found(most)
         if left.num_rows and right.num_rows:
             a, b = _Side.of(left), _Side.of(right)
-            bits = min(a.bits, b.bits, 1 << (max(a.size.max(), b.size.max()) - 1).item().bit_length())
-            a, b = a.folded(max(bits, LEAST_BITS)), b.folded(max(bits, LEAST_BITS))
+            largest = int(max(a.size.max(), b.size.max()))
+            bits = max(LEAST_BITS, min(a.bits, b.bits, 1 << (largest - 1).bit_length()))
+            a, b = a.folded(bits), b.folded(bits)
             # Two blocks of the same rows are compared once, whichever row is the first.
             either = same and not np.array_equal(a.id, b.id)
             for i, j in _close(a, b, apart, either):
@@ -278,13 +346,16 @@ def by_parities(sized_rows: DataFrame, *, threshold: float) -> Meetings:
 
         def side(frame: DataFrame) -> tuple[DataFrame, list[Row]]:
             ids = broadcast_if_few(materialize(frame.select("id").distinct(), "ids"))
-            banded = _bands(sized_rows.join(ids, "id"))
+            banded = _banded(sized_rows.join(ids, "id"), apart)
             counted = banded.groupBy("size_class", "band").agg(
                 F.count("*").alias("n"),
                 F.min("size").alias("least"),
                 F.max("size").alias("most"),
+                F.array(*[F.min(F.col("lean")[k]) for k in range(LEANINGS)]).alias("low"),
+                F.array(*[F.max(F.col("lean")[k]) for k in range(LEANINGS)]).alias("high"),
             )
-            return banded, counted.collect()  # some rows for each size class
+            # A few hundred rows for each size class: similar sizes, leanings in steps.
+            return banded, counted.collect()
 
         left, left_counts = side(rows)
         right, right_counts = (left, left_counts) if same else side(leaders)
@@ -307,7 +378,7 @@ def by_parities(sized_rows: DataFrame, *, threshold: float) -> Meetings:
             for cell, numbers in enumerate(cells):
                 of.setdefault(numbers[column], []).append(cell)
             place = spark.createDataFrame(
-                places, "size_class int, band int, first int, parts int"
+                places, "size_class int, band string, first int, parts int"
             )
             cells_of = spark.createDataFrame(list(of.items()), "block int, cells array<int>")
             part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -428,8 +499,10 @@ def _close(
                 continue
             rows = few_a.signs(slice(n, n + _ROWS), bits, 2 * apart * a.size[n : n + _ROWS], 1)
             shape = len(rows), len(leaders)
-            sums = np.matmul(rows, leaders.T, out=product.ravel()[: shape[0] * shape[1]].reshape(shape))
-            near = np.greater_equal(sums, bits - slack, out=left.ravel()[: sums.size].reshape(shape))
+            sums = product.ravel()[: shape[0] * shape[1]].reshape(shape)
+            near = left.ravel()[: sums.size].reshape(shape)
+            np.matmul(rows, leaders.T, out=sums)
+            np.greater_equal(sums, bits - slack, out=near)
             for at in _slices(np.flatnonzero(near)):
                 i, j = np.divmod(at, shape[1])
                 i, j = i + n, j + k

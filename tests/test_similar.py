@@ -309,3 +309,25 @@ def test_blocks_cut_by_size_meet_all_similar_rows(spark, monkeypatch):
     few = [(r["id"], r["leader"]) for r in meet(lists, lists, 0, 2).collect()]
     cut = {a for a, b in few if b < 0}
     assert {(a, b) for a, b in every if a not in cut} <= set(few)
+
+
+def test_rows_of_another_kind_do_not_meet(spark, monkeypatch):
+    """Two alphabets: blocks of one are not dealt to the cells of the other."""
+    monkeypatch.setattr(similar, "CELL_ROWS", 16)
+    monkeypatch.setattr(similar, "LEAST_CELL_ROWS", 1)
+    rng = random.Random(6)
+    kinds = ["abcdefgh ", "qrstuvwx "]
+    texts = ["".join(rng.choice(kinds[i % 2]) for _ in range(200)) for i in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, t string")
+    sized = similar.sized(df, text="t", threshold=0.8, n_gram=3)
+    seen, cells = [], similar._cells
+
+    def watched(blocks, others, threshold, same):
+        seen.append((len(blocks), cells(blocks, others, threshold, same)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(similar, "_cells", watched)
+    lists = similar.size_lists(sized)
+    assert similar.by_parities(sized, threshold=0.8)(lists, lists, 0).count() == 0
+    n, made = seen[0]
+    assert len(made) <= 0.75 * n * (n + 1) / 2
