@@ -14,8 +14,8 @@ well it is learned decides how many blocks meet, and never what is found. In a c
 of the places, as long as the cell's own distances ask for, is compared by a product of
 matrices, and all places for the pairs that are left. No gram and no text is shuffled for a
 pair that they rule out, and nothing that grows with the grams is written. Comparing is
-quadratic in the rows of a class; blocks grow with the rows, so that parities are sent to a
-number of cells that stays the same until blocks are as large as they may be.
+quadratic in the rows of a class and kind; blocks grow with the rows up to CELL_ROWS, which
+keeps the cells few that the parities of a row are sent to.
 
 *Who stays.* The rule of `near_dup`: by rank, a row is dropped when it is similar to a row
 kept before it. Undecided rows similar to one that stays are dropped, with that row as their
